@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismview.llm import exact_dedup, sharding
+from prismview.llm import decontamination, exact_dedup, sharding
 from prismview.llm.scratch import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digests(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -16,4 +20,4 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_decontamination, op7_sharding, op8_exact_dedup)}
