@@ -148,8 +148,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     places = docs.sparkSession.createDataFrame(list(enumerate(slots)), "_slot long, _bucket int")  # 2^MAX_DEPTH rows at most
     slot = F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
     owned = own.withColumn("_slot", slot).join(F.broadcast(places), "_slot").repartition("_bucket").sortWithinPartitions("_bucket", "_key").mapInArrow(chain_keys, OWNED)
-    owned.write.partitionBy("_bucket").parquet(f"{folder}/index")
-    return entries, docs.sparkSession.read.schema(OWNED).parquet(f"{folder}/index")
+    return entries, written(owned, "index", folder, by="_bucket")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

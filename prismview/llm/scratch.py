@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,24 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "t", folder: str | None = None) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """What runs inside hands Python at most so many rows at once; whole texts make rows large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str = "t", folder: str | None = None, batch_rows: int = 1000, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    with batches_of(spark, batch_rows):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
