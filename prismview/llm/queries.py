@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismview.llm import decontamination, exact_dedup, packing, sharding
+from prismview.llm import decontamination, exact_dedup, packing, sharding, toxicity
 from prismview.llm.scratch import table
 
 
@@ -25,4 +25,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_decontamination, op7_sharding, op8_exact_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    return toxicity.toxicity(docs, labels).drop("passages")
+
+
+QUERIES = {f.__name__: f for f in (op4_packing, op5_decontamination, op7_sharding, op8_exact_dedup, op9_toxicity)}
