@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismview.llm import decontamination, exact_dedup, packing, sharding, toxicity
+from prismview.llm import decontamination, exact_dedup, near_dedup, packing, sharding, toxicity
 from prismview.llm.scratch import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", ["doc_id", "text"]), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,4 +34,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_decontamination, op7_sharding, op8_exact_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_packing, op5_decontamination, op7_sharding, op8_exact_dedup, op9_toxicity)}
