@@ -34,4 +34,19 @@ c AS (SELECT doc_id, min(r) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_near_dedup": OP1, "op5_decontamination": OP5, "op8_exact_dedup": OP8}
+#: Escapes as the template does; it puts 18 characters round a user text, 6 round an answer, 23 round a role and text of others.
+def _escaped(column: str) -> str:
+    return f"regexp_replace({column}, '(<)(s>|/s>|\\|turn\\|>|\\|text\\|>|\\|end\\|>)|(\\[)(INST\\]|/INST\\])|(\\\\)', '\\1\\3\\5\\\\\\2\\4', 'g')"
+
+
+OP3 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_escaped("text")}) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 23 + length({_escaped("role")}) END) AS formatted_chars
+FROM t GROUP BY 1
+"""
+
+ORACLES = {"op3_chat_format": OP3, "op1_near_dedup": OP1, "op5_decontamination": OP5, "op8_exact_dedup": OP8}
