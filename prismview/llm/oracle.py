@@ -49,4 +49,12 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY 1
 """
 
-ORACLES = {"op3_chat_format": OP3, "op1_near_dedup": OP1, "op5_decontamination": OP5, "op8_exact_dedup": OP8}
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+ORACLES = {"op6_warc": OP6, "op3_chat_format": OP3, "op1_near_dedup": OP1, "op5_decontamination": OP5, "op8_exact_dedup": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismview.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, toxicity
+from prismview.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, toxicity, warc
 from prismview.llm.scratch import table
 
 
@@ -28,6 +28,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digests(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -41,4 +45,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_chat_format, op4_packing, op5_decontamination, op7_sharding, op8_exact_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_chat_format, op4_packing, op5_decontamination, op6_warc, op7_sharding, op8_exact_dedup, op9_toxicity)}
