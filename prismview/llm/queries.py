@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismview.llm import chat_format, decontamination, exact_dedup, near_dedup, packing, sharding, toxicity, warc
+from prismview.llm import chat_format, decontamination, exact_dedup, html_extract, near_dedup, packing, sharding, toxicity, warc
 from prismview.llm.scratch import table
 
 
@@ -45,4 +45,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).drop("passages")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_chat_format, op4_packing, op5_decontamination, op6_warc, op7_sharding, op8_exact_dedup, op9_toxicity)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_chat_format, op4_packing, op5_decontamination, op6_warc, op7_sharding, op8_exact_dedup, op9_toxicity, op10_html_extract)}
