@@ -123,32 +123,43 @@ def merged(numbers: np.ndarray) -> list[dict]:
     return [{"start": int(numbers[a]), "end": int(numbers[b]) + 1} for a, b in zip(first, last, strict=True)]
 
 
+def search_shard(texts: pa.Array, blocks: list) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
+    """Words of each document, and of those with a hit the hit word numbers and the items."""
+    words = [words_of(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
+    hits: dict[int, list[np.ndarray]] = {}
+    items: dict[int, set[str]] = {}
+    for block in blocks:
+        document, number, own = hits_in(words, block.value)
+        for d, s in own.items():
+            items.setdefault(d, set()).update(s)
+        edges = np.flatnonzero(np.diff(document)) + 1
+        for d, part in zip(document[np.concatenate([[0], edges])] if len(document) else [], np.split(number, edges), strict=False):
+            hits.setdefault(int(d), []).append(part)
+    return list(map(len, words)), {d: np.unique(np.concatenate(parts)) for d, parts in hits.items()}, items
+
+
+def verdict(n_hit: int, n_words: int, one_in: int) -> bool:
+    return n_hit > 0 and one_in * n_hit >= n_words
+
+
 def search_shards(batches: Iterator[pa.RecordBatch], blocks: list, one_in: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch["text"]
-        words = [words_of(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
-        n_words = list(map(len, words))
-        hits: dict[int, list[np.ndarray]] = {}
-        items: dict[int, set[str]] = {}
-        for block in blocks:
-            document, number, own = hits_in(words, block.value)
-            for d, s in own.items():
-                items.setdefault(d, set()).update(s)
-            edges = np.flatnonzero(np.diff(document)) + 1
-            for d, part in zip(document[np.concatenate([[0], edges])] if len(document) else [], np.split(number, edges), strict=False):
-                hits.setdefault(int(d), []).append(part)
-        at = {d: np.unique(np.concatenate(parts)) for d, parts in hits.items()}
-        n_hit = [len(at.get(d, ())) for d in range(len(words))]
-        found = [sorted(items.get(d, ())) for d in range(len(words))]
-        columns = [batch["doc_id"], n_words, n_hit, list(map(len, found)), found, [merged(at[d]) if d in at else [] for d in range(len(words))], [h > 0 and one_in * h >= n for h, n in zip(n_hit, n_words, strict=True)]]
+        n_words, at, items = search_shard(batch["text"], blocks)
+        n_hit = [len(at.get(d, ())) for d in range(len(n_words))]
+        found = [sorted(items.get(d, ())) for d in range(len(n_words))]
+        spans = [merged(at[d]) if d in at else [] for d in range(len(n_words))]
+        columns = [batch["doc_id"], n_words, n_hit, list(map(len, found)), found, spans, [verdict(h, n, one_in) for h, n in zip(n_hit, n_words, strict=True)]]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def shared_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
+    phrases = benchmark.select(F.col("item_id").cast("string"), "text")
+    return [benchmark.sparkSession.sparkContext.broadcast(p) for p in blocks_of(phrases, window, block_words)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: word and hit counts, the items found (sorted as strings), removal spans in words, the verdict."""
-    sc = docs.sparkSession.sparkContext
-    phrases = benchmark.select(F.col("item_id").cast("string"), "text")
-    blocks = [sc.broadcast(p) for p in blocks_of(phrases, window, block_words)]
+    blocks = shared_blocks(benchmark, window, block_words)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("contaminated", pa.bool_())])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -158,3 +169,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def keep_clean(batches: Iterator[pa.RecordBatch], blocks: list, one_in: int, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_words, at, _ = search_shard(batch[text_col], blocks)
+        yield batch.filter(pa.array([not verdict(len(at.get(d, ())), n, one_in) for d, n in enumerate(n_words)], pa.bool_()))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all their columns unchanged."""
+    blocks = shared_blocks(benchmark, window, block_words)
+    return docs.mapInArrow(lambda b: keep_clean(b, blocks, one_in, text_col), docs.schema)

@@ -290,3 +290,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("passages", passage)])
     found = rows.mapInArrow(lambda b: grade(b, shared, schema), SCORED)
     return written(found, "scores").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "passages")
+
+
+def keep_clean(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
+    model: Model | None = shared.value
+    scores = Scores(model.listed, model.rest) if model else None
+    for batch in batches:
+        keep = []
+        for text in batch[text_col].to_pylist():
+            n, found = segments_of(text or "", scores) if model else (0, [])
+            keep.append(not model or model.surprise(max((s[2] for s in found), default=0.0), n) < model.threshold)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all their columns unchanged."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample_rows))
+    return docs.mapInArrow(lambda b: keep_clean(b, shared, text_col), docs.schema)
