@@ -10,13 +10,15 @@ into one given bin, so every coordinate fills after 2T rounds at most.
 similarity 0.75 share none of the BANDS keys with probability 5e-6.
 
 *Verification.* Documents with equal sets are one class and meet only once. In the
-first round every class proposes itself to the most similar hub (the smallest class
-of one of its buckets) and the pair is checked on the full sets of words; a group
-of n near copies costs n checks, not n * n. The second round checks the remaining
-pairs of each bucket whose classes lie in different components so far, unless one
-bit a coordinate shows (at six standard deviations) that they cannot be similar.
-Links inside a component change nothing and are not looked for. Components are
-found by large-star and small-star steps over tables in the shared folder.
+first round every class proposes itself to one hub: the most popular class (by the
+sizes of its buckets) of one of its own buckets, the one that looks most similar. The
+pair is checked on the full sets of words, so a group of n near copies costs n checks,
+not n * n. The second round checks the other pairs of each bucket whose classes lie
+in different components by then, each pair once, unless a sketch of FINE coordinates
+shows (at 4.6 standard deviations) that they cannot be similar, or their distances to
+a common hub do: the Jaccard distance is a metric. Links inside a component change
+nothing and are not looked for. Components are found by large-star and small-star steps over tables in
+the shared folder.
 
 Documents without words are linked with nothing; null text has no words. Rows with
 equal ids stay separate rows; a null id never names a component that holds another
@@ -44,14 +46,18 @@ SHINGLE, T, ROWS = 5, 128, 4
 BANDS = T // ROWS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Coordinates whose lowest bits may differ: at 0.75 an eighth do, with a deviation of 3.7.
-MOST_BITS = 38
+#: Coordinates whose lowest four bits may differ: at 0.75 30 of 128 do, with a deviation of 4.8.
+MOST_DIFFER = 52
+FOURS = [f"_s{i}" for i in range(T // 16)]
+#: Coordinates of the finer sketch, one bit each, and how many may differ: at 0.75 256 of 2048 do, with a deviation of 15.
+FINE, MOST_FINE = 2048, 325
+BITS = [f"_f{i}" for i in range(FINE // 64)]
 
-ENTRY = "_id long, _row long, _entry long, _n long, _fp binary, _bands array<long>, _lo long, _hi long, _text string"
+ENTRY = "_id long, _row long, _entry long, _n long, _fp binary, _bands array<long>, _text string, " + ", ".join(f"{c} long" for c in FOURS)
 
 _odd = np.random.default_rng(20170901)
 WORD_FACTORS = _odd.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ROUND_SEEDS = _odd.integers(0, 2**63, 2 * T, dtype=np.uint64)
+ROUND_SEEDS = _odd.integers(0, 2**63, 2 * FINE, dtype=np.uint64)
 BAND_FACTORS = _odd.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,25 +103,33 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Coordinates of non-empty sets, one row a set."""
-    filled = np.full((len(sets), T), np.iinfo(np.uint64).max, np.uint64)
+def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+    """Coordinates of non-empty sets, one row a set; ``t`` is a power of two."""
+    empty = np.iinfo(np.uint64).max
+    filled = np.full((len(sets), t), empty, np.uint64)
     flat = filled.reshape(-1)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    empty = np.iinfo(np.uint64).max
-    for i in range(2 * T):
+    to_bin, low = np.uint64(64 - t.bit_length() + 1), np.uint64((1 << 51) - 1)
+    for i in range(2 * t):
         if not len(elements):
             break
         h = mixed(elements ^ ROUND_SEEDS[i])
-        bins = (h >> np.uint64(57)).astype(np.int64) if i < T else np.full(len(h), i - T)
-        np.minimum.at(flat, owner * T + bins, (np.uint64(i) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1)))
+        bins = (h >> to_bin).astype(np.int64) if i < t else np.full(len(h), i - t)
+        np.minimum.at(flat, owner * t + bins, (np.uint64(i) << np.uint64(51)) | (h & low))
         going = (filled == empty).any(axis=1)[owner]
         elements, owner = elements[going], owner[going]
     return filled
 
 
+def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = sketches([shingle_hashes(words_of(t.as_buffer().to_pybytes())) for t in batch["_text"]], FINE)
+        bits = np.packbits((made & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).reshape(-1, len(BITS))
+        yield pa.RecordBatch.from_arrays([batch["node"], *[pa.array(bits[:, i]) for i in range(len(BITS))]], names=["node", *BITS])
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of ``_id, _text`` (+ others) to entry rows; equal sets of a batch share the entry with the smallest id."""
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
@@ -132,7 +146,8 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         own = sorted(best.values())
         made = sketches([sets[i] for i in own])
         keys = mixed((made.reshape(-1, BANDS, ROWS) * BAND_FACTORS).sum(axis=2, dtype=np.uint64)).view(np.int64)
-        bits = np.packbits((made & np.uint64(1)).astype(np.uint8), axis=1).reshape(-1, T // 8).view(np.int64) if len(own) else np.zeros((0, 2), np.int64)
+        fours = (made & np.uint64(15)).astype(np.uint8)
+        fours = (fours[:, ::2] << 4 | fours[:, 1::2]).view(np.int64)
         at = dict(zip(own, range(len(own)), strict=True))
         is_own = pa.array([e == i for i, e in enumerate(entry)], pa.bool_())
         place = pa.array([at.get(i) if e == i else None for i, e in enumerate(entry)], pa.int64())
@@ -146,12 +161,11 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([p if e == i else None for i, (p, e) in enumerate(zip(prints, entry, strict=True))], pa.binary()),
                 bands.take(place),
-                pa.array(bits[:, 0]).take(place),
-                pa.array(bits[:, 1]).take(place),
                 blank(batch["_text"]),
+                *[pa.array(fours[:, i]).take(place) for i in range(len(FOURS))],
                 *[blank(batch[c]) for c in others],
             ],
-            names=["_id", "_row", "_entry", "_n", "_fp", "_bands", "_lo", "_hi", "_text", *others],
+            names=["_id", "_row", "_entry", "_n", "_fp", "_bands", "_text", *FOURS, *others],
         )
         row += len(ids)
 
@@ -164,7 +178,7 @@ def shingle_set(text: str) -> set[tuple[bytes, ...]]:
 def check_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     held: dict[int, set] = {}
     for batch in batches:
-        similar = []
+        similar, apart = [], []
         for b, text_a, text_b in zip(batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
             if b not in held:
                 if len(held) >= 16:
@@ -172,8 +186,10 @@ def check_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 held[b] = shingle_set(text_b)
             own, other = shingle_set(text_a), held[b]
             common = len(own & other)
-            similar.append(100 * common >= percent * (len(own) + len(other) - common) > 0)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(similar, pa.bool_())], names=["a", "b", "similar"])
+            union = len(own) + len(other) - common
+            similar.append(100 * common >= percent * union > 0)
+            apart.append(1 - common / union if union else 1.0)
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(similar, pa.bool_()), pa.array(apart, pa.float64())], names=["a", "b", "similar", "apart"])
 
 
 def components(edges: DataFrame, name: str, folder: str) -> DataFrame:
@@ -206,27 +222,34 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
     classes = full.groupBy("_fp").agg(F.min("_entry").alias("node"))
     members = written(full.select("_fp", "_entry", "_id").join(classes, "_fp").select("_entry", "_id", "node"), "members", folder)
     heads = full.join(members.filter("_entry = node").select("_entry"), "_entry", "left_semi")
-    heads = written(heads.select(F.col("_entry").alias("node"), "_n", "_lo", "_hi", "_bands", "_text"), "heads", folder)
-    facts = heads.select("node", "_n", "_lo", "_hi")
+    heads = written(heads.select(F.col("_entry").alias("node"), "_n", *FOURS, "_bands", "_text"), "heads", folder)
+    facts = heads.select("node", "_n", *FOURS)
 
     banded = heads.select("node", F.explode("_bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("key", "hub")
-    shared = written(banded.join(hubs, "key"), "shared", folder)
-    texts = heads.select("node", "_text").join(shared.select("node").distinct(), "node", "left_semi")
-    texts = written(texts, "texts", folder)
+    crowded = banded.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
+    shared = written(banded.join(crowded, "key"), "shared", folder)
+    popular = written(shared.groupBy("node").agg(F.sum("crowd").alias("popularity")), "popular", folder)
+    texts = written(heads.select("node", "_text").join(popular.select("node"), "node", "left_semi"), "texts", folder)
+
+    def differ(a: str, b: str) -> str:
+        """Coordinates of two sketches whose four bits differ."""
+        x = [f"({a}.{c} ^ {b}.{c})" for c in FOURS]
+        return " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441)" for v in x)  # 0x1111111111111111
 
-    def possible(a: str, b: str) -> str:
-        bits = f"bit_count({a}._lo ^ {b}._lo) + bit_count({a}._hi ^ {b}._hi) <= {MOST_BITS}"
-        return f"{bits} AND 100 * least({a}._n, {b}._n) >= {percent} * greatest({a}._n, {b}._n)"
+    def alike_in_size(a: str, b: str) -> str:
+        return f"100 * least({a}._n, {b}._n) >= {percent} * greatest({a}._n, {b}._n)"
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b")
         both = with_b.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: check_pairs(x, percent), "a long, b long, similar boolean"), name, folder, batch_rows=200)
-
-    offers = shared.filter("node <> hub").select("node", "hub").distinct().alias("o")
-    offers = offers.join(facts.alias("x"), F.expr("o.node = x.node")).join(facts.alias("y"), F.expr(f"o.hub = y.node AND {possible('x', 'y')}"))
-    offers = offers.groupBy("o.node").agg(F.min(F.struct(F.expr("bit_count(x._lo ^ y._lo) + bit_count(x._hi ^ y._hi)").alias("bits"), F.expr("o.hub").alias("hub"))).alias("best"))
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: check_pairs(x, percent), "a long, b long, similar boolean, apart double"), name, folder, batch_rows=200)
+
+    rank = F.struct("popularity", "node")
+    ranked = shared.select("key", "node").join(popular, "node")
+    hubs = ranked.groupBy("key").agg(F.max(rank).alias("hub"))
+    offers = ranked.join(hubs, "key").filter(rank < F.col("hub")).select("node", F.col("hub.node").alias("hub")).distinct().alias("o")
+    offers = offers.join(facts.alias("x"), F.expr("o.node = x.node")).join(facts.alias("y"), F.expr(f"o.hub = y.node AND {alike_in_size('x', 'y')} AND {differ('x', 'y')} <= {MOST_DIFFER}"))
+    offers = offers.groupBy("o.node").agg(F.min(F.struct(F.expr(differ("x", "y")).alias("differ"), F.expr("o.hub").alias("hub"))).alias("best"))
     first = checked(offers.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), "first")
     links = first.filter("similar").select("a", "b")
     roots = components(links, "first_round", folder)
@@ -234,10 +257,17 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
     # What is left: pairs of one bucket in different components.
     placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed", folder)
+    hub_of = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), "apart")
     split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-    open_ = placed.join(split, "key").join(facts, "node")
-    pairs = open_.alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.root < y.root AND {possible('x', 'y')}"))
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    open_ = written(placed.join(split, "key"), "open", folder)
+    fine = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(fine_sketches, "node long, " + ", ".join(f"{c} long" for c in BITS))
+    fine = written(fine.join(heads.select("node", "_n", "_bands"), "node").join(hub_of, "node", "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))).withColumn("hub", F.coalesce("hub", "node")), "fine", folder, batch_rows=200)
+    sides = open_.join(fine, "node")
+    close = f"(x.hub <> y.hub OR abs(x.apart - y.apart) <= {1 - percent / 100 + 1e-9})"  # a hub lies at distance 0 from itself
+    look_alike = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS) + f" <= {MOST_FINE}"
+    once = "x.key = array_min(array_intersect(x._bands, y._bands))"
+    pairs = sides.alias("x").join(sides.alias("y"), F.expr(f"x.key = y.key AND x.root < y.root AND {alike_in_size('x', 'y')} AND {close} AND {look_alike} AND {once}"))
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = checked(pairs.join(tested, ["a", "b"], "left_anti"), "second")
     roots = components(links.union(second.filter("similar").select("a", "b")), "all", folder)
