@@ -98,7 +98,7 @@ def implication_slack(declared: DataFrame, extensions: DataFrame) -> DataFrame:
 
 def slack_summary(slacks: DataFrame, *groups: str) -> DataFrame:
     """Exact implications, median, mean and largest slack, how many stay within 0.10."""
-    return slacks.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if("slack = 0").alias("exact"), F.percentile("slack", 0.5).alias("median"), F.avg("slack").alias("mean"), F.max("slack").alias("largest"), F.count_if("slack <= 0.10").alias("near"))
+    return slacks.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(F.col("slack") == 0).alias("exact"), F.percentile("slack", 0.5).alias("median"), F.avg("slack").alias("mean"), F.max("slack").alias("largest"), F.count_if(F.col("slack") <= 0.10).alias("near"))
 
 
 def paired_ratios(runs: DataFrame, arm: str, base: str, value: str) -> DataFrame:
