@@ -33,8 +33,8 @@ def _predicate(name: str) -> Predicate:
 
 def _view_rows(corpus: DataFrame, names: list[str]) -> DataFrame:
     """``view_id, row_id`` of the rows that stated views report."""
-    inside = F.explode(F.filter(F.array(*[F.when(F.col("leaf").isin(list(VIEWS[n])), i) for i, n in enumerate(names)]), lambda v: v.isNotNull()))
-    return corpus.select(inside.cast("int").alias("view_id"), "row_id")
+    inside = F.array_compact(F.array(*[F.when(F.col("leaf").isin(list(VIEWS[n])), F.lit(i)) for i, n in enumerate(names)]))
+    return corpus.select(F.explode(inside).alias("view_id"), "row_id")
 
 
 def _plan(spark: SparkSession, sf_dir: str, uses: list[tuple[str, str]]) -> DataFrame:
