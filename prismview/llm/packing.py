@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from prismview.llm.scratch import written
 
 CAPACITY, END_ID = 4096, 1
 ROUNDS, STEP, RATE, PARTS = 24, 0.5, 1.0, 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long"
@@ -117,15 +118,15 @@ def best_patterns(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tup
     return worth, taken
 
 
-def pattern_at(taken: np.ndarray, lengths: np.ndarray, free: int) -> list[int]:
+def pattern_at(taken: list[int], lengths: list[int], free: int) -> list[int]:
     items = []
     while free > 0:
-        j = int(taken[free])
+        j = taken[free]
         if j < 0:
             free -= 1
         else:
             items.append(j)
-            free -= int(lengths[j])
+            free -= lengths[j]
     return items
 
 
@@ -146,14 +147,19 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
         full[open_] = price / worth[capacity]
         if len(open_) == len(lengths):  # prices at which no pattern is worth over 1 bound the program from below
             bound = max(bound, int(np.ceil((full * counts).sum() - 1e-6)))
+        own, taken, rest = own.tolist(), taken.tolist(), left[open_].tolist()
         for anchor in range(len(own) - 1, -1, -1):
-            items = [anchor, *pattern_at(taken, own, capacity - int(own[anchor]))]
-            kinds, need = np.unique(open_[items], return_counts=True)
-            times = int((left[kinds] // need).min())
+            if not rest[anchor]:
+                continue
+            items = [anchor, *pattern_at(taken, own, capacity - own[anchor])]
+            need = Counter(items)
+            times = min(rest[j] // n for j, n in need.items())
             if times:
                 times = max(1, int(times * STEP))
-                left[kinds] -= need * times
-                patterns.append((sorted((int(own[j]) for j in items), reverse=True), times))
+                for j, n in need.items():
+                    rest[j] -= n * times
+                patterns.append((sorted((own[j] for j in items), reverse=True), times))
+        left[open_] = rest
         weight *= np.exp(-RATE * (1 - left / counts))
         weight /= weight.max()
     return patterns + best_fit(lengths, left, capacity), bound
