@@ -6,9 +6,12 @@ longest prefix, that on the share of the next shorter one, and so on up to the
 share of all words, so rare and unseen forms of a word lean on their relatives.
 The score is the log-odds of a share against that of all words. A word or prefix
 is listed if its score differs significantly from its parent's; others take the
-score of the nearest listed prefix, or that of the rest.
+score of the nearest listed prefix, or that of the rest. Of N names none is expected
+to reach a z-score of sqrt(2 ln N) by chance, and that is the level.
 
-*Segments.* A linear-time scan (Ruzzo and Tompa) finds every maximal segment.
+*Segments.* A linear-time scan (Ruzzo and Tompa) finds every maximal segment. As
+documents are counted, not occurrences, a toxic word scores where it first stands in
+a text; where it comes again it scores as the rest.
 
 *Calibration.* The best segment of n clean words follows an extreme-value law,
 P(S >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves the Karlin-Altschul equation
@@ -45,8 +48,8 @@ from prismview.llm.scratch import written
 SAMPLE, MODEL_WORDS = 20_000, 50_000
 #: Lengths of prefixes.
 SHORTEST, LONGEST = 4, 8
-#: Prior occurrences behind a share, and the z-score at which a word counts.
-PRIOR, SIGNIFICANT = 10.0, 3.0
+#: Prior documents behind a share.
+PRIOR = 10.0
 #: Segments at or below this E-value are reported as passages.
 PASSAGE_E = 0.01
 
@@ -137,6 +140,11 @@ def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, fl
     """Words of a text, and its maximal segments in words."""
     words = WORD.findall(text.lower())
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+    seen = set()
+    for i in np.flatnonzero(values > 0).tolist():
+        if words[i] in seen:
+            values[i] = scores.rest
+        seen.add(words[i])
     positive = values > 0
     if not positive.any():
         return len(words), []
@@ -170,6 +178,7 @@ def learn(sample: DataFrame) -> Model | None:
     counts = written(sample.mapInArrow(count_names, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "names")
     whole = counts.filter(F.endswith("name", F.lit(END)))
     toxic, clean = whole.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0))).first()
+    significant = math.sqrt(2 * math.log(max(counts.count(), 2)))
     if not toxic or not clean:
         return None
     share = toxic / (toxic + clean)
@@ -198,7 +207,7 @@ def learn(sample: DataFrame) -> Model | None:
     found = graded(words)
     for level in levels:
         found = found.union(level)
-    top = {r.name: r for r in found.filter(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "name").limit(MODEL_WORDS).collect()}
+    top = {r.name: r for r in found.filter(F.col("z") >= significant).orderBy(F.desc("z"), "name").limit(MODEL_WORDS).collect()}
     # Occurrences under a listed name, without those under a listed name below it.
     own_t, own_c = {n: r.toxic for n, r in top.items()}, {n: r.clean for n, r in top.items()}
     rest_t, rest_c = toxic, clean
@@ -277,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     sizes = {0: 0, 1: 0} | {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     picked = [usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
     ids = written(picked[0].union(picked[1]), "ids")  # 2 x sample_rows rows at most
-    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "sample")
+    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic").distinct(), "sample")  # copies count once
     model = learn(sample)
     return calibrate(model, sample, sizes) if model else None
 
