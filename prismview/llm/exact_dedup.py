@@ -8,8 +8,9 @@
    and the directory doubles when a bucket at full depth splits.
 3. *Owners.* A bucket is a range of keys. Its owner task reads the entries in key
    order, chains those with equal keys, and compares the chained texts byte for
-   byte, so texts whose hashes collide stay apart. What it finds is written to
-   the index files, one folder a bucket.
+   byte, so texts whose hashes collide stay apart. Texts travel only for keys that
+   several entries have. What an owner finds is written to the index files, one
+   folder a bucket.
 4. Every row looks up its entry in the index by row number.
 
 A null text counts as empty. Of equal texts the row with the largest id stays; of
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import shared_folder, written
+from prismview.llm.scratch import rows_with, rows_without, shared_folder, written
 
 #: Entries that a bucket may hold before it splits, and leading key bits at most.
 CAPACITY, MAX_DEPTH = 4096, 16
@@ -43,9 +44,8 @@ def fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     for batch in batches:
         others = [c for c in batch.schema.names if c not in ("_id", "_text")]
-        texts = pc.fill_null(batch["_text"], "")
         ids = batch["_id"].to_pylist()
-        lowered = [t.as_buffer().to_pybytes() for t in pc.ascii_lower(texts)]
+        lowered = [t.as_buffer().to_pybytes() for t in pc.ascii_lower(pc.fill_null(batch["_text"], ""))]
         best: dict[bytes, int] = {}
         copies: dict[bytes, int] = {}
         for i, t in enumerate(lowered):
@@ -66,7 +66,7 @@ def fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests, pa.binary()),
                 pa.array([int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
                 pa.array([copies[t] if e == i else None for i, (t, e) in enumerate(zip(lowered, entry, strict=True))], pa.int64()),
-                blank(texts),
+                blank(batch["_text"]),
                 *[blank(batch[c]) for c in others],
             ],
             names=["_id", "_row", "_entry", "_sha", "_key", "_copies", "_text", *others],
@@ -115,12 +115,12 @@ def chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_bucket", "_entry", "_keep_row", "_keep_id", "_size"])
 
     for batch in batches:
-        texts = pc.ascii_lower(batch["_text"])
+        texts = pc.ascii_lower(pc.fill_null(batch["_text"], ""))
         for i, (bucket, key, entry, ident, copies) in enumerate(zip(*[batch[c].to_pylist() for c in ("_bucket", "_key", "_entry", "_id", "_copies")], strict=True)):
             if (bucket, key) != at:
                 close()
                 at, chain = (bucket, key), []
-            text = texts[i].as_buffer().to_pybytes()
+            text = texts[i].as_buffer().to_pybytes()  # empty where a key has one entry
             link = next((c for c in chain if c[0] == text), None)
             if link is None:
                 chain.append([text, bucket, [entry], ident, entry, copies])
@@ -142,11 +142,14 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = ", ".join([ENTRY, *(f"_c{i} {kinds[c]}" for i, c in enumerate(carry))])
     entries = written(rows.mapInArrow(fold_batches, schema), "entries", folder)
-    own = entries.filter("_row = _entry").select("_id", "_entry", "_key", "_copies", "_text")
+    own = entries.filter("_row = _entry").select("_id", "_entry", "_key", "_copies")
+    several = written(own.groupBy("_key").count().filter("count > 1").select("_key"), "several", folder)
+    texts = rows_with(entries.filter("_row = _entry").select("_entry", "_key", "_text"), several, "_key").select("_entry", "_text")
     top = F.shiftrightunsigned("_key", 64 - MAX_DEPTH)
     depth, slots = directory({r[0]: r[1] for r in own.groupBy(top.alias("slot")).count().collect()}, capacity)
     places = docs.sparkSession.createDataFrame(list(enumerate(slots)), "_slot long, _bucket int")  # 2^MAX_DEPTH rows at most
     slot = F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
+    own = own.join(texts, "_entry", "left")
     owned = own.withColumn("_slot", slot).join(F.broadcast(places), "_slot").repartition("_bucket").sortWithinPartitions("_bucket", "_key").mapInArrow(chain_keys, OWNED)
     return entries, written(owned, "index", folder, by="_bucket")
 
@@ -163,7 +166,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged."""
-    carry = docs.columns
+    carry = [c for c in docs.columns if c != text_col]
     entries, found = index(docs, id_col, text_col, carry)
-    kept = found.filter("_entry = _keep_row").select("_entry")
-    return entries.filter("_row = _entry").join(kept, "_entry", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    gone = found.filter("_entry <> _keep_row").select("_entry")
+    return rows_without(entries.filter("_row = _entry"), gone, "_entry").select(*[F.col("_text" if c == text_col else f"_c{carry.index(c)}").alias(c) for c in docs.columns])

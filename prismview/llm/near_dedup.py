@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import shared_folder, written
+from prismview.llm.scratch import held, rows_with, rows_without, shared_folder, written
 
 SHINGLE, T, ROWS = 5, 128, 4
 BANDS = T // ROWS
@@ -71,11 +70,6 @@ class WordHashes(dict):
         return found
 
 
-@lru_cache(1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Murmur's 64-bit finalizer."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -93,7 +87,7 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(held("word hashes", WordHashes).__getitem__, words), np.uint64, n)
     if n < SHINGLE:
         return mixed((h * WORD_FACTORS[:n]).sum(keepdims=True) + np.uint64(n))
     last = n - SHINGLE + 1
@@ -221,15 +215,15 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
     full = own.filter("_n > 0")
     classes = full.groupBy("_fp").agg(F.min("_entry").alias("node"))
     members = written(full.select("_fp", "_entry", "_id").join(classes, "_fp").select("_entry", "_id", "node"), "members", folder)
-    heads = full.join(members.filter("_entry = node").select("_entry"), "_entry", "left_semi")
-    heads = written(heads.select(F.col("_entry").alias("node"), "_n", *FOURS, "_bands", "_text"), "heads", folder)
+    heads = full.select("_entry", "_n", *FOURS, "_bands").join(members.filter("_entry = node").select("_entry"), "_entry", "left_semi")
+    heads = written(heads.withColumnRenamed("_entry", "node"), "heads", folder)
     facts = heads.select("node", "_n", *FOURS)
 
     banded = heads.select("node", F.explode("_bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("crowd")).filter("crowd > 1")
     shared = written(banded.join(crowded, "key"), "shared", folder)
     popular = written(shared.groupBy("node").agg(F.sum("crowd").alias("popularity")), "popular", folder)
-    texts = written(heads.select("node", "_text").join(popular.select("node"), "node", "left_semi"), "texts", folder)
+    texts = written(rows_with(full.select(F.col("_entry").alias("node"), "_text"), popular, "node"), "texts", folder)
 
     def differ(a: str, b: str) -> str:
         """Coordinates of two sketches whose four bits differ."""
@@ -289,7 +283,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row of the smallest id of each component, all columns of ``docs`` unchanged."""
-    carry = docs.columns
+    carry = [c for c in docs.columns if c != text_col]
     entries, groups = near_groups(docs, id_col, text_col, carry)
-    kept = groups.filter("_entry = keep_row").select("_entry")
-    return entries.filter("_row = _entry").join(kept, "_entry", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    gone = groups.filter("_entry <> keep_row").select("_entry")
+    return rows_without(entries.filter("_row = _entry"), gone, "_entry").select(*[F.col("_text" if c == text_col else f"_c{carry.index(c)}").alias(c) for c in docs.columns])

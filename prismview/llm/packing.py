@@ -25,14 +25,13 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import written
+from prismview.llm.scratch import held, written
 
 CAPACITY, END_ID = 4096, 1
 ROUNDS, STEP, RATE, PARTS = 24, 0.5, 1.0, 64
@@ -81,14 +80,8 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
-    """Kept by the Python worker from task to task."""
-    return WordIds(path)
-
-
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    words = word_ids(path)
+    words = held(path, lambda: WordIds(path))
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()

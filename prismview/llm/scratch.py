@@ -6,7 +6,12 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Slots of the broadcast that spares wide rows a shuffle: 2^20 numbers at most, whatever the input.
+SLOTS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,9 +46,40 @@ def written(df: DataFrame, name: str = "t", folder: str | None = None, batch_row
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
     with batches_of(spark, batch_rows):
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict = {}
+
+
+def held(kind: str, make):
+    """What a Python worker remembers from task to task; only one operator's memory at a time."""
+    if kind not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[kind] = make()
+    return _held[kind]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def _slotted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its keys' slots, and the slots that some of ``keys`` fall in."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    return df.withColumn("_slot", slot), F.broadcast(keys.select(slot.alias("_slot")).distinct())
+
+
+def rows_with(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``keys``. Most other rows go before the shuffle, by their slot."""
+    slotted, slots = _slotted(df, keys, key)
+    return slotted.join(slots, "_slot", "left_semi").drop("_slot").join(keys.select(key), key, "left_semi")
+
+
+def rows_without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not among ``keys``; only rows of their slots are shuffled."""
+    slotted, slots = _slotted(df, keys, key)
+    doubtful = slotted.join(slots, "_slot", "left_semi").join(keys.select(key), key, "left_anti")
+    return slotted.join(slots, "_slot", "left_anti").unionByName(doubtful).drop("_slot")
