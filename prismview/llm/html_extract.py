@@ -96,26 +96,29 @@ def tree_batch(rows: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")])
 
 
-def importances(pages: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``node, importance, m`` of every leaf, and ``node, item, k`` of contents. ``pages``: ``host, html``."""
-    rows = written(pages.mapInArrow(tree_rows, ROW).distinct(), "tree", folder)
+def importances(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, importance, m`` of every leaf, and ``node, item, k`` of contents on at least LEAST_PAGES ^ RECURS pages. ``rows``: the tree."""
     sizes = rows.select("kind", "node", "page").distinct().groupBy("kind", "node").agg(F.count("*").alias("m"))
-    items = written(rows.groupBy("kind", "node", "item").agg(F.count("*").alias("k"), F.min("parent").alias("parent")), "items", folder)
-    base = F.when(F.col("m") > 1, F.log("m"))
-    share = F.col("k") / F.col("m")
-    graded = items.join(sizes, ["kind", "node"])
-    inner = graded.filter("kind = 1").groupBy(F.col("node").alias("parent")).agg(F.coalesce(F.sum(-share * F.log(share) / base), F.lit(1.0)).alias("presentation"), F.count("*").alias("styles"))
-    leaf = graded.filter("kind = 0").groupBy("node").agg((1 - F.coalesce(F.avg(F.log("k") / base), F.lit(0.0))).alias("content"), F.max("m").alias("m"), F.min("parent").alias("parent"))
+    items = rows.groupBy("kind", "node", "item").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
+    # Entropies as sums over a node's items: no join brings all items of a node together.
+    sums = [F.sum(F.log("k")).alias("logs"), F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("weighted"), F.count("*").alias("items"), F.min("parent").alias("parent")]
+    nodes = items.groupBy("kind", "node").agg(*sums).join(sizes, ["kind", "node"])
+    base, many = F.log("m"), F.col("m") > 1
+    presentation = F.when(many, (F.col("pages") * base - F.col("weighted")) / F.col("m") / base).otherwise(1.0)
+    content = F.when(many, 1 - F.col("logs") / F.col("items") / base).otherwise(1.0)
+    inner = nodes.filter("kind = 1").select(F.col("node").alias("parent"), presentation.alias("presentation"), F.col("items").alias("styles"))
+    leaf = nodes.filter("kind = 0").select("node", "parent", "m", content.alias("content")).join(inner, "parent", "left")
     weight = F.pow(F.lit(DAMPING), F.coalesce("styles", F.lit(1)))
-    leaf = leaf.join(inner, "parent", "left").select("node", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"), "m")
-    return leaf, graded.filter("kind = 0").select("node", "item", "k", "m")
+    leaf = leaf.select("node", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"), "m")
+    return leaf, items.filter(f"kind = 0 AND k >= {LEAST_PAGES**RECURS}").select("node", "item", "k")
 
 
 def noise_of(pages: DataFrame, folder: str) -> DataFrame:
-    """``node, item``: a branch to remove (item 0), or a content that recurs on a node."""
-    leaf, contents = importances(pages, folder)
-    low = leaf.filter((F.col("m") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("node", F.lit(0).cast("long").alias("item"))
-    recurs = contents.filter((F.col("m") >= LEAST_PAGES) & (F.log("k") >= RECURS * F.log("m"))).select("node", "item")
+    """``node, item``: a branch to remove (item 0), or a content that recurs on a node. ``pages``: ``host, html``."""
+    leaf, contents = importances(written(pages.mapInArrow(tree_rows, ROW).distinct(), "tree", folder))
+    leaf = written(leaf.filter(F.col("m") >= LEAST_PAGES), "leaves", folder)
+    low = leaf.filter(F.col("importance") < LOW).select("node", F.lit(0).cast("long").alias("item"))
+    recurs = contents.join(leaf.select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
     return written(low.union(recurs).distinct(), "noise", folder)
 
 
