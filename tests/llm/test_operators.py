@@ -435,3 +435,77 @@ def test_rows_with_and_without(spark):
     rows, keys = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 3000, 3).withColumnRenamed("id", "k")
     assert {r.k for r in scratch.rows_with(rows, keys, "k").collect()} == set(range(0, 1000, 3))
     assert {r.k for r in scratch.rows_without(rows, keys, "k").collect()} == set(range(1000)) - set(range(0, 1000, 3))
+
+
+def test_tree_importance_matches_its_definition(spark):
+    import math
+
+    rows = [(0, 1, 9, item, page) for item, pages in ((10, range(6)), (11, range(2)), (12, [7])) for page in pages] + [(1, 9, 0, style, page) for style, pages in ((20, range(5)), (21, [5, 6, 7])) for page in pages]
+    leaf, contents = html_extract.importances(spark.createDataFrame(rows, html_extract.ROW))
+    m, base = 7, math.log(7)  # pages 0 to 5 and 7 hold the leaf
+    content = 1 - (math.log(6) + math.log(2) + 0) / 3 / base
+    presentation = -sum(k / 8 * math.log(k / 8) for k in (5, 3)) / math.log(8)
+    weight = 0.9**2
+    (got,) = leaf.collect()
+    assert got.m == m and abs(got.importance - ((1 - weight) * presentation + weight * content)) < 1e-12
+    assert [(r.item, r.k) for r in contents.collect()] == [(10, 6)]
+
+
+# quality
+
+
+def test_quality_orders_grades(spark, empty):
+    from prismview.llm import quality
+
+    rng = random.Random(3)
+    kinds = ["bad junk filler", "plain middling", "fine lucid prose"]
+    rows = [(i, words(rng, 30, 50) + " " + kinds[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows + [(9000, None), (9001, ""), (None, "fine lucid prose")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i, _ in rows] + [(9000, None), (None, 2)], "doc_id long, grade int")
+    got = {r.doc_id: r for r in quality.grade(docs, ratings, least=2).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(got) == 903 and all(got[i].held_out for i in held) and got[None].held_out is False
+    means = [np.mean([got[i].expected_grade for i in held if i % 3 == k]) for k in range(3)]
+    assert means[0] < means[1] < means[2]
+    assert np.mean([got[i].kept == (i % 3 == 2) for i in held]) > 0.95
+    assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail <= 1 for r in got.values())
+    one = quality.grade(docs, ratings.filter("grade = 2"), least=1).collect()
+    assert {(r.expected_grade, r.tail, r.kept) for r in one} == {(2.0, 1.0, True)}
+    assert {r.expected_grade for r in quality.grade(docs, ratings.limit(0)).collect()} == {None}
+    assert quality.grade(empty, ratings).count() == 0
+
+
+def test_quality_gradient_matches_differences():
+    from prismview.llm import quality
+    import pyarrow as pa
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(size=quality.SLOTS) / 5, np.array([-0.5, 0.7]))
+    slots = [[1, 2, 3, 9], [2, 8], [5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array([3, 1, 0], pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array([1.0, 2.0, 0.5])], names=["slots", "n_words", "grade", "weight"])
+    (out,) = list(quality.gradient(iter([batch]), Shared(model)))
+    g_w, g_t = np.frombuffer(out["weights"][0].as_py()), np.frombuffer(out["thresholds"][0].as_py())
+
+    def likelihood(m):
+        total = 0
+        for s, n, k, w in zip(slots, (3, 1, 0), (0, 1, 2), (1.0, 2.0, 0.5), strict=True):
+            tails = np.concatenate([[1], m.tails(m.axis(np.array(s), n)), [0]])
+            total += w * math.log(tails[k] - tails[k + 1])
+        return total
+
+    import math
+
+    for j in (1, 2, 9, 5):
+        step = np.zeros(quality.SLOTS)
+        step[j] = 1e-5
+        numeric = (likelihood(quality.Model(model.weights + step, model.thresholds)) - likelihood(quality.Model(model.weights - step, model.thresholds))) / 2e-5
+        assert abs(numeric - g_w[j]) < 1e-6
+    for k in (0, 1):
+        step = np.zeros(2)
+        step[k] = 1e-5
+        numeric = (likelihood(quality.Model(model.weights, model.thresholds + step)) - likelihood(quality.Model(model.weights, model.thresholds - step))) / 2e-5
+        assert abs(numeric - g_t[k]) < 1e-6
