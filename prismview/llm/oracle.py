@@ -43,9 +43,9 @@ OP3 = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length({_escaped("text")}) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 23 + length({_escaped("role")}) END) AS formatted_chars
+       sum(length({_escaped("text")}) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 23 + length({_escaped("role")}) END)::BIGINT AS formatted_chars
 FROM t GROUP BY 1
 """
 
