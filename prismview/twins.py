@@ -75,7 +75,7 @@ def _sample_key(phase: str, stratum: str, seed: int = 7, query: int = 3) -> str:
 
 def _values(rows, names: str) -> str:
     def one(v) -> str:
-        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v)
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else repr(v)
 
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") v({names}))"
 
@@ -193,7 +193,7 @@ SELECT name, entry, round(s, 4) AS similarity FROM s QUALIFY row_number() OVER (
     "slack_rates": _slack(),
     "slack_admit": _admit(),
     "metrics_prf": _prf(f"(SELECT grp, {TRUTH('ASIA_OR_EUROPE')} AS reported, {TRUTH('NOT_AFRICA')} AND row_id % 7 <> 0 AS truth FROM {ORD})", "grp"),
-    "workload_summary": f"""SELECT method, count(*) AS queries, sum(calls) AS calls, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, count(recall_bound) AS certificates,
+    "workload_summary": f"""SELECT method, count(*) AS queries, sum(calls)::BIGINT AS calls, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, count(recall_bound) AS certificates,
 count(*) FILTER (recall_bound > recall + 1e-12) AS recall_violations, count(*) FILTER (precision_bound > precision + 1e-12) AS precision_violations, round(avg(recall_bound), 9) AS mean_recall_bound FROM {_certified()} GROUP BY 1""",
     "certificate_shortfall": f"SELECT method, calls, greatest(ceil(round(recall_bound * n_true, 9)) - tp, 0)::BIGINT AS recall_short, greatest(ceil(round(precision_bound * n_reported, 9)) - tp, 0)::BIGINT AS precision_short FROM {_certified()}".replace("greatest(ceil(round(recall_bound * n_true, 9)) - tp, 0)", "CASE WHEN recall_bound IS NULL THEN 0 ELSE greatest(ceil(round(recall_bound * n_true, 9)) - tp, 0) END").replace("greatest(ceil(round(precision_bound * n_reported, 9)) - tp, 0)", "CASE WHEN precision_bound IS NULL THEN 0 ELSE greatest(ceil(round(precision_bound * n_reported, 9)) - tp, 0) END"),
     "confusion_matrix": f"SELECT relation, predicted, count(*) AS n FROM {JUDGED} GROUP BY 1, 2",
