@@ -6,8 +6,9 @@ configuration program - use as few patterns as possible so that every length is
 covered - is solved by multiplicative weights: the weight of a length falls as
 its share of placed pieces grows, a knapsack dynamic program prices patterns
 under the present weights, and every length takes the best pattern that holds it.
-Steps are rounded to whole sequences; the few pieces left over at the end are
-placed by best fit, longest first. The weights also give a lower bound.
+Steps are rounded to whole sequences, and after each round the pieces still left are
+placed by best fit, longest first; the round that needs the fewest sequences counts.
+The weights also give a lower bound.
 
 Patterns reach the pieces by rank: the i-th piece of a length belongs to the run
 of sequences that covers rank i. Ranks are counted in PARTS parts of a length, so
@@ -129,6 +130,8 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
     if not len(lengths):
         return [], 0
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    start = best_fit(lengths, counts, capacity)
+    best, fewest = start, sum(n for _, n in start)
     left, weight, patterns, bound = counts.copy(), np.ones(len(lengths)), [], -(-int((lengths * counts).sum()) // capacity)
     for _ in range(ROUNDS):
         open_ = np.flatnonzero(left)
@@ -155,29 +158,36 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
         left[open_] = rest
         weight *= np.exp(-RATE * (1 - left / counts))
         weight /= weight.max()
-    return patterns + best_fit(lengths, left, capacity), bound
+        rest = best_fit(lengths, left, capacity)
+        if (used := sum(n for _, n in patterns) + sum(n for _, n in rest)) <= fewest:
+            best, fewest = [*patterns, *rest], used
+    return best, bound
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Longest first, each into the fullest sequence that has room."""
-    rooms: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
+    """Longest first, each into the fullest sequence that has room; equal sequences are filled together."""
+    rooms: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
     filled = np.zeros(capacity + 1, bool)
-    for j in range(len(lengths) - 1, -1, -1):
-        length = int(lengths[j])
-        for _ in range(int(left[j])):
+
+    def put(room: int, content: tuple[int, ...], n: int) -> None:
+        if n:
+            rooms[room].append((content, n))
+            filled[room] = True
+
+    for length, n in zip(lengths[::-1].tolist(), left[::-1].tolist(), strict=True):
+        while n:
             room = length + int(filled[length:].argmax())
-            if filled[room]:
-                content = rooms[room].pop()
-                filled[room] = bool(rooms[room])
-            else:
-                room, content = capacity, []
-            content.append(length)
-            rooms[room - length].append(content)
-            filled[room - length] = True
-    merged: dict[tuple[int, ...], int] = {}
-    for content in (c for room in rooms for c in room):
-        merged[tuple(content)] = merged.get(tuple(content), 0) + 1
-    return [(list(k), n) for k, n in merged.items()]
+            if not filled[room]:
+                most = capacity // length
+                put(capacity - most * length, (length,) * most, n // most)
+                put(capacity - n % most * length, (length,) * (n % most), int(n % most > 0))
+                break
+            content, count = rooms[room].pop()
+            filled[room] = bool(rooms[room])
+            put(room, content, max(0, count - n))
+            put(room - length, (*content, length), min(n, count))
+            n -= min(n, count)
+    return [(list(content), n) for room in rooms for content, n in room]
 
 
 def runs_of(patterns: list[tuple[list[int], int]]) -> np.ndarray:
