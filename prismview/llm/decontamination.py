@@ -18,7 +18,6 @@ Repeated documents each get their row. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
