@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prismview.operators.store import View, ViewStore
 from prismview.plans.audit import Audit, AuditConfig, run_audit
 from prismview.plans.predicates import FORWARD, Predicate
-from prismview.plans.rewrite import CANDIDATE, Plan, RewriteConfig, build_plan, choose_views, stratum_sizes
+from prismview.plans.rewrite import CANDIDATE, RewriteConfig, build_plan, choose_views, stratum_sizes
 from prismview.plans.slack import Observation, SlackModel, admit
 from prismview.sources.answers import AnswerLog
 from prismview.sources.tables import state_folder
