@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field, replace
 
@@ -120,6 +121,27 @@ class ReuseEngine:
         view = self.store.add(predicate, final, self.oracle.version, index, recall, precision, [u.pid for u in uses], time.time() - began)
         return QueryResult(predicate, self.store.mask(self.corpus, view), kind, asked, recall, precision, tuple(u.pid for u in uses), time.time() - began, asking[0])
 
+    def save(self) -> None:
+        """Writes what is not in tables yet, so that ``resume`` goes on from here."""
+        views = [{"text": v.predicate.text, "labels": sorted(v.predicate.labels), "name": v.predicate.name, "oracle_version": v.oracle_version, "query_index": v.query_index, "recall_bound": v.recall_bound, "precision_bound": v.precision_bound, "derived_from": v.derived_from, "seconds": v.seconds, "created": v.created} for v in self.store.views]
+        state = {"query_index": self.query_index, "n_rows": self.n_rows, "parts": self.log.parts, "views": views, "slack": [[list(k), v] for k, v in self.slack.sums.items()] if self.slack else None}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state")
+
+    @classmethod
+    def resume(cls, corpus: DataFrame, oracle, judge, folder: str, **options) -> ReuseEngine:
+        """The engine that ``save`` wrote to ``folder``."""
+        engine = cls(corpus, oracle, judge, folder=folder, **options)
+        state = json.loads(engine.spark.read.text(f"{folder}/state").first()[0])
+        engine.query_index, engine.n_rows, engine.log.parts = state["query_index"], state["n_rows"], state["parts"]
+        for i, v in enumerate(state["views"]):
+            p = Predicate(v["text"], frozenset(v["labels"]), v["name"])
+            engine.store.views.append(View(i, p, v["oracle_version"], v["query_index"], v["recall_bound"], v["precision_bound"], tuple(v["derived_from"]), v["seconds"], v["created"]))
+            engine.store.by_key[v["oracle_version"], p.key] = engine.store.views[-1]
+        if engine.slack is not None:
+            for key, sums in state["slack"] or []:
+                engine.slack.sums[tuple(key)] = sums
+        return engine
+
     def within_budget(self, uses: list) -> tuple[list, float]:
         """Leaves out forward and disjoint views whose predicted cost in recall exceeds the budget."""
         if self.slack is None or self.rewrite.slack_share is None or self.audit is None or self.audit.target_recall is None:

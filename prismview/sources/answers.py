@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismview.functions.text import call_cost, yes_no
+
 ANSWER = "query_index int, tag string, pid string, row_id long, answer boolean"
 CACHED = "model string, pver string, claim string, row_id long, answer boolean, prompt_tokens long, output_tokens long, raw string, written long"
 
@@ -50,8 +56,6 @@ def missing_cells(claims: DataFrame, rows: DataFrame, cache: DataFrame, model: s
 
 def cache_cost(cache: DataFrame, prompt_price: float = 0.15, output_price: float = 0.60) -> DataFrame:
     """Cells, tokens and dollars per model and prompt version."""
-    from prismview.functions.text import call_cost
-
     totals = cache.groupBy("model", "pver").agg(F.count("*").alias("cells"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("output_tokens").alias("output_tokens"))
     return totals.withColumn("dollars", call_cost(F.col("prompt_tokens"), F.col("output_tokens"), prompt_price, output_price))
 
@@ -59,3 +63,44 @@ def cache_cost(cache: DataFrame, prompt_price: float = 0.15, output_price: float
 def incomplete_claims(matrix: DataFrame, n_rows: int) -> DataFrame:
     """Claims of ``claim, row_id, answer`` that lack answers."""
     return matrix.groupBy("claim").agg(F.countDistinct("row_id").alias("answered")).filter(F.col("answered") < n_rows)
+
+
+RUN = "model string, pver string, calls long, seconds double, prompt_tokens long, output_tokens long"
+
+
+def fill_cache(spark: SparkSession, path: str, claims: DataFrame, rows: DataFrame, client: Callable[[], Callable[[str, str], tuple[str, int, int]]], model: str, pver: str) -> int:
+    """Asks for the cells of ``claims`` x ``rows`` that the cache under ``path`` lacks, and appends them; returns their number.
+
+    ``rows``: ``row_id, text``; ``client()`` makes ``(claim, text) -> (reply, prompt tokens, output tokens)`` on the
+    executors. A job that broke off is resumed by calling again: what was committed is not asked again.
+    """
+    cache = spark.read.schema(CACHED).parquet(f"{path}/answers") if _exists(spark, f"{path}/answers") else spark.createDataFrame([], CACHED)
+    began = time.time()
+    wanted = missing_cells(claims, rows, cache, model, pver).join(rows.select("row_id", "text"), "row_id")
+
+    def ask(batches):
+        call = client()
+        for batch in batches:
+            told = [call(c, t or "") for c, t in zip(batch["claim"], batch["text"], strict=True)]
+            yield pd.DataFrame({"claim": batch["claim"], "row_id": batch["row_id"], "raw": [t[0] for t in told], "prompt_tokens": [t[1] for t in told], "output_tokens": [t[2] for t in told]})
+
+    replies = wanted.sortWithinPartitions("row_id", "claim").mapInPandas(ask, "claim string, row_id long, raw string, prompt_tokens long, output_tokens long")
+    made = replies.select(F.lit(model).alias("model"), F.lit(pver).alias("pver"), "claim", "row_id", yes_no(F.col("raw")).alias("answer"), "prompt_tokens", "output_tokens", "raw", F.lit(int(began * 1e6)).alias("written"))
+    made.write.mode("append").parquet(f"{path}/answers")
+    added = spark.read.schema(CACHED).parquet(f"{path}/answers").filter(F.col("written") == int(began * 1e6)).agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("p"), F.sum("output_tokens").alias("o")).first()
+    if added.n:
+        spark.createDataFrame([(model, pver, added.n, time.time() - began, added.p, added.o)], RUN).write.mode("append").parquet(f"{path}/runs")
+    return added.n
+
+
+def run_cost(spark: SparkSession, path: str) -> DataFrame:
+    """Cells and tokens from the answers, calls and seconds from the run log (cells where that is empty)."""
+    cells = cache_cost(spark.read.schema(CACHED).parquet(f"{path}/answers"))
+    runs = spark.read.schema(RUN).parquet(f"{path}/runs") if _exists(spark, f"{path}/runs") else spark.createDataFrame([], RUN)
+    logged = runs.groupBy("model", "pver").agg(F.sum("calls").alias("calls"), F.sum("seconds").alias("seconds"))
+    return cells.join(logged, ["model", "pver"], "left").withColumn("calls", F.coalesce("calls", "cells"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

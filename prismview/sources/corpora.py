@@ -85,3 +85,12 @@ def stratified_sample(rows: DataFrame, n: int, leaves: int, seed: int = 0) -> Da
 
 def uniform_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return rows.orderBy(sample_key(seed, 0, "uniform", F.lit(""), F.col("row_id")), "row_id").limit(n)
+
+
+def load_corpus(spark: SparkSession, name: str, sf_dir: str, size: int | None = None, leaves: int = 25, seed: int = 0) -> DataFrame:
+    """A corpus by name, cut to a stratified sample of ``size`` rows if that is given."""
+    known = {"customers": customers, "orders": orders}
+    if name not in known:
+        raise ValueError(f"unknown corpus {name!r}; known: {', '.join(sorted(known))}")
+    rows = known[name](spark, sf_dir)
+    return rows if size is None else stratified_sample(rows, size, leaves, seed)

@@ -10,6 +10,7 @@ from prismview.plans.predicates import RELATIONS, Judgment, Predicate, relation_
 from prismview.plans.rewrite import RewriteConfig, ViewUse, build_plan, choose_views
 from prismview.plans.slack import Observation, SlackModel, admit
 from prismview.plans.workloads import build_universe, drill_down, labelled_pairs, workload
+from prismview.sources import answers, corpora
 from prismview.streaming.predicate_stream import answer_stream
 
 G0 = Predicate("The row is about g0.", frozenset({"g0_l0", "g0_l1"}))
@@ -189,6 +190,39 @@ def test_metrics_conventions(spark):
     assert sorted(r.k for r in metrics.compare_results(left, right, ["k"], ["v"]).collect()) == [2, 3]
 
 
+def test_engine_resumes_where_it_was_saved(corpus):
+    engine = engine_of(corpus, slack=SlackModel())
+    engine.query(G0)
+    engine.query(LEAF)
+    engine.save()
+    again = ReuseEngine.resume(corpus, LabelOracle(corpus), reasoners.LabelReasoner(), engine.folder, slack=SlackModel())
+    hit = again.query(LEAF)
+    assert hit.reuse == "exact-hit" and true_rows(hit) == {i for i in range(300) if i % 6 == 0} and hit.recall_bound == engine.store.views[1].recall_bound
+    assert again.query_index == 3 and again.slack.summary() == engine.slack.summary()
+    before = again.log.read().count()
+    assert again.query(Predicate("The row is about g1.", frozenset({"g1_l0", "g1_l1"}))).n_calls == again.log.read().count() - before
+
+
+def test_cache_is_filled_once_and_costed(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "row_id long, text string")
+    claims = spark.createDataFrame([("even",), ("small",)], "claim string")
+    client = lambda: lambda c, t: ("yes" if int(t.split()[1]) % 2 == 0 else "no", 10, 2)
+    path = f"file://{tmp_path}/cache"
+    assert answers.fill_cache(spark, path, claims.limit(1), rows, client, "m", "1") == 20
+    assert answers.fill_cache(spark, path, claims, rows, client, "m", "1") == 20
+    assert answers.fill_cache(spark, path, claims, rows, client, "m", "1") == 0
+    cost = answers.run_cost(spark, path).first()
+    assert (cost.cells, cost.calls, cost.prompt_tokens) == (40, 40, 400)
+
+
+def test_corpora(spark, tmp_path):
+    with pytest.raises(ValueError):
+        corpora.load_corpus(spark, "nowhere", "/none")
+    assert corpora.synthetic(spark, 60).select("leaf").distinct().count() == 6
+    (tmp_path / "news.csv").write_text('1,"Title","Body, with ""quotes"""\n2,T,B\n')
+    assert [r.text for r in corpora.news_csv(spark, f"file://{tmp_path}/news.csv").collect()] == ['Title. Body, with "quotes"', "T. B"]
+
+
 def test_predicates_as_a_stream(spark, corpus, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(0, G0.text, sorted(G0.labels)), (1, LEAF.text, sorted(LEAF.labels))], "position int, text string, labels array<string>").coalesce(1).write.json(source)
