@@ -99,6 +99,11 @@ def predicate_pid(spark, sf_dir):
 
 
 def clean_documents(spark, sf_dir):
+    """Cut as its twin is; ``whole_documents`` has the whole texts."""
+    return corpora.texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", most=2000)
+
+
+def whole_documents(spark, sf_dir):
     return corpora.texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
@@ -468,7 +473,7 @@ def selectivity(spark, sf_dir):
 
 
 QUERIES = (
-    cold_filter, exact_hit, certified_query, certified_workload, exact_cache_calls, normalize_text, predicate_pid, clean_documents, yes_no_parse, token_cost,
+    cold_filter, exact_hit, certified_query, certified_workload, exact_cache_calls, normalize_text, predicate_pid, clean_documents, whole_documents, yes_no_parse, token_cost,
     relation_setalgebra, relation_extensional, relation_mix, threshold_head, superset_prune, positive_union, disjoint_elim, equiv_split, multi_view_plan,
     conflict_demotion, view_ranking, reported_mask, stratum_sizes, hash_sample_pool, hash_sample_strata, audit_attribution, sample_sizes, hypergeom_bounds,
     recall_precision_bounds, escalation_order, allowance_split, view_statistics, view_lineage, call_charges, noise_flip, answer_cache, missing_cells,

@@ -22,9 +22,10 @@ def yes_no(reply: Column) -> Column:
     return F.when(bare.rlike("^(yes|true)"), True).when(bare.rlike("^(no|false)"), False).otherwise(bare.contains("yes"))
 
 
-def clean_document(text: Column, most: int = 2000) -> Column:
-    """White space collapsed, cut to ``most`` characters."""
-    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+def clean_document(text: Column, most: int | None = None) -> Column:
+    """White space collapsed; cut to ``most`` characters only if that is given."""
+    whole = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def trigram_counts(text: Column, dim: int = 256) -> Column:

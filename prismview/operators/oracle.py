@@ -94,12 +94,13 @@ class ModelOracle:
     """A model behind a client, asked on the executors; ``client()`` makes ``(text, document) -> reply`` there.
 
     ``corpus``: ``row_id, text``. Replies that fail are tried again ``attempts`` times.
+    Documents are sent whole unless ``most_chars`` is given.
     """
 
     corpus: DataFrame
     client: Callable[[], Callable[[str, str], str]]
     prompt_version: str = "1"
-    most_chars: int = 1200
+    most_chars: int | None = None
     attempts: int = 6
 
     @property

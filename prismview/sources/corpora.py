@@ -30,12 +30,12 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("doc_id").alias("row_id"), F.array_sort(F.array_compact(all_of)).alias("labels"))
 
 
-def texts(df: DataFrame, id_col: str, text_col: str, least: int = 50, most: int = 2000) -> DataFrame:
-    """``row_id, text``: tidied, cut, and without the shortest."""
+def texts(df: DataFrame, id_col: str, text_col: str, least: int = 50, most: int | None = None) -> DataFrame:
+    """``row_id, text``: tidied, without the shortest, and whole unless ``most`` is given."""
     return df.select(F.col(id_col).alias("row_id"), clean_document(F.col(text_col), most).alias("text")).filter(F.length("text") >= least)
 
 
-def news_csv(spark: SparkSession, path: str, most_rows: int | None = None, most: int = 2000) -> DataFrame:
+def news_csv(spark: SparkSession, path: str, most_rows: int | None = None, most: int | None = None) -> DataFrame:
     """A headerless CSV of class, title and body."""
     rows = spark.read.csv(path, schema="class int, title string, body string", quote='"', escape='"', multiLine=True)
     rows = rows if most_rows is None else rows.limit(most_rows)

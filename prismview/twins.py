@@ -144,6 +144,7 @@ SQL = {
     "normalize_text": "SELECT doc_id, trim(regexp_replace(translate(lower(text), '.,', '  '), '\\s+', ' ', 'g')) AS norm FROM documents",
     "predicate_pid": "SELECT doc_id, substr(sha1(text), 1, 12) AS pid FROM documents",
     "clean_documents": f"SELECT doc_id AS row_id, substr({_clean}, 1, 2000) AS text FROM documents WHERE length(substr({_clean}, 1, 2000)) >= 50",
+    "whole_documents": f"SELECT doc_id AS row_id, {_clean} AS text FROM documents WHERE length({_clean}) >= 50",
     "yes_no_parse": f"SELECT conv_id, turn, CASE WHEN regexp_matches(b, '^(yes|true)') THEN true WHEN regexp_matches(b, '^(no|false)') THEN false ELSE contains(b, 'yes') END AS answer FROM (SELECT conv_id, turn, {_bare} AS b FROM conversations)",
     "token_cost": "SELECT conv_id, round(coalesce(sum(length(text)) FILTER (role = 'user'), 0) * (0.15 / 1e6) + coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) * (0.60 / 1e6), 9) AS dollars FROM conversations GROUP BY 1",
     "relation_setalgebra": f"SELECT p.name AS p, q.name AS q, {RELATION.format(p='p.labels', q='q.labels')} AS relation FROM {SETS} p JOIN {SETS} q ON p.name <> q.name",

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from prismview.functions import bounds, text
 from prismview.functions.sampling import sample_pool, sample_strata
+from prismview.operators.oracle import ModelOracle
+from prismview.plans.predicates import Predicate
+from prismview.sources import corpora
 
 
 def exact_at_most(k, n, t, m):
@@ -54,6 +57,18 @@ def test_text_forms(spark):
     assert [r.y for r in got] == [True, None, False, True, False]
 
 
+def test_documents_are_whole_unless_a_cut_is_asked_for(spark, tmp_path):
+    long = "word " * 1000
+    rows = spark.createDataFrame([(1, f" {long}\n")], "doc_id long, text string")
+    assert rows.select(text.clean_document(F.col("text"))).first()[0] == long.strip()
+    assert corpora.texts(rows, "doc_id", "text").first().text == long.strip()
+    assert len(corpora.texts(rows, "doc_id", "text", most=2000).first().text) == 2000
+    (tmp_path / "news.csv").write_text(f'1,"Title","{long}"\n')
+    assert corpora.news_csv(spark, str(tmp_path / "news.csv")).first().text == f"Title. {long.strip()}"
+    asked = ModelOracle(rows.select(F.col("doc_id").alias("row_id"), "text"), lambda: lambda claim, document: "yes" if len(document) > 1200 else "no")
+    assert asked.answers(Predicate("long", frozenset()), spark.createDataFrame([(1,)], "row_id long")).first().answer
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     rows = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("string").alias("stratum"))
     a = sample_pool(rows.repartition(7), 100, 1, 2, "x").collect()
