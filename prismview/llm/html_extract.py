@@ -16,9 +16,11 @@ Branches of low composite importance are removed, and so are single contents tha
 recur on most pages of a node. Menus and adverts that change from page to page look
 important to the tree, and a passage that many articles share looks unimportant; so
 the names of elements and classes count as well: what they mark as menu, header,
-footer, sidebar, notice, advert, form or comment goes, and the tree removes nothing
-inside an article (or main element) that the page itself marks. Pages without such a
-mark lose what either shows to be noise.
+footer, sidebar, notice, advert, form or comment goes. Inside an article (or main
+element) that the page itself marks, the tree removes branches of low composite or
+content importance, never single contents; and where these are half of the marked
+text or more, the site repeats the article itself, and all of it stays. Pages without
+such a mark lose what either shows to be noise.
 
 Counts are (host, path, content) sums that are combined in each batch before the
 shuffle, so a host that holds a third of all pages meets in no single task. Noise
@@ -46,6 +48,8 @@ from prismview.llm.scratch import shared_folder, written
 #: Fewest distinct pages that tell anything about a node; importance below which a node is noise; entropy from which a content is.
 LEAST_PAGES, LOW, RECURS = 5, 0.2, 0.8
 DAMPING = 0.9
+#: Items of noise entries that stand for a whole branch: of low composite importance, of low content importance.
+BRANCH, REPEATED = 0, 1
 BLOCK_ENTRIES = 500_000
 
 ROW = "kind int, node long, parent long, item long, page long"
@@ -97,7 +101,7 @@ def tree_batch(rows: set) -> pa.RecordBatch:
 
 
 def importances(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``node, importance, m`` of every leaf, and ``node, item, k`` of contents on at least LEAST_PAGES ^ RECURS pages. ``rows``: the tree."""
+    """``node, importance, m, content`` of every leaf, and ``node, item, k`` of contents on at least LEAST_PAGES ^ RECURS pages. ``rows``: the tree."""
     sizes = rows.select("kind", "node", "page").distinct().groupBy("kind", "node").agg(F.count("*").alias("m"))
     items = rows.groupBy("kind", "node", "item").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
     # Entropies as sums over a node's items: no join brings all items of a node together.
@@ -109,15 +113,16 @@ def importances(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = nodes.filter("kind = 1").select(F.col("node").alias("parent"), presentation.alias("presentation"), F.col("items").alias("styles"))
     leaf = nodes.filter("kind = 0").select("node", "parent", "m", content.alias("content")).join(inner, "parent", "left")
     weight = F.pow(F.lit(DAMPING), F.coalesce("styles", F.lit(1)))
-    leaf = leaf.select("node", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"), "m")
+    leaf = leaf.select("node", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"), "m", "content")
     return leaf, items.filter(f"kind = 0 AND k >= {LEAST_PAGES**RECURS}").select("node", "item", "k")
 
 
 def noise_of(pages: DataFrame, folder: str) -> DataFrame:
-    """``node, item``: a branch to remove (item 0), or a content that recurs on a node. ``pages``: ``host, html``."""
+    """``node, item``: a branch to remove (BRANCH; inside articles REPEATED too), or a content that recurs on a node. ``pages``: ``host, html``."""
     leaf, contents = importances(written(pages.mapInArrow(tree_rows, ROW).distinct(), "tree", folder))
     leaf = written(leaf.filter(F.col("m") >= LEAST_PAGES), "leaves", folder)
-    low = leaf.filter(F.col("importance") < LOW).select("node", F.lit(0).cast("long").alias("item"))
+    low = leaf.filter(F.col("importance") < LOW).select("node", F.lit(BRANCH).cast("long").alias("item"))
+    low = low.union(leaf.filter(F.col("content") < LOW).select("node", F.lit(REPEATED).cast("long")))
     recurs = contents.join(leaf.select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
     return written(low.union(recurs).distinct(), "noise", folder)
 
@@ -126,9 +131,14 @@ def main_text(page: str, host: str, noise: set[tuple[int, int]]) -> str:
     blocks, _ = read_blocks(page)
     level = max((b.main for b in blocks if not b.noise), default=0)
     kept = [b for b in blocks if not b.noise and b.main >= level]
-    if not level and noise:
+    if noise:
         node = {p: node_key(host, p) for p in {b.path for b in kept}}
-        kept = [b for b in kept if (node[b.path], 0) not in noise and (node[b.path], hashed(b.text)) not in noise]
+        if level:
+            low = {p for p, n in node.items() if (n, BRANCH) in noise or (n, REPEATED) in noise}
+            if 2 * sum(len(b.text) for b in kept if b.path in low) < sum(len(b.text) for b in kept):
+                kept = [b for b in kept if b.path not in low]
+        else:
+            kept = [b for b in kept if (node[b.path], BRANCH) not in noise and (node[b.path], hashed(b.text)) not in noise]
     return "\n\n".join(b.text for b in kept)
 
 

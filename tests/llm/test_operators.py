@@ -428,6 +428,19 @@ def test_article_is_left_alone(spark):
     assert html_lib.unescape("&amp;") == "&"
 
 
+def test_style_tree_judges_branches_inside_articles(spark):
+    box = "<div class='x'>Read also: our archive</div>"
+    extra = ["", "<ul><li>one {0}</li></ul>", "<h2>Part {0}</h2>", "<blockquote>Said {0}</blockquote>"]
+    rows = [(i, "http://h/x", f"<article><h1>Head {i}</h1>{box}<p>Text of number {i} and so on to its end.</p>{extra[i % 4].format(i)}</article>") for i in range(20)]
+    # Another site gives the same article on every page under its own heading.
+    same = "<p>" + "The same long text stands here. " * 5 + "</p>"
+    rows += [(100 + i, "http://g/x", f"<article><h1>Head {i}</h1>{same}</article>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    tail = ["", "\n\none {0}", "\n\nPart {0}", "\n\nSaid {0}"]
+    assert all(got[i] == f"Head {i}\n\nText of number {i} and so on to its end." + tail[i % 4].format(i) for i in range(20))
+    assert all(got[100 + i].startswith(f"Head {i}\n\nThe same long text") for i in range(20))
+
+
 # scratch
 
 
