@@ -28,7 +28,9 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"']++)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|[^<]+|<""", re.S
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-NAMES = re.compile(r"[a-z]+")
+NAMES = re.compile(r"[^\W\d_]+")
+#: Elements that are never noise by their class, id or role.
+NEVER = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -41,6 +43,12 @@ class Block:
     noise: bool
 
 
+def noise_name(token: str) -> bool:
+    """Whether a class, id or role is made of listed words only; digits do not count."""
+    words = NAMES.findall(token)
+    return bool(words) and NOISE_NAMES.issuperset(words)
+
+
 def presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Name of the element in the style tree, whether it is noise by name, whether it is a main element by role."""
     noise = tag in NOISE_TAGS
@@ -48,14 +56,14 @@ def presentation(tag: str, attributes: str) -> tuple[str, bool, bool]:
         return tag, noise, False
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    noise = noise or not NOISE_NAMES.isdisjoint(NAMES.findall(named)) or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
+    noise = noise or (tag not in NEVER and any(map(noise_name, named.split()))) or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
     style = re.sub(r"\d+", "0", f"{found.get('class', '')}#{found.get('id', '')}")
     return f"{tag}.{style}" if style != "#" else tag, noise, found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
 
 
 def read_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """The blocks of a page in order, and for each path the presentation of its children."""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, noise, main
+    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, 0, False)]  # tag, path, noise, main, inline noise
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
     held: list[str] = []
@@ -66,7 +74,7 @@ def read_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, noise, main = stack[-1]
+                _, path, noise, main, _ = next(s for s in reversed(stack) if not s[4])
                 blocks.append(Block(text, path, path.rpartition("/")[0], main, noise))
 
     while at < length:
@@ -74,14 +82,15 @@ def read_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if page[m.start()] != "<" or m.end() - m.start() == 1:
+            if not stack[-1][4] and (page[m.start()] != "<" or m.end() - m.start() == 1):
                 held.append(m[0])
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
             place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if place:
-                flush()
+                if not all(s[4] for s in stack[place:]):
+                    flush()
                 del stack[place:]
             elif tag in BLOCK:
                 flush()
@@ -99,7 +108,11 @@ def read_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
         name, noise, is_main = presentation(tag, attributes)
         if tag not in BLOCK and not noise and not is_main:
             continue  # inline
-        flush()
+        inline = tag not in BLOCK and not is_main
+        if inline:
+            held.append(" ")  # its text is left out of the block around it
+        else:
+            flush()
         if tag in BLOCK:
             same = SIBLINGS.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
@@ -109,10 +122,10 @@ def read_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
                         break
                 elif same and stack[i][0] in SCOPES:
                     break
-        _, path, inherited, main = stack[-1]
+        _, path, inherited, main, _ = stack[-1]
         children.setdefault(path, []).append(name)
         level = 2 if tag == "article" or is_main else 1 if tag == "main" else 0
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, f"{path}/{name}", inherited or noise, max(main, level)))
+            stack.append((tag, f"{path}/{name}", inherited or noise, max(main, level), inline))
     flush()
     return blocks, children

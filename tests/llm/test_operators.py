@@ -402,6 +402,22 @@ def test_main_text_of_a_page():
     assert html_extract.main_text("<p " + 'x="' * 5000, "h", set()).startswith("<p")
 
 
+def test_names_are_noise_as_whole_tokens_only():
+    read = lambda page: html_extract.main_text(page, "h", set())
+    for wrapper in ("<body class='content no-sidebar'>", "<body class='search'>", "<article class='post comments-open'>", "<article id='notice'>", "<main class='has-header share'>", "<div class='has-header'>"):
+        assert read(f"<html>{wrapper}<p>Whole text</p>") == "Whole text", wrapper
+    assert read("<article><h2 id='legal-basis'>Law</h2><h3 class='notice'>N</h3><section id='social-effects'><p>Effects</p></section></article>") == "Law\n\nN\n\nEffects"
+    for name in ("ad", "ad-300", "ad300", "cookie-notice", "social_share", "box comments"):
+        assert read(f"<article><p>Text</p><div class='{name}'><p>Noise</p></div></article>") == "Text", name
+
+
+def test_inline_noise_leaves_its_paragraph_whole():
+    read = lambda page: html_extract.main_text(page, "h", set())
+    assert read("<p>One <button>Copy</button>two <span class='ad'>Buy <b>now</b></span>three</p><p>Next</p>") == "One two three\n\nNext"
+    assert read("<p>One <span hidden>no</p><p>Next <svg/>one</p>") == "One\n\nNext one"
+    assert read("<p>One <button>x<div>y</div>z</button> two</p>") == "One\n\ntwo"
+
+
 @pytest.mark.parametrize("block_entries", [html_extract.BLOCK_ENTRIES, 1])
 def test_style_tree_removes_what_a_site_repeats(spark, block_entries):
     rng = random.Random(9)
