@@ -129,7 +129,7 @@ def noise_of(pages: DataFrame, folder: str) -> DataFrame:
 
 def main_text(page: str, host: str, noise: set[tuple[int, int]]) -> str:
     blocks, _ = read_blocks(page)
-    level = max((b.main for b in blocks if not b.noise), default=0)
+    level = min(max((b.main for b in blocks if not b.noise), default=0), 1)  # an article and a main element weigh the same
     kept = [b for b in blocks if not b.noise and b.main >= level]
     if noise:
         node = {p: node_key(host, p) for p in {b.path for b in kept}}

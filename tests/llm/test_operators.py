@@ -402,6 +402,12 @@ def test_main_text_of_a_page():
     assert html_extract.main_text("<p " + 'x="' * 5000, "h", set()).startswith("<p")
 
 
+def test_an_article_does_not_replace_the_main_element_around_it():
+    card = "<main><h1>Title</h1><p>whole story</p><article class='card'>teaser</article></main>"
+    assert html_extract.main_text(f"<p>outside</p>{card}", "h", set()) == "Title\n\nwhole story\n\nteaser"
+    assert html_extract.main_text("<main><h1>Title</h1><article><p>Text</p></article></main>", "h", set()) == "Title\n\nText"
+
+
 def test_names_are_noise_as_whole_tokens_only():
     read = lambda page: html_extract.main_text(page, "h", set())
     for wrapper in ("<body class='content no-sidebar'>", "<body class='search'>", "<article class='post comments-open'>", "<article id='notice'>", "<main class='has-header share'>", "<div class='has-header'>"):
