@@ -9,13 +9,16 @@ is listed if its score differs significantly from its parent's; others take the
 score of the nearest listed prefix, or that of the rest. Of N names none is expected
 to reach a z-score of sqrt(2 ln N) by chance, and that is the level.
 
-*Segments.* A linear-time scan (Ruzzo and Tompa) finds every maximal segment. As
-documents are counted, not occurrences, a toxic word scores where it first stands in
-a text; where it comes again it scores as the rest.
+*Segments.* A linear-time scan (Ruzzo and Tompa) finds every maximal segment; each
+occurrence of a word has its full score there, and passages are these segments. As
+documents are counted, not occurrences, the score of a document is damped: within a
+segment the j-th occurrence of a toxic word counts 1 / j of its score, anew in each
+segment, and the best stretch of a damped segment is the document's.
 
 *Calibration.* The best segment of n clean words follows an extreme-value law,
 P(S >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves the Karlin-Altschul equation
-under the clean word frequencies, K is fitted to clean training documents. The
+under the clean word frequencies, K is fitted to clean training documents, once for
+damped segments and once for passages. The
 score of a document is x / (x + t), where x = -log10 P of its best segment and t is
 the threshold with the fewest errors in training, so 0.5 is the decision.
 
@@ -94,12 +97,16 @@ class Model:
     listed: dict[str, float]
     rest: float
     decay: float = 1.0  # lambda
-    scale: float = 1.0  # K
+    scale: float = 1.0  # K of damped segments
+    passage_scale: float = 1.0  # K of passages
     threshold: float = 1.0
 
     def evalue(self, score: float, n: int) -> float:
         return self.scale * n * math.exp(-self.decay * score)
 
+    def passage_evalue(self, score: float, n: int) -> float:
+        return self.passage_scale * n * math.exp(-self.decay * score)
+
     def surprise(self, score: float, n: int) -> float:
         """-log10 of the chance that n clean words hold so good a segment."""
         if score <= 0 or n <= 0:
@@ -136,23 +143,36 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, after - before) for a, b, before, after in found]
 
 
-def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]]]:
-    """Words of a text, and its maximal segments in words."""
+def best_stretch(scores: list[float]) -> float:
+    """Score of the best segment; 0 if none is positive."""
+    best = run = 0.0
+    for s in scores:
+        run = max(run + s, 0.0)
+        best = max(best, run)
+    return best
+
+
+def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]], float]:
+    """Words of a text, its maximal segments in words, and the best damped score."""
     words = WORD.findall(text.lower())
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-    seen = set()
-    for i in np.flatnonzero(values > 0).tolist():
-        if words[i] in seen:
-            values[i] = scores.rest
-        seen.add(words[i])
     positive = values > 0
     if not positive.any():
-        return len(words), []
+        return len(words), [], 0.0
     # Sum runs of one sign first: the scan then takes as many steps as there are runs.
     edges = np.concatenate([[0], np.flatnonzero(positive[1:] != positive[:-1]) + 1])
-    sums = np.add.reduceat(values, edges).tolist()
     ends = np.append(edges[1:], len(words))
-    return len(words), [(int(edges[a]), int(ends[b - 1]), s) for a, b, s in maximal_segments(sums)]
+    runs = maximal_segments(np.add.reduceat(values, edges).tolist())
+    best = 0.0
+    for a, b, s in runs:
+        first, last = int(edges[a]), int(ends[b - 1])
+        seen: Counter[str] = Counter()
+        for i in (np.flatnonzero(positive[first:last]) + first).tolist():
+            seen[words[i]] += 1
+            values[i] /= seen[words[i]]
+        again = len(seen) < seen.total()
+        best = max(best, best_stretch(np.add.reduceat(values[first:last], edges[a:b] - first).tolist()) if again else s)
+    return len(words), [(int(edges[a]), int(ends[b - 1]), s) for a, b, s in runs], best
 
 
 def names_in(text: str) -> set[str]:
@@ -233,21 +253,22 @@ def learn(sample: DataFrame) -> Model | None:
 
 
 def measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Best segment and length of each training document."""
+    """Best damped segment, best passage and length of each training document."""
     model: Model = shared.value
     scores = Scores(model.listed, model.rest)
     for batch in batches:
         found = [segments_of(t or "", scores) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _ in found], pa.int64()), pa.array([max((s[2] for s in x), default=0.0) for _, x in found], pa.float64())], names=["toxic", "n", "best"])
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _, _ in found], pa.int64()), pa.array([b for _, _, b in found], pa.float64()), pa.array([max((s[2] for s in x), default=0.0) for _, x, _ in found], pa.float64())], names=["toxic", "n", "best", "passage"])
 
 
 def calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> Model:
     """Fits K and the threshold on the bounded sample; classes count as often as they are labelled (``sizes``)."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
-    rows = sample.mapInArrow(lambda b: measure(b, shared), "toxic int, n long, best double").collect()
+    rows = sample.mapInArrow(lambda b: measure(b, shared), "toxic int, n long, best double, passage double").collect()
     # Gumbel: the mean of lambda S - ln n over clean documents is ln K plus Euler's constant.
-    clean = [model.decay * r.best - math.log(r.n) for r in rows if not r.toxic and r.n]
-    model.scale = max(math.exp(sum(clean) / len(clean) - 0.5772156649) if clean else 0.0, 1e-6)
+    clean = [r for r in rows if not r.toxic and r.n]
+    fitted = lambda best: max(math.exp(sum(model.decay * r[best] - math.log(r.n) for r in clean) / len(clean) - 0.5772156649) if clean else 0.0, 1e-6)
+    model.scale, model.passage_scale = fitted("best"), fitted("passage")
     x = np.array([model.surprise(r.best, r.n) for r in rows])
     y = np.array([r.toxic for r in rows])
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
@@ -271,10 +292,10 @@ def grade(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Itera
     for batch in batches:
         score, passages = [], []
         for text in batch["text"].to_pylist():
-            n, found = segments_of(text or "", scores) if model else (0, [])
-            x = model.surprise(max((s[2] for s in found), default=0.0), n) if model else 0.0
+            n, found, best = segments_of(text or "", scores) if model else (0, [], 0.0)
+            x = model.surprise(best, n) if model else 0.0
             score.append(x / (x + model.threshold) if model else 0.0)
-            graded = ((a, b, s, model.evalue(s, n)) for a, b, s in found)
+            graded = ((a, b, s, model.passage_evalue(s, n)) for a, b, s in found)
             passages.append([{"start": a, "end": b, "score": s, "evalue": e} for a, b, s, e in graded if e <= PASSAGE_E])
         columns = [batch["doc_id"], score, [int(s >= 0.5) for s in score], passages]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -307,8 +328,8 @@ def keep_clean(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iter
     for batch in batches:
         keep = []
         for text in batch[text_col].to_pylist():
-            n, found = segments_of(text or "", scores) if model else (0, [])
-            keep.append(not model or model.surprise(max((s[2] for s in found), default=0.0), n) < model.threshold)
+            n, _, best = segments_of(text or "", scores) if model else (0, [], 0.0)
+            keep.append(not model or model.surprise(best, n) < model.threshold)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -322,6 +323,27 @@ def test_toxicity_learns_and_keeps_out(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxic_passages_and_words_that_come_again():
+    scores = toxicity.Scores({"vile$": 3.0, "foul$": 2.5, "nasty$": 2.8}, -0.5)
+    clean, bad = "calm " * 40, "vile foul nasty "
+    n, found, best = toxicity.segments_of(clean + bad + clean + bad + clean, scores)
+    assert n == 126 and [(a, b) for a, b, _ in found] == [(40, 43), (83, 86)] and all(abs(s - 8.3) < 1e-9 for _, _, s in found) and abs(best - 8.3) < 1e-9
+    # First mentions far apart leave the words of a dense passage to it.
+    assert abs(toxicity.segments_of("vile " + clean + "foul " + clean + "nasty " + clean + bad, scores)[2] - 8.3) < 1e-9
+    # The j-th occurrence in a segment counts 1 / j.
+    assert abs(toxicity.segments_of("vile calm vile vile", scores)[2] - (3 - 0.5 + 3 / 2 + 3 / 3)) < 1e-9
+    assert abs(toxicity.segments_of("vile " + "calm " * 4 + "vile", scores)[2] - 3.0) < 1e-9  # 3 - 4 x 0.5 + 3 / 2 is less
+    model = toxicity.Model(scores.listed, scores.rest, 1.0, 0.05, 0.05, 1.0)
+    grades = [model.surprise(toxicity.segments_of("vile " * k, scores)[2], k) for k in (1, 2, 10, 100, 500)]
+    assert grades == sorted(grades) and grades[-1] > 2 * grades[0]
+    texts = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([clean + bad + clean + bad + clean])], names=["doc_id", "text"])
+    passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("passages", passage)])
+    model.passage_scale = 0.001
+    (got,) = toxicity.grade(iter([texts]), type("Shared", (), {"value": model}), schema)
+    assert [(p["start"], p["end"]) for p in got["passages"][0].as_py()] == [(40, 43), (83, 86)]
+
+
 # chat
 
 
