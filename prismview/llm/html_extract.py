@@ -1,9 +1,10 @@
 """Main-text extraction by a site style tree.
 
-The pages of a host are merged into one tree whose element nodes are paths of
-elements with their presentation (tag, class, id). For every element node the tree
-counts in how many of the host's distinct pages it occurs, which presentation styles
-its children have there, and in how many pages each piece of its content recurs.
+The pages of a host are merged into one tree whose element nodes are places in the
+page with their presentation (tags, classes, ids). For every node the tree counts in
+how many of the host's distinct pages it occurs, which presentation styles its
+children have there, in how many pages each piece of its content recurs, and how much
+of the host's text it holds.
 
 * Presentation importance of a node on m pages: the entropy, to the base m, of the
   styles of its children; 1 if m = 1.
@@ -12,47 +13,58 @@ its children have there, and in how many pages each piece of its content recurs.
 * Composite importance of a leaf: (1 - g^l) presentation + g^l content, where l is the
   number of styles of its parent and g = 0.9.
 
-Branches of low composite importance are removed, and so are single contents that
-recur on most pages of a node. Menus and adverts that change from page to page look
-important to the tree, and a passage that many articles share looks unimportant; so
-the names of elements and classes count as well: what they mark as menu, header,
-footer, sidebar, notice, advert, form or comment goes. Inside an article (or main
-element) that the page itself marks, the tree removes branches of low composite or
-content importance, never single contents; and where these are half of the marked
-text or more, the site repeats the article itself, and all of it stays. Pages without
-such a mark lose what either shows to be noise.
+One rule holds for every leaf of every host: it is removed, with all its blocks, if its
+importance times its prior is below LOW. Its importance is the lesser of composite and
+content; 1 where fewer than LEAST_PAGES pages tell nothing, or where the leaf holds
+half of the host's text or more, for then the site repeats the article itself. Its prior is
 
-Counts are (host, path, content) sums that are combined in each batch before the
-shuffle, so a host that holds a third of all pages meets in no single task. Noise
-entries reach the pages in blocks of at most BLOCK_ENTRIES, by host.
+* NAMED if an element around it says by tag, class, id, role or style that it is a menu,
+  header, footer, sidebar, notice, advert, form or comment. Menus and adverts change from
+  page to page, so entropy alone calls them important. The tree overturns names of elements
+  that hold MOST of the host's text: that is no menu, whatever it is called.
+* OUTSIDE if the page marks an article or main element and the leaf is not in one. The
+  tree overturns the mark where elements without a name hold MOST of what these pages have
+  outside names, and stand outside the marks.
+* 1 otherwise.
+
+Where pages mark no main element, single contents that recur on most pages of their leaf
+go as well; inside a marked one they stay, as articles may share a passage.
+
+Counts are sums over (node, content) that are combined in each batch before the shuffle,
+and blocks meet the noise entries by salted keys, so a host that holds a third of all
+pages meets in no single task. Nothing is broadcast but the slot numbers of ``rows_with``.
+Pages are read once; their blocks are kept in the shared folder.
 
 A null html is an empty page and gives an empty text; a null url belongs to the host
-"". Equal pages of a host count once in the tree, and each gets its row. An empty
-table gives an empty result. Other columns are ignored, whatever their names.
+"". Equal pages of a host count once in the tree, and each gets its row, also for null
+or repeated ids. An empty table gives an empty result. Other columns are ignored,
+whatever their names. Very long pages are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.html_tree import read_blocks
-from prismview.llm.scratch import shared_folder, written
+from prismview.llm.html_tree import INSIDE, OUTSIDE, UNMARKED, Block, read_blocks
+from prismview.llm.scratch import rows_with, shared_folder, written
 
-#: Fewest distinct pages that tell anything about a node; importance below which a node is noise; entropy from which a content is.
+#: Fewest distinct pages that tell anything about a node; weighted importance below which a node is noise; entropy from which a content is.
 LEAST_PAGES, LOW, RECURS = 5, 0.2, 0.8
 DAMPING = 0.9
-#: Items of noise entries that stand for a whole branch: of low composite importance, of low content importance.
-BRANCH, REPEATED = 0, 1
-BLOCK_ENTRIES = 500_000
+#: Priors, and shares of a host's text that overturn them.
+PRIOR_NAMED, PRIOR_OUTSIDE, HALF, MOST = 0.1, 0.1, 0.5, 0.9
+#: The item of noise entries that stand for a whole leaf; parts of a leaf's blocks.
+BRANCH, SALTS = 0, 16
 
-ROW = "kind int, node long, parent long, item long, page long"
+BLOCK = "node long, parent long, item long, size long, named long, state int, text string"
+PAGE = f"row long, page_id long, url string, host long, page long, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, styles array<struct<node:long,style:long>>"
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -62,109 +74,110 @@ def host_of(url: Column) -> Column:
 
 
 def hashed(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
-
-
-def host_key(host: str) -> int:
-    return xxhash.xxh3_64_intdigest(host) >> 48
-
-
-def node_key(host: str, path: str) -> int:
-    """16 bits of the host, by which noise is dealt into blocks, and 48 of the path at that host."""
-    key = host_key(host) << 48 | xxhash.xxh3_64_intdigest(f"{host}\0{path}") >> 16
-    return key - (1 << 64) if key >> 63 else key
-
-
-def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page adds to its host's tree: contents of leaves (kind 0), styles of inner nodes (kind 1)."""
-    for batch in batches:
-        rows: set[tuple[int, int, int, int, int]] = set()
-        for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            page = page or ""
-            which = hashed(page)
-            blocks, children = read_blocks(page)
-            for b in blocks:
-                rows.add((0, node_key(host, b.path), node_key(host, b.parent), hashed(b.text), which))
-            for path, names in children.items():
-                style = [n for i, n in enumerate(names) if not i or names[i - 1] != n]  # repeated siblings are one
-                rows.add((1, node_key(host, path), 0, hashed(*style), which))
-            if len(rows) > 50_000:
-                yield tree_batch(rows)
-                rows = set()
-        yield tree_batch(rows)
-
-
-def tree_batch(rows: set) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = [pa.int32()] + [pa.int64()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")])
-
-
-def importances(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``node, importance, m, content`` of every leaf, and ``node, item, k`` of contents on at least LEAST_PAGES ^ RECURS pages. ``rows``: the tree."""
-    sizes = rows.select("kind", "node", "page").distinct().groupBy("kind", "node").agg(F.count("*").alias("m"))
-    items = rows.groupBy("kind", "node", "item").agg(F.count("*").alias("k"), F.min("parent").alias("parent"))
+    return (xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)) or 1
+
+
+def lists_of(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """Rows of tuples as a list column of structs."""
+    flat = list(zip(*(t for r in rows for t in r), strict=True)) or [()] * kind.num_fields
+    columns = [pa.array(c, kind.field(i).type) for i, c in enumerate(flat)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
+BLOCK_TYPE = pa.struct([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[t]) for n, t in (c.split() for c in BLOCK.split(", "))])
+STYLE_TYPE = pa.struct([("node", pa.int64()), ("style", pa.int64())])
+
+
+def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``page_id, url, html, host`` to PAGE rows; numbers them by task."""
+    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+    for whole in batches:
+        for first in range(0, whole.num_rows, 200):  # bounds the blocks held at once
+            batch = whole.slice(first, 200)
+            hosts, pages = batch["host"].to_pylist(), [p or "" for p in batch["html"].to_pylist()]
+            read = [read_blocks(p, h) for p, h in zip(pages, hosts, strict=True)]
+            told = [[(b.node, b.parent, hashed(b.text), len(b.text), b.named, b.state, b.text) for b in blocks] for blocks, _ in read]
+            numbers = [pa.array(range(row, row + len(pages)), pa.int64()), pa.array(map(hashed, hosts), pa.int64()), pa.array([hashed(h, p) for h, p in zip(hosts, pages, strict=True)], pa.int64())]
+            columns = [numbers[0], batch["page_id"], batch["url"], *numbers[1:], lists_of(told, BLOCK_TYPE), lists_of([s for _, s in read], STYLE_TYPE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "url", "host", "page", "blocks", "styles"])
+            row += len(pages)
+
+
+def leaves_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree's leaves with their importances, and their contents on at least LEAST_PAGES ^ RECURS pages. ``pages``: PAGE rows."""
+    facts = ["node", "item", "page", "host", "parent", "named", "state"]
+    blocks = pages.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", *[f"b.{c}" for c in ("node", "item", "parent", "named", "state", "size")])
+    once = blocks.groupBy(*facts).agg(F.max("size").alias("size"))  # a content counts once a page
+    items = once.groupBy("node", "item").agg(F.count("*").alias("k"), F.sum("size").alias("size"), *[F.min(c).alias(c) for c in facts[3:]])
+    sizes = blocks.select("node", "page").distinct().groupBy("node").agg(F.count("*").alias("m"))
     # Entropies as sums over a node's items: no join brings all items of a node together.
-    sums = [F.sum(F.log("k")).alias("logs"), F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("weighted"), F.count("*").alias("items"), F.min("parent").alias("parent")]
-    nodes = items.groupBy("kind", "node").agg(*sums).join(sizes, ["kind", "node"])
-    base, many = F.log("m"), F.col("m") > 1
-    presentation = F.when(many, (F.col("pages") * base - F.col("weighted")) / F.col("m") / base).otherwise(1.0)
-    content = F.when(many, 1 - F.col("logs") / F.col("items") / base).otherwise(1.0)
-    inner = nodes.filter("kind = 1").select(F.col("node").alias("parent"), presentation.alias("presentation"), F.col("items").alias("styles"))
-    leaf = nodes.filter("kind = 0").select("node", "parent", "m", content.alias("content")).join(inner, "parent", "left")
+    sums = [F.sum(F.log("k")).alias("logs"), F.count("*").alias("items"), F.sum("size").alias("size"), *[F.min(c).alias(c) for c in facts[3:]]]
+    leaf = items.groupBy("node").agg(*sums).join(sizes, "node")
+    styles = pages.select("page", F.explode("styles").alias("s")).select("page", "s.node", "s.style").distinct().groupBy("node", "style").agg(F.count("*").alias("k"))
+    inner = styles.groupBy(F.col("node").alias("parent")).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("weighted"), F.count("*").alias("styles"))
+    base, many = F.log("pages"), F.col("pages") > 1
+    presentation = F.when(many, (F.col("pages") * base - F.col("weighted")) / F.col("pages") / base).otherwise(1.0)
+    leaf = leaf.join(inner.select("parent", "styles", presentation.alias("presentation")), "parent", "left")
+    content = F.when(F.col("m") > 1, 1 - F.col("logs") / F.col("items") / F.log("m")).otherwise(1.0)
     weight = F.pow(F.lit(DAMPING), F.coalesce("styles", F.lit(1)))
-    leaf = leaf.select("node", ((1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * F.col("content")).alias("importance"), "m", "content")
-    return leaf, items.filter(f"kind = 0 AND k >= {LEAST_PAGES**RECURS}").select("node", "item", "k")
+    composite = (1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * content
+    leaf = leaf.select("node", "host", "named", "state", "m", "size", content.alias("content"), composite.alias("composite"))
+    return leaf, items.filter((F.col("k") >= LEAST_PAGES**RECURS) & (F.col("state") == UNMARKED)).select("node", "item", "k")
+
+
+def judged(leaf: DataFrame) -> DataFrame:
+    """``node, m, prior, importance`` of every leaf."""
+    plain = F.col("named") == 0
+    total = lambda when: F.sum(F.when(when, F.col("size")).otherwise(0))
+    hosts = leaf.groupBy("host").agg(F.sum("size").alias("all"), total(plain & (F.col("state") != UNMARKED)).alias("marked"), total(plain & (F.col("state") == OUTSIDE)).alias("outside"))
+    names = leaf.filter("named <> 0").groupBy("named").agg(F.sum("size").alias("held"))
+    told = leaf.join(hosts, "host").join(names, "named", "left")
+    named = ~plain & (F.coalesce("held", F.lit(0)) < MOST * F.col("all"))
+    outside = (F.col("state") == OUTSIDE) & (F.col("outside") < MOST * F.col("marked"))
+    importance = F.when((F.col("m") < LEAST_PAGES) | (F.col("size") >= HALF * F.col("all")), 1.0).otherwise(F.least("composite", "content"))
+    return told.select("node", "m", F.when(named, PRIOR_NAMED).when(outside, PRIOR_OUTSIDE).otherwise(1.0).alias("prior"), importance.alias("importance"))
 
 
 def noise_of(pages: DataFrame, folder: str) -> DataFrame:
-    """``node, item``: a branch to remove (BRANCH; inside articles REPEATED too), or a content that recurs on a node. ``pages``: ``host, html``."""
-    leaf, contents = importances(written(pages.mapInArrow(tree_rows, ROW).distinct(), "tree", folder))
-    leaf = written(leaf.filter(F.col("m") >= LEAST_PAGES), "leaves", folder)
-    low = leaf.filter(F.col("importance") < LOW).select("node", F.lit(BRANCH).cast("long").alias("item"))
-    low = low.union(leaf.filter(F.col("content") < LOW).select("node", F.lit(REPEATED).cast("long")))
-    recurs = contents.join(leaf.select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
-    return written(low.union(recurs).distinct(), "noise", folder)
-
-
-def main_text(page: str, host: str, noise: set[tuple[int, int]]) -> str:
-    blocks, _ = read_blocks(page)
-    level = min(max((b.main for b in blocks if not b.noise), default=0), 1)  # an article and a main element weigh the same
-    kept = [b for b in blocks if not b.noise and b.main >= level]
-    if noise:
-        node = {p: node_key(host, p) for p in {b.path for b in kept}}
-        if level:
-            low = {p for p, n in node.items() if (n, BRANCH) in noise or (n, REPEATED) in noise}
-            if 2 * sum(len(b.text) for b in kept if b.path in low) < sum(len(b.text) for b in kept):
-                kept = [b for b in kept if b.path not in low]
-        else:
-            kept = [b for b in kept if (node[b.path], BRANCH) not in noise and (node[b.path], hashed(b.text)) not in noise]
-    return "\n\n".join(b.text for b in kept)
-
-
-def extract_batches(batches: Iterator[pa.RecordBatch], shared, blocks: int, block: int) -> Iterator[pa.RecordBatch]:
-    noise = set(map(tuple, shared.value.tolist()))
-    for batch in batches:
-        if blocks > 1:
-            batch = batch.filter(pa.array([host_key(h) % blocks == block for h in batch["host"].to_pylist()], pa.bool_()))
-        for first in range(0, batch.num_rows, 500):  # bounds the texts held at once
-            part = batch.slice(first, 500)
-            texts = [main_text(p or "", h, noise) for p, h in zip(part["html"].to_pylist(), part["host"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-
-def extract(pages: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """``node, item``: a leaf to remove (BRANCH), or a content that recurs on a leaf. ``pages``: PAGE rows."""
+    leaf, contents = leaves_of(pages)
+    told = written(judged(written(leaf, "leaves", folder)), "judged", folder)
+    low = told.filter(F.col("prior") * F.col("importance") < LOW).select("node", F.lit(BRANCH).cast("long").alias("item"))
+    recurs = contents.join(told.filter(F.col("m") >= LEAST_PAGES).select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
+    return written(low.union(recurs), "noise", folder)
+
+
+def hits(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """``row, drop``: numbers of the blocks of a page that are noise."""
+    keyed = lambda salt, item: F.xxhash64("node", item, salt)
+    entries = noise.select("node", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(keyed(F.col("salt"), F.col("item")).alias("key"))
+    blocks = pages.select("row", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["item"].alias("item"), b["state"].alias("state")))).alias("at", "b"))
+    blocks = blocks.select("row", "at", "b.node", "b.state", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.col("b.item").alias("own"))
+    asks = F.when(F.col("state") == UNMARKED, F.array(F.lit(BRANCH).cast("long"), F.col("own"))).otherwise(F.array(F.lit(BRANCH).cast("long")))
+    asked = blocks.withColumn("item", F.explode(asks)).select("row", "at", keyed(F.col("salt"), F.col("item")).alias("key"))
+    return rows_with(asked, entries, "key").groupBy("row").agg(F.collect_set("at").alias("drop"))
+
+
+def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, whole.num_rows, 200):
+            batch = whole.slice(first, 200)
+            made = []
+            for texts, drop in zip(batch["texts"].to_pylist(), batch["drop"].to_pylist(), strict=True):
+                gone = set(drop or ())
+                made.append("\n\n".join([t for i, t in enumerate(texts) if i not in gone]))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``page_id, url, html``."""
-    sc = pages.sparkSession.sparkContext
+    folder = shared_folder(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url").cast("string")).alias("host"))
-    noise = noise_of(rows.select("host", "html"), shared_folder(pages.sparkSession))
-    blocks = max(1, math.ceil(noise.count() / block_entries))
-    parts = []
-    for b in range(blocks):  # one unless the sites have very many noise branches
-        entries = noise.filter(F.pmod(F.shiftrightunsigned("node", 48), F.lit(blocks)) == b).collect()
-        shared = sc.broadcast(np.array([tuple(r) for r in entries], np.int64).reshape(-1, 2))
-        parts.append(rows.mapInArrow(lambda batches, s=shared, b=b: extract_batches(batches, s, blocks, b), RESULT))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    read = written(rows.mapInArrow(read_pages, PAGE), "pages", folder, batch_rows=200)
+    drops = hits(read, noise_of(read, folder))
+    texts = read.select("row", "page_id", "url", F.col("blocks.text").alias("texts")).join(drops, "row", "left")
+    return written(texts.select("page_id", "url", "texts", "drop").mapInArrow(join_blocks, RESULT), "texts", folder, batch_rows=200)
+
+
+__all__ = ["INSIDE", "Block", "extract", "host_of", "judged", "leaves_of", "noise_of", "read_pages"]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from prismview.llm import chat_format, decontamination, exact_dedup, fm_index, html_extract, near_dedup, packing, scratch, sharding, toxicity, warc
+from prismview.llm.html_tree import read_blocks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, _text string, _key long"  # extra columns whose names clash
@@ -410,6 +411,101 @@ def test_warc_skips_what_a_predicate_rejects():
 
 # pages
 
+
+def brute_texts(pages):
+    """Main text of every page of one host, from the definitions."""
+    import math
+
+    leaves, styles = {}, {}
+    for p in set(pages):
+        blocks, children = read_blocks(p, "h")
+        for b in blocks:
+            leaf = leaves.setdefault(b.node, {"parent": b.parent, "named": b.named, "state": b.state, "on": {}})
+            leaf["on"].setdefault(b.text, set()).add(p)
+        for place, style in children:
+            styles.setdefault(place, []).append(style)
+    entropy = lambda counts, m: -sum(c / m * math.log(c / m, m) for c in counts)
+    size = lambda ls: sum(len(t) * len(on) for x in ls for t, on in x["on"].items())
+    every, plain = size(leaves.values()), [x for x in leaves.values() if not x["named"]]
+    marked, outside = size(x for x in plain if x["state"]), size(x for x in plain if x["state"] == 2)
+    noise = {}
+    for node, x in leaves.items():
+        m = len(set().union(*x["on"].values()))
+        content = 1 - sum(math.log(len(on), m) for on in x["on"].values()) / len(x["on"]) if m > 1 else 1.0
+        seen = styles.get(x["parent"], [])
+        kinds = [seen.count(k) for k in set(seen)]
+        presentation = entropy(kinds, len(seen)) if len(seen) > 1 else 1.0
+        weight = 0.9 ** max(len(kinds), 1)
+        importance = min(content, (1 - weight) * presentation + weight * content)
+        if m < 5 or size([x]) >= 0.5 * every:
+            importance = 1.0
+        if x["named"] and size(y for y in leaves.values() if y["named"] == x["named"]) < 0.9 * every:
+            importance *= 0.1
+        elif x["state"] == 2 and outside < 0.9 * marked:
+            importance *= 0.1
+        often = {t for t, on in x["on"].items() if m >= 5 and x["state"] == 0 and math.log(len(on)) >= 0.8 * math.log(m) - 1e-12}
+        noise[node] = (importance < 0.2, often)
+    return ["\n\n".join(b.text for b in read_blocks(p, "h")[0] if not noise[b.node][0] and b.text not in noise[b.node][1]) for p in pages]
+
+
+def main_text(page):
+    return brute_texts([page])[0]
+
+
+def random_site(rng, n):
+    """Pages of one site: fixed and changing menus, boxes with and without names, marks or none, articles that share passages."""
+    shared = [words(rng, rng.randrange(3, 12)) for _ in range(6)]
+    some = lambda: rng.choice(shared) if rng.random() < 0.4 else words(rng, rng.randrange(2, 25))
+    kinds = rng.sample(["<nav>{}</nav>", "<div class='ad'><p>{}</p></div>", "<div class='k1'>{}</div>", "<ul><li>{}<li>{}</ul>", "<div class='widget'><p>{}</p></div>", "<section id='s9'><span>{}</span></section>", "<footer>{}</footer>"], 4)
+    mark = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='m'>{}</div>", "<div class='widget'>{}</div>"])
+    fixed = [rng.random() < 0.5 for _ in kinds]
+    out = []
+    for _ in range(n):
+        parts = [k.replace("{}", shared[i] if fixed[i] else some()) for i, k in enumerate(kinds) if rng.random() < 0.9]
+        body = "".join(rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<div class='z'>{}</div>"]).format(some()) for _ in range(rng.randrange(1, 5)))
+        out.append("<body>" + "".join(parts[:2]) + (mark if rng.random() < 0.9 else "<p>{}</p>").format(body) + "".join(parts[2:]))
+    return out + out[:1]
+
+
+def test_extraction_matches_a_brute_force_tree(spark):
+    rng = random.Random(21)
+    sites = {f"s{k}.example": random_site(rng, rng.choice([1, 4, 12, 40])) for k in range(14)}
+    rows = [(i, h, p) for i, (h, p) in enumerate((h, p) for h, pages in sites.items() for p in pages)]
+    frame = spark.createDataFrame([(i, f"https://{h}/{i}", p, "clash", 0) for i, h, p in rows], "page_id long, url string, html string, text string, n_chars int").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    want = dict(zip([i for i, _, _ in rows], [t for pages in sites.values() for t in brute_texts(pages)], strict=True))
+    assert got == want and len(set(got.values())) > 100
+
+
+def test_names_and_marks_are_overturned_by_the_tree():
+    rng = random.Random(3)
+    widget = [f"<div class='widget'><p>{words(rng, 60)}</p></div><p>tail {i}</p>" for i in range(12)]
+    assert all(t.count(" ") > 50 for t in brute_texts(widget))
+    cards = [f"<div class='x'><p>{words(rng, 60)}</p></div><article>card {i}</article>" for i in range(12)]
+    assert all(t.count(" ") > 50 for t in brute_texts(cards))
+
+
+def test_reading_a_page_takes_linear_time():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        read_blocks(page, "h")
+        return time.perf_counter() - began
+
+    for unit in ("<div>", "<a ", "<a '\"><b>x", "<!x", "<li><b></q>", "<svg>t<p>", "<li><ul>", "<a \"x>"):
+        best = [min(took(unit * n) for _ in range(3)) for n in (4_000, 32_000)]
+        assert best[1] < 24 * best[0] + 0.02, unit  # 8 times as long; quadratic would be 64
+    assert read_blocks("<p " + 'x="' * 5000, "h")[0][0].text.startswith("<p")
+
+
+def test_very_long_pages_and_null_ids(spark):
+    long = "<article>" + "".join(f"<p>Part {i} of it</p>" for i in range(20_000)) + "</article>"
+    rows = [(1, "http://a/1", long), (None, None, "<p>x"), (1, "http://a/1", long), (None, None, "<p>x"), (2, "http://a/2", "<div>" * 30_000 + "deep")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == sorted([(1, len("\n\n".join(f"Part {i} of it" for i in range(20_000))))] * 2 + [(0, 1)] * 2 + [(2, 4)])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
 <nav><ul><li>Menu<li>Two</ul></nav><div class="cookie-notice">We use cookies</div><!-- <article>no</article> -->
 <article><h1>Head &amp;amp;  line</h1><p><b>One<br>two<p>Three &copy 2020&nbsp;x
@@ -418,20 +514,20 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text_of_a_page():
-    assert html_extract.main_text(PAGE, "h", set()) == "Head &amp; line\n\nOne two\n\nThree © 2020 x\n\na\n\nb\n\nLast"
-    assert html_extract.main_text("", "h", set()) == "" and html_extract.main_text("<", "h", set()) == "<"
-    assert html_extract.main_text("<p>a</p>b <i>c</i>", "h", set()) == "a\n\nb c"
-    assert html_extract.main_text("<p " + 'x="' * 5000, "h", set()).startswith("<p")
+    assert main_text(PAGE) == "Head &amp; line\n\nOne two\n\nThree © 2020 x\n\na\n\nb\n\nLast"
+    assert main_text("") == "" and main_text("<") == "<"
+    assert main_text("<p>a</p>b <i>c</i>") == "a\n\nb c"
+    assert main_text("<p " + 'x="' * 5000).startswith("<p")
 
 
 def test_an_article_does_not_replace_the_main_element_around_it():
     card = "<main><h1>Title</h1><p>whole story</p><article class='card'>teaser</article></main>"
-    assert html_extract.main_text(f"<p>outside</p>{card}", "h", set()) == "Title\n\nwhole story\n\nteaser"
-    assert html_extract.main_text("<main><h1>Title</h1><article><p>Text</p></article></main>", "h", set()) == "Title\n\nText"
+    assert main_text(f"<p>outside</p>{card}") == "Title\n\nwhole story\n\nteaser"
+    assert main_text("<main><h1>Title</h1><article><p>Text</p></article></main>") == "Title\n\nText"
 
 
 def test_names_are_noise_as_whole_tokens_only():
-    read = lambda page: html_extract.main_text(page, "h", set())
+    read = main_text
     for wrapper in ("<body class='content no-sidebar'>", "<body class='search'>", "<article class='post comments-open'>", "<article id='notice'>", "<main class='has-header share'>", "<div class='has-header'>"):
         assert read(f"<html>{wrapper}<p>Whole text</p>") == "Whole text", wrapper
     assert read("<article><h2 id='legal-basis'>Law</h2><h3 class='notice'>N</h3><section id='social-effects'><p>Effects</p></section></article>") == "Law\n\nN\n\nEffects"
@@ -440,14 +536,13 @@ def test_names_are_noise_as_whole_tokens_only():
 
 
 def test_inline_noise_leaves_its_paragraph_whole():
-    read = lambda page: html_extract.main_text(page, "h", set())
+    read = main_text
     assert read("<p>One <button>Copy</button>two <span class='ad'>Buy <b>now</b></span>three</p><p>Next</p>") == "One two three\n\nNext"
     assert read("<p>One <span hidden>no</p><p>Next <svg/>one</p>") == "One\n\nNext one"
     assert read("<p>One <button>x<div>y</div>z</button> two</p>") == "One\n\ntwo"
 
 
-@pytest.mark.parametrize("block_entries", [html_extract.BLOCK_ENTRIES, 1])
-def test_style_tree_removes_what_a_site_repeats(spark, block_entries):
+def test_style_tree_removes_what_a_site_repeats(spark, monkeypatch):
     rng = random.Random(9)
 
     def page(body):
@@ -456,12 +551,15 @@ def test_style_tree_removes_what_a_site_repeats(spark, block_entries):
     bodies = [words(rng, 30) for _ in range(40)]
     rows = [(i, f"https://{'a' if i % 2 else 'b'}.example/{i}", page(b)) for i, b in enumerate(bodies)] + [(90, None, None), (91, "http://one", page("only page here")), (91, "http://one", page("only page here"))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = html_extract.extract(pages, block_entries).collect()
+    got = html_extract.extract(pages).collect()
     text = {r.page_id: r.text for r in got}
     assert len(got) == 43 and all(text[i] == b for i, b in enumerate(bodies))
     assert text[90] == "" and text[91] == "Site name and slogan\n\nonly page here\n\nAll rights kept"  # one page tells nothing of its site
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_extract.extract(pages.limit(0)).count() == 0
+    noise_of = html_extract.noise_of
+    monkeypatch.setattr(html_extract, "noise_of", lambda *a: noise_of(*a).limit(0))
+    assert html_extract.extract(spark.createDataFrame([(1, "http://x", PAGE)], "page_id long, url string, html string")).first().text.startswith("Menu\n\nTwo\n\nWe use")
 
 
 def test_article_is_left_alone(spark):
@@ -494,20 +592,6 @@ def test_rows_with_and_without(spark):
     assert {r.k for r in scratch.rows_without(rows, keys, "k").collect()} == set(range(1000)) - set(range(0, 1000, 3))
 
 
-def test_tree_importance_matches_its_definition(spark):
-    import math
-
-    rows = [(0, 1, 9, item, page) for item, pages in ((10, range(6)), (11, range(2)), (12, [7])) for page in pages] + [(1, 9, 0, style, page) for style, pages in ((20, range(5)), (21, [5, 6, 7])) for page in pages]
-    leaf, contents = html_extract.importances(spark.createDataFrame(rows, html_extract.ROW))
-    m, base = 7, math.log(7)  # pages 0 to 5 and 7 hold the leaf
-    content = 1 - (math.log(6) + math.log(2) + 0) / 3 / base
-    presentation = -sum(k / 8 * math.log(k / 8) for k in (5, 3)) / math.log(8)
-    weight = 0.9**2
-    (got,) = leaf.collect()
-    assert got.m == m and abs(got.importance - ((1 - weight) * presentation + weight * content)) < 1e-12
-    assert [(r.item, r.k) for r in contents.collect()] == [(10, 6)]
-
-
 # quality
 
 
