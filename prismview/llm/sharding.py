@@ -1,15 +1,20 @@
 """Sharding by minimax contiguous partition, with DataFrame functions only.
 
 Groups of equal texts stay together, so a shard boundary can only fall between
-groups. Groups are ordered by the SHA-256 of their text, and the smallest shard
-capacity that lets a greedy sweep fit them into the given number of shards is
-found by binary search. The driver never sees the groups: it sees *cells*, the
-summed sizes of all groups that share a digest prefix, and splits only those
-cells into finer ones in which a cut may still fall.
+groups. Groups are ordered: first those that outweigh an equal share of what is left
+after the heavier ones, heaviest first (fewer than there are shards), then the rest by
+the SHA-256 of their text. The smallest shard capacity that lets a greedy sweep fit them
+into the given number of shards is found by binary search. Within that capacity each cut
+falls as near as possible to an equal share of what is left, so a heavy group gets a
+shard of its own and the other shards are near equal and none is empty while groups last.
+
+The driver never sees the groups: it sees *cells*, the summed sizes of all groups that
+share a digest prefix, and splits only those cells into finer ones in which a cut may
+still fall.
 
 Rows with null text weigh one byte and form one group with empty texts. An empty
-table gives an empty result. Repeated rows are rows of their own. Other columns
-of the input are ignored, whatever their names.
+table gives an empty result. Repeated rows are rows of their own, also with null ids.
+Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,46 +67,86 @@ class Cells:
                 least = middle + 1
         return least
 
-
-def cut_points(groups: DataFrame, shards: int) -> tuple[list[str], int]:
-    """Digest prefixes at which shards 1, 2, ... begin, and the smallest capacity.
+    def cuts(self, capacity: int, shards: int) -> tuple[list[int], set[int]]:
+        """First cells of shards 1, 2, ... at capacity ``capacity``, and cells of several groups in which a cut would fall."""
+        total, n = int(self.ends[-1]), len(self.prefix)
+        least = [total]  # where the shard before must end for the rest to fit
+        for _ in range(shards - 1):
+            least.append(int(self.ends[np.searchsorted(self.ends, least[-1] - capacity)]))
+        at, found, inside = 0, [], set()
+        for j in range(shards - 1):
+            first = int(np.searchsorted(self.ends, at, side="right")) - 1
+            if first >= n:
+                break
+            low, high = max(least[shards - 1 - j], int(self.ends[first + 1]) if self.single[first] else at + 1), at + capacity
+            want = min(max(at + -(-(total - at) // (shards - j)), low), high)
+            cell = int(np.searchsorted(self.ends, want, side="right")) - 1
+            if int(self.ends[cell]) != want and cell < n:
+                if not self.single[cell]:
+                    inside.add(cell)
+                start, end = int(self.ends[cell]), int(self.ends[cell + 1])
+                want = start if start > at and (end > high or (start >= low and want - start <= end - want)) else end
+            at = min(want, total)
+            found.append(int(np.searchsorted(self.ends, at)))
+        return [c for c in found if c < n], inside
+
+
+def cut_points(groups: DataFrame, shards: int) -> tuple[dict[str, str], list[str], int]:
+    """Order keys of heavy groups, order keys at which shards 1, 2, ... begin, and the smallest capacity.
 
     ``groups`` has ``key`` (hex digest) and ``weight``.
     """
+    total = groups.agg(F.sum("weight")).first()[0] or 0
+    left, heavy = total, {}
+    for r in groups.orderBy(F.desc("weight"), "key").limit(shards).collect():  # one row a shard
+        if len(heavy) == shards - 1 or r.weight * (shards - len(heavy)) <= left:
+            break
+        heavy[r.key] = f"!{len(heavy):02d}"  # sorts before hex digits
+        left -= r.weight
+    groups = groups.select(order_key(F.col("key"), heavy).alias("key"), "weight")
 
     def cells_of(df: DataFrame, digits: int) -> list[tuple[str, int, int]]:
         prefix = F.substring("key", 1, digits)
         return [tuple(r) for r in df.groupBy(prefix.alias("p")).agg(F.sum("weight"), F.count("*")).collect()]
 
+    def split(found: list, opened: set[int], cells: Cells, digits: int) -> list:
+        """``found`` with the opened cells made finer."""
+        names = [cells.prefix[i] for i in sorted(opened)]
+        # Cells that opened at a coarser level than the last one have shorter prefixes.
+        inside = F.lit(False)
+        for k in sorted({len(p) for p in names}):
+            inside = inside | F.substring("key", 1, k).isin([p for p in names if len(p) == k])
+        gone = set(names)
+        return [r for r in sorted(found) if r[0] not in gone] + cells_of(groups.filter(inside), digits)
+
     found = cells_of(groups, FIRST_DIGITS)
     if not found:
-        return [], 0
+        return heavy, [], 0
     largest = groups.agg(F.max("weight")).first()[0]
     digits = FIRST_DIGITS
     while True:
         cells = Cells(found)
-        total = int(cells.ends[-1])
         most = cells.capacity(shards, False, max(largest, -(-total // shards)), total)
         least = cells.capacity(shards, True, max(largest, -(-total // shards)), most)
         early, late = cells.sweep(least, shards, False), cells.sweep(most, shards, True)
-        open_cells = {i for (_, a), (_, b) in zip(early, late, strict=True) for i in range(a, min(b + 1, len(found))) if not cells.single[i]}
-        if not open_cells:
+        opened = {i for (_, a), (_, b) in zip(early, late, strict=True) for i in range(a, min(b + 1, len(found))) if not cells.single[i]}
+        if not opened:
             break
-        finer = digits + MORE_DIGITS
-        names = [cells.prefix[i] for i in sorted(open_cells)]
-        # Cells that opened at a coarser level than the last one have shorter prefixes.
-        lengths = sorted({len(p) for p in names})
-        inside = [F.substring("key", 1, k).isin([p for p in names if len(p) == k]) for k in lengths]
-        condition = inside[0]
-        for more in inside[1:]:
-            condition = condition | more
-        split = cells_of(groups.filter(condition), finer)
-        gone = set(names)
-        found = [r for r in sorted(found) if r[0] not in gone] + split
-        digits = finer
+        digits += MORE_DIGITS
+        found = split(found, opened, cells, digits)
     best = cells.capacity(shards, False, least, most)
-    cuts = [cells.prefix[i] for _, i in cells.sweep(best, shards, False)[:-1] if i < len(cells.prefix)]
-    return cuts, best
+    while (told := cells.cuts(best, shards))[1]:
+        digits += MORE_DIGITS
+        cells = Cells(found := split(found, told[1], cells, digits))
+    return heavy, [cells.prefix[i] for i in told[0]], best
+
+
+def order_key(key: Column, heavy: dict[str, str]) -> Column:
+    """The digest, or the order key of a heavy group."""
+    out = key
+    for digest, own in heavy.items():
+        out = F.when(key == F.lit(digest), own).otherwise(out)
+    return out
 
 
 def shard_of(key: Column, cuts: list[str]) -> Column:
@@ -125,9 +170,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         "rows",
     )
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("weight")), "groups")
-    cuts, _ = cut_points(groups, shards)
+    heavy, cuts, _ = cut_points(groups, shards)
     part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(NUMBERING_PARTS)).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("key"), cuts).alias("shard"), part.alias("part"))
+    placed = rows.select("doc_id", "size", "text_crc32", shard_of(order_key(F.col("key"), heavy), cuts).alias("shard"), part.alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("start"))  # shards x NUMBERING_PARTS rows at most

@@ -284,11 +284,53 @@ def test_sharding_is_minimax(spark, seed, docs, texts, empty):
         loads[r.shard] = loads.get(r.shard, 0) + r.size
         slots.setdefault(r.shard, []).append(r.slot)
         assert places.setdefault(by_id[r.doc_id] or "", r.shard) == r.shard and 0 <= r.shard < 16 and r.law == "bytes"
-    assert max(loads.values()) == brute_capacity([groups[k] for k in sorted(groups)], 16)
+    assert max(loads.values()) == brute_capacity(brute_order(groups, 16), 16)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_documents(empty).count() == 0
 
 
+def brute_order(groups, shards):
+    """Weights in the order of the partition: groups above an equal share of what is left, then by digest."""
+    heavy, left = [], sum(groups.values())
+    for k in sorted(groups, key=lambda k: (-groups[k], k))[: shards - 1]:
+        if groups[k] * (shards - len(heavy)) <= left:
+            break
+        heavy.append(k)
+        left -= groups[k]
+    return [groups[k] for k in heavy] + [groups[k] for k in sorted(groups) if k not in heavy]
+
+
+@pytest.mark.parametrize("heavy", [(0.5,), (0.3, 0.2), (0.08,), (0.4, 0.1, 0.09, 0.08), ()])
+def test_shards_are_near_equal_beside_heavy_groups(spark, heavy):
+    rng = random.Random(17)
+    small = [words(rng, rng.randrange(5, 60), 5000) for _ in range(3000)]
+    rest = sum(len(t) + 1 for t in small) / (1 - sum(heavy))
+    rows = small + [f"hot{i} " * int(h * rest / 5 / 40) for i, h in enumerate(heavy) for _ in range(40)] + [None, ""]
+    frame = spark.createDataFrame([(i if i % 7 else None, t, "x", 1) for i, t in enumerate(rows)], "doc_id long, text string, key string, weight int").repartition(6)
+    got = sharding.shard_documents(frame).collect()
+    loads, groups = {}, {}
+    for r in got:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    for t in rows:
+        k = hashlib.sha256((t or "").encode()).hexdigest()
+        groups[k] = groups.get(k, 0) + len(t or "") + 1
+    assert len(got) == len(rows) and len(loads) == 16
+    assert max(loads.values()) == brute_capacity(brute_order(groups, 16), 16)
+    own = sorted(loads.values())[: 16 - sum(h > 1 / 16 for h in heavy)]
+    assert own[-1] - own[0] <= 0.05 * own[-1]
+
+
+def test_few_groups_fill_as_many_shards_as_they_can(spark):
+    rng = random.Random(4)
+    for n in (1, 5, 16, 23):
+        rows = [(i, f"g{i} " * rng.randrange(1, 40)) for i in range(n)]
+        got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        loads, groups = {}, {hashlib.sha256(t.encode()).hexdigest(): len(t) + 1 for _, t in rows}
+        for r in got:
+            loads[r.shard] = loads.get(r.shard, 0) + r.size
+        assert max(loads.values()) == brute_capacity(brute_order(groups, 16), 16) and len(loads) >= min(n, 12)
+
+
 # toxicity
 
 
