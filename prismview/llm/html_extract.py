@@ -33,7 +33,7 @@ go as well; inside a marked one they stay, as articles may share a passage.
 Counts are sums over (node, content) that are combined in each batch before the shuffle,
 and blocks meet the noise entries by salted keys, so a host that holds a third of all
 pages meets in no single task. Nothing is broadcast but the slot numbers of ``rows_with``.
-Pages are read once; their blocks are kept in the shared folder.
+Pages are read once; their blocks are kept in the shared folder, and texts travel compressed.
 
 A null html is an empty page and gives an empty text; a null url belongs to the host
 "". Equal pages of a host count once in the tree, and each gets its row, also for null
@@ -43,17 +43,19 @@ whatever their names. Very long pages are read whole, in time linear in their le
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismview.llm.html_tree import INSIDE, OUTSIDE, UNMARKED, Block, read_blocks
-from prismview.llm.scratch import rows_with, shared_folder, written
+from prismview.llm.scratch import rows_with, rows_without, shared_folder, written
 
 #: Fewest distinct pages that tell anything about a node; weighted importance below which a node is noise; entropy from which a content is.
 LEAST_PAGES, LOW, RECURS = 5, 0.2, 0.8
@@ -63,8 +65,9 @@ PRIOR_NAMED, PRIOR_OUTSIDE, HALF, MOST = 0.1, 0.1, 0.5, 0.9
 #: The item of noise entries that stand for a whole leaf; parts of a leaf's blocks.
 BRANCH, SALTS = 0, 16
 
-BLOCK = "node long, parent long, item long, size long, named long, state int, text string"
-PAGE = f"row long, page_id long, url string, host long, page long, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, styles array<struct<node:long,style:long>>"
+#: ``node_first`` and ``item_first``: the first block of its page with that node, with that node and item.
+BLOCK = "node long, item long, node_first int, item_first int, size long, parent long, named long, state int"
+PAGE = f"row long, page_id long, url string, host long, page long, texts binary, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, styles array<struct<node:long,style:long>>"
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -73,6 +76,26 @@ def host_of(url: Column) -> Column:
     return name
 
 
+def packed(texts: list[str]) -> bytes:
+    """A page's texts as they travel: compressed, whole."""
+    return zstandard.compress(json.dumps(texts, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(data: bytes) -> list[str]:
+    return json.loads(zstandard.decompress(data).decode("utf-8", "surrogatepass"))
+
+
+def facts(blocks: list[Block]) -> list[tuple]:
+    """BLOCK tuples of a page's blocks."""
+    nodes, items, out = set(), set(), []
+    for b in blocks:
+        item = hashed(b.text)
+        out.append((b.node, item, int(b.node not in nodes), int((b.node, item) not in items), len(b.text), b.parent, b.named, b.state))
+        nodes.add(b.node)
+        items.add((b.node, item))
+    return out
+
+
 def hashed(*parts: str) -> int:
     return (xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)) or 1
 
@@ -97,24 +120,26 @@ def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(first, 200)
             hosts, pages = batch["host"].to_pylist(), [p or "" for p in batch["html"].to_pylist()]
             read = [read_blocks(p, h) for p, h in zip(pages, hosts, strict=True)]
-            told = [[(b.node, b.parent, hashed(b.text), len(b.text), b.named, b.state, b.text) for b in blocks] for blocks, _ in read]
+            told, texts = [facts(blocks) for blocks, _ in read], [packed([b.text for b in blocks]) for blocks, _ in read]
             numbers = [pa.array(range(row, row + len(pages)), pa.int64()), pa.array(map(hashed, hosts), pa.int64()), pa.array([hashed(h, p) for h, p in zip(hosts, pages, strict=True)], pa.int64())]
-            columns = [numbers[0], batch["page_id"], batch["url"], *numbers[1:], lists_of(told, BLOCK_TYPE), lists_of([s for _, s in read], STYLE_TYPE)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "url", "host", "page", "blocks", "styles"])
+            columns = [numbers[0], batch["page_id"], batch["url"], *numbers[1:], pa.array(texts, pa.binary()), lists_of(told, BLOCK_TYPE), lists_of([s for _, s in read], STYLE_TYPE)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "url", "host", "page", "texts", "blocks", "styles"])
             row += len(pages)
 
 
 def leaves_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree's leaves with their importances, and their contents on at least LEAST_PAGES ^ RECURS pages. ``pages``: PAGE rows."""
-    facts = ["node", "item", "page", "host", "parent", "named", "state"]
-    blocks = pages.select("host", "page", F.explode("blocks").alias("b")).select("host", "page", *[f"b.{c}" for c in ("node", "item", "parent", "named", "state", "size")])
-    once = blocks.groupBy(*facts).agg(F.max("size").alias("size"))  # a content counts once a page
-    items = once.groupBy("node", "item").agg(F.count("*").alias("k"), F.sum("size").alias("size"), *[F.min(c).alias(c) for c in facts[3:]])
-    sizes = blocks.select("node", "page").distinct().groupBy("node").agg(F.count("*").alias("m"))
+    """The tree's leaves with their importances, and ``node, item, k`` of contents on at least LEAST_PAGES ^ RECURS pages. ``pages``: PAGE rows."""
+    rows = pages.select("row", "host", "page", "blocks", "styles")
+    first = pages.groupBy("page").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("page", "first")
+    again = rows_with(pages.select("row", "page"), first, "page").join(first, "page").filter("row <> first").select("row")
+    once = rows_without(rows, again, "row")  # equal pages of a host count once
+    blocks = once.select("host", F.explode("blocks").alias("b")).select("host", "b.*")
+    items = blocks.filter("item_first = 1").groupBy("node", "item").agg(F.count("*").alias("k"))
+    contents = items.groupBy("node").agg(F.sum(F.log("k")).alias("logs"), F.count("*").alias("items"))
     # Entropies as sums over a node's items: no join brings all items of a node together.
-    sums = [F.sum(F.log("k")).alias("logs"), F.count("*").alias("items"), F.sum("size").alias("size"), *[F.min(c).alias(c) for c in facts[3:]]]
-    leaf = items.groupBy("node").agg(*sums).join(sizes, "node")
-    styles = pages.select("page", F.explode("styles").alias("s")).select("page", "s.node", "s.style").distinct().groupBy("node", "style").agg(F.count("*").alias("k"))
+    own = [F.sum("node_first").alias("m"), F.sum(F.col("size") * F.col("item_first")).alias("size"), *[F.min(c).alias(c) for c in ("host", "parent", "named", "state")]]
+    leaf = blocks.groupBy("node").agg(*own).join(contents, "node")
+    styles = once.select(F.explode("styles").alias("s")).groupBy("s.node", "s.style").agg(F.count("*").alias("k"))
     inner = styles.groupBy(F.col("node").alias("parent")).agg(F.sum("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("weighted"), F.count("*").alias("styles"))
     base, many = F.log("pages"), F.col("pages") > 1
     presentation = F.when(many, (F.col("pages") * base - F.col("weighted")) / F.col("pages") / base).otherwise(1.0)
@@ -123,11 +148,11 @@ def leaves_of(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     weight = F.pow(F.lit(DAMPING), F.coalesce("styles", F.lit(1)))
     composite = (1 - weight) * F.coalesce("presentation", F.lit(1.0)) + weight * content
     leaf = leaf.select("node", "host", "named", "state", "m", "size", content.alias("content"), composite.alias("composite"))
-    return leaf, items.filter((F.col("k") >= LEAST_PAGES**RECURS) & (F.col("state") == UNMARKED)).select("node", "item", "k")
+    return leaf, items.filter(F.col("k") >= LEAST_PAGES**RECURS)
 
 
 def judged(leaf: DataFrame) -> DataFrame:
-    """``node, m, prior, importance`` of every leaf."""
+    """``node, m, state, prior, importance`` of every leaf."""
     plain = F.col("named") == 0
     total = lambda when: F.sum(F.when(when, F.col("size")).otherwise(0))
     hosts = leaf.groupBy("host").agg(F.sum("size").alias("all"), total(plain & (F.col("state") != UNMARKED)).alias("marked"), total(plain & (F.col("state") == OUTSIDE)).alias("outside"))
@@ -136,7 +161,7 @@ def judged(leaf: DataFrame) -> DataFrame:
     named = ~plain & (F.coalesce("held", F.lit(0)) < MOST * F.col("all"))
     outside = (F.col("state") == OUTSIDE) & (F.col("outside") < MOST * F.col("marked"))
     importance = F.when((F.col("m") < LEAST_PAGES) | (F.col("size") >= HALF * F.col("all")), 1.0).otherwise(F.least("composite", "content"))
-    return told.select("node", "m", F.when(named, PRIOR_NAMED).when(outside, PRIOR_OUTSIDE).otherwise(1.0).alias("prior"), importance.alias("importance"))
+    return told.select("node", "m", "state", F.when(named, PRIOR_NAMED).when(outside, PRIOR_OUTSIDE).otherwise(1.0).alias("prior"), importance.alias("importance"))
 
 
 def noise_of(pages: DataFrame, folder: str) -> DataFrame:
@@ -144,7 +169,7 @@ def noise_of(pages: DataFrame, folder: str) -> DataFrame:
     leaf, contents = leaves_of(pages)
     told = written(judged(written(leaf, "leaves", folder)), "judged", folder)
     low = told.filter(F.col("prior") * F.col("importance") < LOW).select("node", F.lit(BRANCH).cast("long").alias("item"))
-    recurs = contents.join(told.filter(F.col("m") >= LEAST_PAGES).select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
+    recurs = contents.join(told.filter((F.col("m") >= LEAST_PAGES) & (F.col("state") == UNMARKED)).select("node", "m"), "node").filter(F.log("k") >= RECURS * F.log("m")).select("node", "item")
     return written(low.union(recurs), "noise", folder)
 
 
@@ -166,7 +191,7 @@ def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = []
             for texts, drop in zip(batch["texts"].to_pylist(), batch["drop"].to_pylist(), strict=True):
                 gone = set(drop or ())
-                made.append("\n\n".join([t for i, t in enumerate(texts) if i not in gone]))
+                made.append("\n\n".join([t for i, t in enumerate(unpacked(texts)) if i not in gone]))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -176,8 +201,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url").cast("string")).alias("host"))
     read = written(rows.mapInArrow(read_pages, PAGE), "pages", folder, batch_rows=200)
     drops = hits(read, noise_of(read, folder))
-    texts = read.select("row", "page_id", "url", F.col("blocks.text").alias("texts")).join(drops, "row", "left")
-    return written(texts.select("page_id", "url", "texts", "drop").mapInArrow(join_blocks, RESULT), "texts", folder, batch_rows=200)
+    texts = read.select("row", "page_id", "url", "texts").join(drops, "row", "left")
+    return texts.select("page_id", "url", "texts", "drop").mapInArrow(join_blocks, RESULT)
 
 
 __all__ = ["INSIDE", "Block", "extract", "host_of", "judged", "leaves_of", "noise_of", "read_pages"]
