@@ -1,22 +1,26 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
-Documents become pieces of at most ``capacity`` tokens. Only the histogram of
-piece lengths (at most ``capacity`` numbers) reaches the driver. There the
-configuration program - use as few patterns as possible so that every length is
-covered - is solved by multiplicative weights: the weight of a length falls as
-its share of placed pieces grows, a knapsack dynamic program prices patterns
-under the present weights, and every length takes the best pattern that holds it.
-Steps are rounded to whole sequences, and after each round the pieces still left are
-placed by best fit, longest first; the round that needs the fewest sequences counts.
-The weights also give a lower bound.
+Documents become pieces of at most ``capacity`` tokens. Only the histogram of piece
+lengths (at most ``capacity`` numbers) reaches the driver. There the configuration
+program - use as few patterns as possible so that every length is covered - is solved
+in fractions by multiplicative weights: the weight of a length falls as the share of it
+that is covered grows, a knapsack dynamic program prices patterns under the present
+weights, and every length takes a fraction of the best pattern that holds it. The prices
+also give a lower bound on the number of sequences.
+
+The fractions are then rounded: whole numbers of each pattern, then one more of a pattern
+in the order of the fractions lost, as long as pieces for it are left. What is left over
+is a smaller program of the same kind and is solved and rounded again, until a round
+places little; each of the last sequences is the fullest that a subset-sum dynamic
+program finds for the longest piece left.
 
 Patterns reach the pieces by rank: the i-th piece of a length belongs to the run
 of sequences that covers rank i. Ranks are counted in PARTS parts of a length, so
 a length that holds most rows is still ranked by many tasks.
 
 A null text is an empty one: one piece, the end-of-text id alone. Repeated rows
-are pieces of their own. An empty table gives an empty result. Other columns are
-ignored, whatever their names.
+are pieces of their own, also with null ids. An empty table gives an empty result. Other
+columns are ignored, whatever their names. Very long texts are cut, never shortened.
 """
 
 from __future__ import annotations
@@ -35,7 +39,13 @@ from pyspark.sql import functions as F
 from prismview.llm.scratch import held, written
 
 CAPACITY, END_ID = 4096, 1
-ROUNDS, STEP, RATE, PARTS = 24, 0.5, 1.0, 64
+#: Steps of the fractional program, the share of a pattern's most that a step takes, and the rate at which weights fall.
+ROUNDS, STEP, RATE = 24, 0.5, 1.0
+#: Share of a length that may stay uncovered before it counts as covered.
+COVERED = 1e-3
+#: Programs solved and rounded one after the other at most; a round that places less than this share of what is left is the last.
+PROGRAMS, LEAST_PLACED = 12, 0.1
+PARTS = 64
 CACHE_WORDS = 400_000
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,8 +56,9 @@ class WordIds(dict):
     """Token ids of white-space-separated words as little-endian bytes; a bounded number of words is remembered.
 
     The tokenizer ends every token at white space, so the ids of a text are those
-    of its words in order. It also lower-cases, and ends tokens between letters and
-    a full stop or comma, so most words need one lookup or one merge run of the model.
+    of its words in order. It also lower-cases, and ends tokens between ASCII letters and
+    a full stop or comma, so most words need one lookup or one merge run of the model. (Other
+    letters may lower-case to a letter and a combining mark, which joins what follows.)
     """
 
     def __init__(self, path: str):
@@ -67,7 +78,7 @@ class WordIds(dict):
         if found is None:
             if word.isascii() and word.isalpha():
                 found = self[word.lower()] if not word.islower() else array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-            elif word[-1:] in self.marks and word[:-1].isalpha():
+            elif word[-1:] in self.marks and word.isascii() and word[:-1].isalpha():
                 found = self[word[:-1]] + self.marks[word[-1]]
             else:
                 found = self.plain(word)
@@ -124,70 +135,107 @@ def pattern_at(taken: list[int], lengths: list[int], free: int) -> list[int]:
     return items
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], int]:
-    """Patterns (lengths, how many sequences) that place every piece exactly once, and a lower bound on sequences."""
-    lengths = np.array(sorted(histogram), np.int64)
-    if not len(lengths):
-        return [], 0
-    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
-    start = best_fit(lengths, counts, capacity)
-    best, fewest = start, sum(n for _, n in start)
-    left, weight, patterns, bound = counts.copy(), np.ones(len(lengths)), [], -(-int((lengths * counts).sum()) // capacity)
-    for _ in range(ROUNDS):
-        open_ = np.flatnonzero(left)
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], int]:
+    """How much of each pattern (positions of lengths) covers every length, and the program's lower bound on sequences."""
+    amounts: dict[tuple[int, ...], float] = {}
+    left, weight, bound = counts.astype(float), np.ones(len(lengths)), -(-int((lengths * counts).sum()) // capacity)
+    for last in [False] * ROUNDS + [True]:
+        open_ = np.flatnonzero(left > COVERED * counts)
         if not len(open_):
             break
         own, price = lengths[open_], lengths[open_] / capacity * weight[open_]
         worth, taken = best_patterns(own, price, capacity)
-        full = np.zeros(len(lengths))
-        full[open_] = price / worth[capacity]
         if len(open_) == len(lengths):  # prices at which no pattern is worth over 1 bound the program from below
-            bound = max(bound, int(np.ceil((full * counts).sum() - 1e-6)))
+            bound = max(bound, int(np.ceil((price / worth[capacity] * counts).sum() - 1e-6)))
         own, taken, rest = own.tolist(), taken.tolist(), left[open_].tolist()
         for anchor in range(len(own) - 1, -1, -1):
-            if not rest[anchor]:
+            if rest[anchor] <= 0:
                 continue
             items = [anchor, *pattern_at(taken, own, capacity - own[anchor])]
             need = Counter(items)
-            times = min(rest[j] // n for j, n in need.items())
-            if times:
-                times = max(1, int(times * STEP))
+            # The last step covers what is still open, and its partners once more.
+            times = rest[anchor] / need[anchor] if last else STEP * min(rest[j] / n for j, n in need.items())
+            if times > 1e-6:
                 for j, n in need.items():
                     rest[j] -= n * times
-                patterns.append((sorted((own[j] for j in items), reverse=True), times))
-        left[open_] = rest
+                pattern = tuple(int(open_[j]) for j in items)
+                amounts[pattern] = amounts.get(pattern, 0.0) + times
+        left[open_] = np.maximum(rest, 0.0)
         weight *= np.exp(-RATE * (1 - left / counts))
         weight /= weight.max()
-        rest = best_fit(lengths, left, capacity)
-        if (used := sum(n for _, n in patterns) + sum(n for _, n in rest)) <= fewest:
-            best, fewest = [*patterns, *rest], used
-    return best, bound
-
-
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Longest first, each into the fullest sequence that has room; equal sequences are filled together."""
-    rooms: list[list[tuple[tuple[int, ...], int]]] = [[] for _ in range(capacity + 1)]
-    filled = np.zeros(capacity + 1, bool)
-
-    def put(room: int, content: tuple[int, ...], n: int) -> None:
-        if n:
-            rooms[room].append((content, n))
-            filled[room] = True
-
-    for length, n in zip(lengths[::-1].tolist(), left[::-1].tolist(), strict=True):
-        while n:
-            room = length + int(filled[length:].argmax())
-            if not filled[room]:
-                most = capacity // length
-                put(capacity - most * length, (length,) * most, n // most)
-                put(capacity - n % most * length, (length,) * (n % most), int(n % most > 0))
+    return amounts, bound
+
+
+def rounded(amounts: dict[tuple[int, ...], float], counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Whole numbers of patterns, and the pieces of each length that they leave."""
+    left, out = counts.tolist(), []
+
+    def take(items: tuple[int, ...], times: int) -> None:
+        need = Counter(items)
+        times = min(times, *(left[j] // n for j, n in need.items()))
+        if times > 0:
+            for j, n in need.items():
+                left[j] -= n * times
+            out.append((items, times))
+
+    for items, x in amounts.items():
+        take(items, int(x))
+    for items, _ in sorted(amounts.items(), key=lambda p: (int(p[1]) - p[1], p[0])):
+        take(items, 1)
+    return out, np.array(left, np.int64)
+
+
+def fullest(lengths: list[int], left: list[int], room: int) -> list[int]:
+    """Positions of pieces left that fill ``room`` as far as any choice of them does."""
+    reach, steps = 1, []  # bit s: a choice of the pieces so far has the sum s
+    mask = (1 << (room + 1)) - 1
+    for j in range(len(lengths) - 1, -1, -1):
+        for _ in range(min(left[j], room // lengths[j])):
+            more = (reach | reach << lengths[j]) & mask
+            if more == reach:
                 break
-            content, count = rooms[room].pop()
-            filled[room] = bool(rooms[room])
-            put(room, content, max(0, count - n))
-            put(room - length, (*content, length), min(n, count))
-            n -= min(n, count)
-    return [(list(content), n) for room in rooms for content, n in room]
+            steps.append((j, reach))
+            reach = more
+        if reach >> room & 1:
+            break
+    at, items = reach.bit_length() - 1, []
+    for j, before in reversed(steps):
+        if not before >> at & 1:
+            items.append(j)
+            at -= lengths[j]
+    return items
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], int]:
+    """Patterns (lengths, how many sequences) that place every piece exactly once, and a lower bound on sequences."""
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[int(x)] for x in lengths], np.int64)
+    patterns, bound = [], 0
+    for i in range(PROGRAMS):
+        open_ = np.flatnonzero(counts)
+        if not len(open_):
+            break
+        amounts, least = fractional(lengths[open_], counts[open_], capacity)
+        bound = bound or least
+        found, left = rounded(amounts, counts[open_])
+        patterns += [([int(lengths[open_[j]]) for j in items], n) for items, n in found]
+        placed = 1 - left.sum() / counts[open_].sum()
+        counts[open_] = left
+        if placed < LEAST_PLACED:
+            break
+    left, sizes = counts.tolist(), lengths.tolist()
+    for j in range(len(sizes) - 1, -1, -1):
+        while left[j]:
+            left[j] -= 1
+            items = [j]
+            for k in fullest(sizes[: j + 1], left, capacity - sizes[j]):
+                left[k] -= 1
+                items.append(k)
+            times = min([1 + left[k] // n for k, n in Counter(items).items()])
+            for k in items:
+                left[k] -= times - 1
+            patterns.append(([sizes[k] for k in items], times))
+    return patterns, bound
 
 
 def runs_of(patterns: list[tuple[list[int], int]]) -> np.ndarray:
@@ -222,7 +270,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = written(rows.mapInArrow(lambda b: cut_pieces(b, tokenizer_path, capacity, end_id), PIECE), "pieces")
     histogram = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    runs = docs.sparkSession.sparkContext.broadcast(runs_of(solve(histogram, capacity)[0]))  # ROUNDS x capacity patterns and the remainder at most
+    runs = docs.sparkSession.sparkContext.broadcast(runs_of(solve(histogram, capacity)[0]))  # bounded by the number of lengths: PROGRAMS x ROUNDS x capacity patterns and their pieces, whatever the input
     parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parted.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))

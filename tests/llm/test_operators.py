@@ -227,6 +227,50 @@ def test_packing_round_trip(docs, texts, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def best_fit(histogram, capacity):
+    """Sequences of plain best fit, longest first."""
+    rooms = []
+    for x in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - x)
+    return len(rooms)
+
+
+def test_fractions_cover_every_length_and_are_rounded_within_them():
+    rng = random.Random(14)
+    for _ in range(5):
+        lengths = np.array(sorted(rng.sample(range(1, 101), 30)), np.int64)
+        counts = np.array([rng.randrange(1, 400) for _ in lengths], np.int64)
+        amounts, bound = packing.fractional(lengths, counts, 100)
+        covered = np.zeros(len(lengths))
+        for items, x in amounts.items():
+            assert x > 0 and lengths[list(items)].sum() <= 100
+            np.add.at(covered, list(items), x)
+        assert (covered >= 0.99 * counts).all()
+        histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+        assert 0.99 * bound <= sum(amounts.values()) <= 1.02 * best_fit(histogram, 100)
+        whole, left = packing.rounded(amounts, counts)
+        took = np.zeros(len(lengths), np.int64)
+        for items, n in whole:
+            assert items in amounts and 1 <= n
+            np.add.at(took, list(items), n)
+        assert (took + left == counts).all() and left.sum() < 0.2 * counts.sum()
+
+
+def test_fullest_choice_of_pieces():
+    rng = random.Random(5)
+    for _ in range(200):
+        lengths = sorted(rng.sample(range(1, 30), 5))
+        left = [rng.randrange(3) for _ in lengths]
+        room = rng.randrange(60)
+        pieces = [x for x, n in zip(lengths, left, strict=True) for _ in range(n)]
+        best = max(sum(c) for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k) if sum(c) <= room)
+        got = packing.fullest(lengths, left, room)
+        assert sum(lengths[j] for j in got) == best and all(got.count(j) <= left[j] for j in set(got))
+
+
 def test_configuration_program_places_every_piece():
     rng = random.Random(4)
     for _ in range(5):
@@ -237,8 +281,8 @@ def test_configuration_program_places_every_piece():
             assert sum(items) <= 100
             for x in items:
                 placed[x] = placed.get(x, 0) + n
-        used, plain = sum(n for _, n in patterns), packing.best_fit(np.array(sorted(histogram)), np.array([histogram[x] for x in sorted(histogram)]), 100)
-        assert placed == histogram and bound <= used <= sum(n for _, n in plain)
+        used, plain = sum(n for _, n in patterns), best_fit(histogram, 100)
+        assert placed == histogram and bound <= used <= plain
     easy = {x: 50 for x in range(1, 41)}
     patterns, bound = packing.solve(easy, 100)
     assert sum(n for _, n in patterns) <= bound + 1 and bound == -(-sum(x * n for x, n in easy.items()) // 100)
@@ -248,6 +292,10 @@ def test_configuration_program_places_every_piece():
 def test_word_ids_equal_the_tokenizer():
     ids = packing.WordIds(TOKENIZER)
     odd = ["it's don't DON'T we're.", "É. ΣΑΣ ΑΣ. İstanbul", "a\tb\r\nc", "1234 a1b2.c3,", "x́y é.", "<|endoftext|> a<|startoftext|>b", "", "   ", "日本語、テスト。", "ﬁne Ǆ. ß, ª º", "a b\x85c\x1cd", "___ -- ...", ".", ",", "I'LL. can't, 's 't", "ſ K Å. Ω, ŉ. ΐ"]
+    odd += ["İ.", "DİYARBAKIR İ,", "İ", "xİ.y İstanbul."]
+    rng = random.Random(77)
+    odd += ["".join(c + rng.choice([".", ",", " ", ""]) for c in map(chr, (c for c in range(k, 0x110000, 397) if not 0xD800 <= c < 0xE000))) for k in range(0, 397, 23)]
+    odd += [f"{chr(c)}. {chr(c)}, a{chr(c)}. {chr(c)}b," for c in range(0x80, 0x2FFF)]
     for t in odd:
         assert ids.encode(t) == np.array(ids.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
