@@ -40,7 +40,9 @@ from prismview.llm.scratch import held, written
 
 CAPACITY, END_ID = 4096, 1
 #: Steps of the fractional program, the share of a pattern's most that a step takes, and the rate at which weights fall.
-ROUNDS, STEP, RATE = 24, 0.5, 1.0
+ROUNDS, STEP, RATE = 12, 0.9, 0.3
+#: Weights begin at this power of a length, so that long pieces, which fit in few places, are placed first.
+LENGTH_POWER = 0.15
 #: Share of a length that may stay uncovered before it counts as covered.
 COVERED = 1e-3
 #: Programs solved and rounded one after the other at most; a round that places less than this share of what is left is the last.
@@ -138,7 +140,7 @@ def pattern_at(taken: list[int], lengths: list[int], free: int) -> list[int]:
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[dict[tuple[int, ...], float], int]:
     """How much of each pattern (positions of lengths) covers every length, and the program's lower bound on sequences."""
     amounts: dict[tuple[int, ...], float] = {}
-    left, weight, bound = counts.astype(float), np.ones(len(lengths)), -(-int((lengths * counts).sum()) // capacity)
+    left, weight, bound = counts.astype(float), (lengths / lengths[-1]) ** LENGTH_POWER, -(-int((lengths * counts).sum()) // capacity)
     for last in [False] * ROUNDS + [True]:
         open_ = np.flatnonzero(left > COVERED * counts)
         if not len(open_):
