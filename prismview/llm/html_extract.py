@@ -67,7 +67,9 @@ BRANCH, SALTS = 0, 16
 
 #: ``node_first`` and ``item_first``: the first block of its page with that node, with that node and item.
 BLOCK = "node long, item long, node_first int, item_first int, size long, parent long, named long, state int"
-PAGE = f"row long, page_id long, url string, host long, page long, texts binary, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, styles array<struct<node:long,style:long>>"
+PAGE = f"row long, chunk long, place long, host long, page long, ids array<long>, urls array<string>, texts binary, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, styles array<struct<node:long,style:long>>"
+#: Pages and characters of a chunk, whose texts are compressed and travel together, in the row of its first page.
+CHUNK_PAGES, CHUNK_CHARS = 32, 1 << 20
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -76,13 +78,24 @@ def host_of(url: Column) -> Column:
     return name
 
 
-def packed(texts: list[str]) -> bytes:
-    """A page's texts as they travel: compressed, whole."""
-    return zstandard.compress(json.dumps(texts, ensure_ascii=False).encode("utf-8", "surrogatepass"), 1)
+def packed(pages: list[list[str]]) -> bytes:
+    """The texts of a chunk as they travel: compressed, whole."""
+    return zstandard.compress(json.dumps(pages, ensure_ascii=False).encode(), 6)
 
 
-def unpacked(data: bytes) -> list[str]:
-    return json.loads(zstandard.decompress(data).decode("utf-8", "surrogatepass"))
+def unpacked(data: bytes) -> list[list[str]]:
+    return json.loads(zstandard.decompress(data))
+
+
+def chunks_of(texts: list[list[str]]) -> list[int]:
+    """The first page of each page's chunk."""
+    first, size, out = 0, 0, []
+    for i, own in enumerate(texts):
+        if i - first >= CHUNK_PAGES or size > CHUNK_CHARS:
+            first, size = i, 0
+        size += sum(map(len, own))
+        out.append(first)
+    return out
 
 
 def facts(blocks: list[Block]) -> list[tuple]:
@@ -120,10 +133,18 @@ def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(first, 200)
             hosts, pages = batch["host"].to_pylist(), [p or "" for p in batch["html"].to_pylist()]
             read = [read_blocks(p, h) for p, h in zip(pages, hosts, strict=True)]
-            told, texts = [facts(blocks) for blocks, _ in read], [packed([b.text for b in blocks]) for blocks, _ in read]
-            numbers = [pa.array(range(row, row + len(pages)), pa.int64()), pa.array(map(hashed, hosts), pa.int64()), pa.array([hashed(h, p) for h, p in zip(hosts, pages, strict=True)], pa.int64())]
-            columns = [numbers[0], batch["page_id"], batch["url"], *numbers[1:], pa.array(texts, pa.binary()), lists_of(told, BLOCK_TYPE), lists_of([s for _, s in read], STYLE_TYPE)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "page_id", "url", "host", "page", "texts", "blocks", "styles"])
+            texts = [[b.text for b in blocks] for blocks, _ in read]
+            first = chunks_of(texts)
+            of = [[j for j in range(i, len(first)) if first[j] == i] if first[i] == i else None for i in range(len(first))]
+            ids, urls = batch["page_id"].to_pylist(), batch["url"].to_pylist()
+            columns = {
+                "row": range(row, row + len(pages)), "chunk": [row + f for f in first], "place": [i - f for i, f in enumerate(first)], "host": map(hashed, hosts),
+                "page": [hashed(h, p) for h, p in zip(hosts, pages, strict=True)],
+            }
+            made = [pa.array(c, pa.int64()) for c in columns.values()]
+            made += [pa.array([c and [ids[j] for j in c] for c in of], pa.list_(pa.int64())), pa.array([c and [urls[j] for j in c] for c in of], pa.list_(pa.string()))]
+            made += [pa.array([c and packed([texts[j] for j in c]) for c in of], pa.binary()), lists_of([facts(blocks) for blocks, _ in read], BLOCK_TYPE), lists_of([s for _, s in read], STYLE_TYPE)]
+            yield pa.RecordBatch.from_arrays(made, names=[*columns, "ids", "urls", "texts", "blocks", "styles"])
             row += len(pages)
 
 
@@ -174,25 +195,23 @@ def noise_of(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def hits(pages: DataFrame, noise: DataFrame) -> DataFrame:
-    """``row, drop``: numbers of the blocks of a page that are noise."""
+    """``chunk, drop``: the blocks of a chunk that are noise, as page << 32 | block."""
     keyed = lambda salt, item: F.xxhash64("node", item, salt)
     entries = noise.select("node", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).select(keyed(F.col("salt"), F.col("item")).alias("key"))
-    blocks = pages.select("row", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["item"].alias("item"), b["state"].alias("state")))).alias("at", "b"))
-    blocks = blocks.select("row", "at", "b.node", "b.state", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.col("b.item").alias("own"))
+    blocks = pages.select("row", "chunk", "place", F.posexplode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["item"].alias("item"), b["state"].alias("state")))).alias("at", "b"))
+    blocks = blocks.select("chunk", F.shiftleft("place", 32).bitwiseOR(F.col("at")).alias("at"), "b.node", "b.state", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"), F.col("b.item").alias("own"))
     asks = F.when(F.col("state") == UNMARKED, F.array(F.lit(BRANCH).cast("long"), F.col("own"))).otherwise(F.array(F.lit(BRANCH).cast("long")))
-    asked = blocks.withColumn("item", F.explode(asks)).select("row", "at", keyed(F.col("salt"), F.col("item")).alias("key"))
-    return rows_with(asked, entries, "key").groupBy("row").agg(F.collect_set("at").alias("drop"))
+    asked = blocks.withColumn("item", F.explode(asks)).select("chunk", "at", keyed(F.col("salt"), F.col("item")).alias("key"))
+    return rows_with(asked, entries, "key").groupBy("chunk").agg(F.collect_set("at").alias("drop"))
 
 
 def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for first in range(0, whole.num_rows, 200):
-            batch = whole.slice(first, 200)
-            made = []
-            for texts, drop in zip(batch["texts"].to_pylist(), batch["drop"].to_pylist(), strict=True):
-                gone = set(drop or ())
-                made.append("\n\n".join([t for i, t in enumerate(unpacked(texts)) if i not in gone]))
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    for batch in batches:
+        for i in range(batch.num_rows):  # a chunk at a time
+            ids, urls, texts, drop = (batch[c][i].as_py() for c in ("ids", "urls", "texts", "drop"))
+            gone = set(drop or ())
+            made = ["\n\n".join([t for at, t in enumerate(own) if place << 32 | at not in gone]) for place, own in enumerate(unpacked(texts))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -201,8 +220,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host_of(F.col("url").cast("string")).alias("host"))
     read = written(rows.mapInArrow(read_pages, PAGE), "pages", folder, batch_rows=200)
     drops = hits(read, noise_of(read, folder))
-    texts = read.select("row", "page_id", "url", "texts").join(drops, "row", "left")
-    return texts.select("page_id", "url", "texts", "drop").mapInArrow(join_blocks, RESULT)
+    texts = read.filter("row = chunk").select("chunk", "ids", "urls", "texts").join(drops, "chunk", "left")
+    return texts.select("ids", "urls", "texts", "drop").mapInArrow(join_blocks, RESULT)
 
 
 __all__ = ["INSIDE", "Block", "extract", "host_of", "judged", "leaves_of", "noise_of", "read_pages"]
