@@ -50,7 +50,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "labels", ["doc_id", "toxic"])
-    return toxicity.toxicity(docs, labels).drop("passages")
+    return toxicity.toxicity(docs, labels)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

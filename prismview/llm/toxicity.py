@@ -13,18 +13,21 @@ to reach a z-score of sqrt(2 ln N) by chance, and that is the level.
 occurrence of a word has its full score there, and passages are these segments. As
 documents are counted, not occurrences, the score of a document is damped: within a
 segment the j-th occurrence of a toxic word counts 1 / j of its score, anew in each
-segment, and the best stretch of a damped segment is the document's.
+segment, and the best stretch of a damped segment is what the segment gives.
 
 *Calibration.* The best segment of n clean words follows an extreme-value law,
 P(S >= s) = 1 - exp(-K n exp(-lambda s)); lambda solves the Karlin-Altschul equation
 under the clean word frequencies, K is fitted to clean training documents, once for
-damped segments and once for passages. The
-score of a document is x / (x + t), where x = -log10 P of its best segment and t is
-the threshold with the fewest errors in training, so 0.5 is the decision.
+damped segments and once for passages. All segments of a document that beat chance are
+aggregated: the r best have the sum T of their lambda s - ln(K n), which n clean words
+reach with probability exp(-T) T^(r-1) / (r! (r-1)!) for large T, halved in weight for
+each further segment (r is chosen for the least chance). With x = -log10 of that chance
+the score of a document is x / (x + t), where t is the threshold with the fewest errors
+in training, so 0.5 is the decision.
 
 Only labelled rows with crc32(id as text) mod 5 <> 0 are learnt from, at most
 SAMPLE of each class, taken in hash order; labels, lang, source and id are no
-inputs of a score. At most MODEL_WORDS words and prefixes are listed.
+inputs of a score. The model lists every significant name of that bounded sample.
 
 A null or empty text has no words and scores 0. A row with a null id is scored
 and counts as not held out; null labels are not learnt from. Without both classes
@@ -48,7 +51,7 @@ from pyspark.sql import functions as F
 
 from prismview.llm.scratch import written
 
-SAMPLE, MODEL_WORDS = 20_000, 50_000
+SAMPLE = 20_000
 #: Lengths of prefixes.
 SHORTEST, LONGEST = 4, 8
 #: Prior documents behind a share.
@@ -101,46 +104,56 @@ class Model:
     passage_scale: float = 1.0  # K of passages
     threshold: float = 1.0
 
-    def evalue(self, score: float, n: int) -> float:
-        return self.scale * n * math.exp(-self.decay * score)
-
     def passage_evalue(self, score: float, n: int) -> float:
         return self.passage_scale * n * math.exp(-self.decay * score)
 
-    def surprise(self, score: float, n: int) -> float:
-        """-log10 of the chance that n clean words hold so good a segment."""
-        if score <= 0 or n <= 0:
+    def surprise(self, scores: list[float], n: int) -> float:
+        """-log10 of the chance that n clean words hold segments so good: of the r best together, for the r at which it is least."""
+        if n <= 0 or not scores:
             return 0.0
-        e = self.evalue(score, n)
-        if e < 1e-9:
-            return -(math.log(self.scale * n) - self.decay * score) / math.log(10)
-        return -math.log10(-math.expm1(-e)) if e < 30 else 0.0
+        over = sorted((self.decay * s - math.log(self.scale * n) for s in scores), reverse=True)
+        e = -over[0]
+        # One segment: the exact law. It holds for any score; the sums only for segments beyond chance.
+        best = over[0] / math.log(10) if e < -20 else -math.log10(-math.expm1(-math.exp(e))) if e < 3.4 else 0.0
+        total = over[0]
+        for r, x in enumerate(over[1:], 2):
+            if x <= 0:
+                break
+            total += x
+            chance = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r) + (r - 1) * math.log(2)
+            best = max(best, -chance / math.log(10))
+        return best
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """Every maximal segment as (start, end, score), in one pass over the positive runs.
 
-    Each candidate keeps the running sum before it and after it; a new one reaches
-    back to the nearest candidate that began lower, and absorbs what lies between
-    as long as the sum still rises.
+    Each candidate keeps the running sum before it and after it, and a link to the nearest
+    earlier candidate that began lower; those between cannot join a later one that began no
+    higher, so a search follows links and looks at no candidate twice in vain. A new
+    candidate that no earlier one began below closes all of them. The time is linear.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    done: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = (i, i + 1, before, total)
+        start, j = i, len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            new = (found[j][0], new[1], found[j][2], new[3])
+            start, before, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append(new)
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = link
+        if j < 0:
+            done += [(a, b, after - first) for a, b, first, after, _ in found]
+            found.clear()
+        found.append((start, i + 1, before, total, j))
+    return done + [(a, b, after - first) for a, b, first, after, _ in found]
 
 
 def best_stretch(scores: list[float]) -> float:
@@ -152,18 +165,18 @@ def best_stretch(scores: list[float]) -> float:
     return best
 
 
-def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]], float]:
-    """Words of a text, its maximal segments in words, and the best damped score."""
+def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, float]], list[float]]:
+    """Words of a text, its maximal segments in words, and what each gives when damped."""
     words = WORD.findall(text.lower())
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
     positive = values > 0
     if not positive.any():
-        return len(words), [], 0.0
+        return len(words), [], []
     # Sum runs of one sign first: the scan then takes as many steps as there are runs.
     edges = np.concatenate([[0], np.flatnonzero(positive[1:] != positive[:-1]) + 1])
     ends = np.append(edges[1:], len(words))
     runs = maximal_segments(np.add.reduceat(values, edges).tolist())
-    best = 0.0
+    damped = []
     for a, b, s in runs:
         first, last = int(edges[a]), int(ends[b - 1])
         seen: Counter[str] = Counter()
@@ -171,8 +184,8 @@ def segments_of(text: str, scores: Scores) -> tuple[int, list[tuple[int, int, fl
             seen[words[i]] += 1
             values[i] /= seen[words[i]]
         again = len(seen) < seen.total()
-        best = max(best, best_stretch(np.add.reduceat(values[first:last], edges[a:b] - first).tolist()) if again else s)
-    return len(words), [(int(edges[a]), int(ends[b - 1]), s) for a, b, s in runs], best
+        damped.append(best_stretch(np.add.reduceat(values[first:last], edges[a:b] - first).tolist()) if again else s)
+    return len(words), [(int(edges[a]), int(ends[b - 1]), s) for a, b, s in runs], damped
 
 
 def names_in(text: str) -> set[str]:
@@ -227,7 +240,7 @@ def learn(sample: DataFrame) -> Model | None:
     found = graded(words)
     for level in levels:
         found = found.union(level)
-    top = {r.name: r for r in found.filter(F.col("z") >= significant).orderBy(F.desc("z"), "name").limit(MODEL_WORDS).collect()}
+    top = {r.name: r for r in found.filter(F.col("z") >= significant).collect()}  # names of the bounded sample
     # Occurrences under a listed name, without those under a listed name below it.
     own_t, own_c = {n: r.toxic for n, r in top.items()}, {n: r.clean for n, r in top.items()}
     rest_t, rest_c = toxic, clean
@@ -253,23 +266,23 @@ def learn(sample: DataFrame) -> Model | None:
 
 
 def measure(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Best damped segment, best passage and length of each training document."""
+    """Damped segments, best passage and length of each training document."""
     model: Model = shared.value
     scores = Scores(model.listed, model.rest)
     for batch in batches:
         found = [segments_of(t or "", scores) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _, _ in found], pa.int64()), pa.array([b for _, _, b in found], pa.float64()), pa.array([max((s[2] for s in x), default=0.0) for _, x, _ in found], pa.float64())], names=["toxic", "n", "best", "passage"])
+        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([n for n, _, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.list_(pa.float64())), pa.array([max((s[2] for s in x), default=0.0) for _, x, _ in found], pa.float64())], names=["toxic", "n", "damped", "passage"])
 
 
 def calibrate(model: Model, sample: DataFrame, sizes: dict[int, int]) -> Model:
     """Fits K and the threshold on the bounded sample; classes count as often as they are labelled (``sizes``)."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
-    rows = sample.mapInArrow(lambda b: measure(b, shared), "toxic int, n long, best double, passage double").collect()
+    rows = sample.mapInArrow(lambda b: measure(b, shared), "toxic int, n long, damped array<double>, passage double").collect()
     # Gumbel: the mean of lambda S - ln n over clean documents is ln K plus Euler's constant.
     clean = [r for r in rows if not r.toxic and r.n]
-    fitted = lambda best: max(math.exp(sum(model.decay * r[best] - math.log(r.n) for r in clean) / len(clean) - 0.5772156649) if clean else 0.0, 1e-6)
-    model.scale, model.passage_scale = fitted("best"), fitted("passage")
-    x = np.array([model.surprise(r.best, r.n) for r in rows])
+    fitted = lambda best: max(math.exp(sum(model.decay * best(r) - math.log(r.n) for r in clean) / len(clean) - 0.5772156649) if clean else 0.0, 1e-6)
+    model.scale, model.passage_scale = fitted(lambda r: max(r.damped, default=0.0)), fitted(lambda r: r.passage)
+    x = np.array([model.surprise(r.damped, r.n) for r in rows])
     y = np.array([r.toxic for r in rows])
     weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
     order = np.argsort(x)
@@ -292,8 +305,8 @@ def grade(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Itera
     for batch in batches:
         score, passages = [], []
         for text in batch["text"].to_pylist():
-            n, found, best = segments_of(text or "", scores) if model else (0, [], 0.0)
-            x = model.surprise(best, n) if model else 0.0
+            n, found, damped = segments_of(text or "", scores) if model else (0, [], [])
+            x = model.surprise(damped, n) if model else 0.0
             score.append(x / (x + model.threshold) if model else 0.0)
             graded = ((a, b, s, model.passage_evalue(s, n)) for a, b, s in found)
             passages.append([{"start": a, "end": b, "score": s, "evalue": e} for a, b, s, e in graded if e <= PASSAGE_E])
@@ -328,8 +341,8 @@ def keep_clean(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iter
     for batch in batches:
         keep = []
         for text in batch[text_col].to_pylist():
-            n, _, best = segments_of(text or "", scores) if model else (0, [], 0.0)
-            keep.append(not model or model.surprise(best, n) < model.threshold)
+            n, _, damped = segments_of(text or "", scores) if model else (0, [], [])
+            keep.append(not model or model.surprise(damped, n) < model.threshold)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 

@@ -394,6 +394,101 @@ def test_every_maximal_segment():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == brute(0, len(s))
 
 
+def test_the_scan_of_segments_takes_linear_time():
+    import time
+
+    def took(scores):
+        began = time.perf_counter()
+        toxicity.maximal_segments(scores)
+        return time.perf_counter() - began
+
+    for cycle in ([1, -1.5], [1, -0.5], [2, -1, 0.5, -1.2], [1, -1]):
+        best = [min(took(cycle * n) for _ in range(3)) for n in (5_000, 40_000)]
+        assert best[1] < 24 * best[0] + 0.01, cycle  # 8 times as long; quadratic would be 64
+    falling = [x for k in range(20_000) for x in (1 + k / 20_000, -1.0 - k / 20_000)]
+    assert took(falling) < 1 and took(falling[::-1]) < 1
+
+
+def brute_surprise(model, text):
+    """The score of a text from the definitions."""
+    import math
+
+    w = re.findall(r"[^\W\d_]+", text.lower())
+    value = []
+    for x in w:
+        names = [x + "$"] + [x[:k] for k in range(8, 3, -1) if k <= len(x)]
+        value.append(next((model.listed[n] for n in names if n in model.listed), model.rest))
+
+    def maximal(a, b):
+        best = max(((sum(value[i:j]), -(j - i), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+        return maximal(a, best[2]) + [(best[2], best[3])] + maximal(best[3], b) if best[0] > 1e-12 else []
+
+    over = []
+    for a, b in maximal(0, len(w)):
+        damped = [v / (w[a : i + 1].count(w[i])) if v > 0 else v for i, v in enumerate(value[a:b], a)]
+        best = max(sum(damped[i:j]) for i in range(len(damped)) for j in range(i + 1, len(damped) + 1))
+        over.append(model.decay * best - math.log(model.scale * len(w)))
+    over.sort(reverse=True)
+    if not over:
+        return 0.0
+    e = math.exp(-over[0])
+    found = [-math.log10(1 - math.exp(-e)) if e < math.exp(3.4) else 0.0]
+    for r in range(2, len(over) + 1):
+        if over[r - 1] <= 0:
+            break
+        t = sum(over[:r])
+        found.append(-math.log10(math.exp(-t) * t ** (r - 1) / math.factorial(r) / math.factorial(r - 1) * 2 ** (r - 1)))
+    return max(found)
+
+
+def test_scores_match_brute_force():
+    rng = random.Random(13)
+    model = toxicity.Model({"vile": 2.0, "viler$": 3.1, "foul$": 1.2, "calm$": -1.5, "nastyxyz": 2.5}, -0.4, 0.9, 0.08, 0.05, 1.0)
+    scores = toxicity.Scores(model.listed, model.rest)
+    pool = ["vile", "vileness", "viler", "foul", "fouls", "calm", "nastyxyz", "nastyxyzab", "nasty", "plain", "x", "Él"]
+    for _ in range(150):
+        text = " ".join(rng.choice(pool[:7] if rng.random() < 0.3 else pool[5:]) for _ in range(rng.randrange(0, 30)))
+        n, found, damped = toxicity.segments_of(text, scores)
+        assert abs(model.surprise(damped, n) - brute_surprise(model, text)) < 1e-6, text
+    far = "vile foul viler " + "calm " * 60 + "vile foul viler " + "calm " * 60
+    one = "vile foul viler " + "calm " * 123
+    x, y = (model.surprise(toxicity.segments_of(t, scores)[2], 126) for t in (far, one))
+    assert x > y > 0  # two passages tell more than one
+
+
+def test_learnt_names_match_brute_force(spark):
+    import math
+
+    rng = random.Random(2)
+    told = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = [f"{rng.choice(['calm', 'plain', 'steady', 'quiet'])}{rng.choice('abcdefgh')}" for _ in range(rng.randrange(4, 20))]
+        told.append((" ".join(w + [rng.choice(["vilenessa", "vilenessb", "foulest"])] * (toxic or rng.random() < 0.02)), int(toxic)))
+    counts = {}
+    for text, toxic in told:
+        for name in {n for w in set(text.split()) for n in [w + "$"] + [w[:k] for k in range(4, 9) if len(w) >= k]}:
+            counts.setdefault(name, [0, 0])[1 - toxic] += 1
+    whole = {n: c for n, c in counts.items() if n[-1] == "$"}
+    t_all, c_all = (sum(c[j] for c in whole.values()) for j in (0, 1))
+    share = t_all / (t_all + c_all)
+    odds = lambda p: math.log(p / (1 - p))
+    shares, listed = {}, {}
+    for name in sorted(counts, key=lambda n: (n[-1] == "$", len(n))):
+        t, c = counts[name]
+        stem = name[:-1][:8] if name[-1] == "$" else name[:-1]
+        prior = shares.get(stem, share)
+        p = (t + 10 * prior) / (t + c + 10)
+        if name[-1] != "$":
+            shares[name] = p
+        spread = math.sqrt(1 / (t + 10 * prior) + 1 / (c + 10 * (1 - prior)))
+        if abs(odds(p) - odds(prior)) / spread >= math.sqrt(2 * math.log(len(counts))):
+            listed[name] = odds(p) - odds(share)
+    model = toxicity.learn(spark.createDataFrame(told, "text string, toxic int").repartition(3))
+    assert model.listed.keys() == listed.keys() and any(n.startswith("vile") for n in listed)
+    assert all(abs(model.listed[n] - x) < 1e-9 for n, x in listed.items()) and model.rest < 0
+
+
 def test_toxicity_learns_and_keeps_out(spark, empty):
     rng = random.Random(6)
     bad = ["vileword", "foulword", "nastystem"]
@@ -417,13 +512,14 @@ def test_toxicity_learns_and_keeps_out(spark, empty):
 def test_toxic_passages_and_words_that_come_again():
     scores = toxicity.Scores({"vile$": 3.0, "foul$": 2.5, "nasty$": 2.8}, -0.5)
     clean, bad = "calm " * 40, "vile foul nasty "
-    n, found, best = toxicity.segments_of(clean + bad + clean + bad + clean, scores)
-    assert n == 126 and [(a, b) for a, b, _ in found] == [(40, 43), (83, 86)] and all(abs(s - 8.3) < 1e-9 for _, _, s in found) and abs(best - 8.3) < 1e-9
+    top = lambda t: max(toxicity.segments_of(t, scores)[2])
+    n, found, damped = toxicity.segments_of(clean + bad + clean + bad + clean, scores)
+    assert n == 126 and [(a, b) for a, b, _ in found] == [(40, 43), (83, 86)] and all(abs(s - 8.3) < 1e-9 for _, _, s in found) and all(abs(s - 8.3) < 1e-9 for s in damped)
     # First mentions far apart leave the words of a dense passage to it.
-    assert abs(toxicity.segments_of("vile " + clean + "foul " + clean + "nasty " + clean + bad, scores)[2] - 8.3) < 1e-9
+    assert abs(top("vile " + clean + "foul " + clean + "nasty " + clean + bad) - 8.3) < 1e-9
     # The j-th occurrence in a segment counts 1 / j.
-    assert abs(toxicity.segments_of("vile calm vile vile", scores)[2] - (3 - 0.5 + 3 / 2 + 3 / 3)) < 1e-9
-    assert abs(toxicity.segments_of("vile " + "calm " * 4 + "vile", scores)[2] - 3.0) < 1e-9  # 3 - 4 x 0.5 + 3 / 2 is less
+    assert abs(top("vile calm vile vile") - (3 - 0.5 + 3 / 2 + 3 / 3)) < 1e-9
+    assert abs(top("vile " + "calm " * 4 + "vile") - 3.0) < 1e-9  # 3 - 4 x 0.5 + 3 / 2 is less
     model = toxicity.Model(scores.listed, scores.rest, 1.0, 0.05, 0.05, 1.0)
     grades = [model.surprise(toxicity.segments_of("vile " * k, scores)[2], k) for k in (1, 2, 10, 100, 500)]
     assert grades == sorted(grades) and grades[-1] > 2 * grades[0]
