@@ -2,15 +2,19 @@
 
 1. *Entries.* Each task normalises its texts, hashes them and folds equal texts
    of one Arrow batch into the row with the largest id, comparing bytes. Copies
-   therefore never travel together: a group leaves each batch as one entry.
+   therefore never travel together: a group leaves each batch as one entry. Where a key
+   still has more than FOLD entries, they fold again in groups of about FOLD, level by
+   level, so no task ever meets more than about FOLD texts of a group.
 2. *Directory.* A histogram of the leading key bits (2^MAX_DEPTH numbers) drives
    directory doubling: a bucket over its capacity splits in two on the next bit,
-   and the directory doubles when a bucket at full depth splits.
+   and the directory doubles when a bucket at full depth splits. A bucket holds CAPACITY
+   entries or a 2^(MAX_DEPTH - 1)-th of all, whichever is more, so buckets split at any
+   size of the input and the directory keeps to 2^MAX_DEPTH slots.
 3. *Owners.* A bucket is a range of keys. Its owner task reads the entries in key
    order, chains those with equal keys, and compares the chained texts byte for
    byte, so texts whose hashes collide stay apart. Texts travel only for keys that
-   several entries have. What an owner finds is written to the index files, one
-   folder a bucket.
+   several entries have. What an owner finds is written to the index files in the order
+   of its buckets, a file an owner.
 4. Every row looks up its entry in the index by row number.
 
 A null text counts as empty. Of equal texts the row with the largest id stays; of
@@ -30,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import rows_with, rows_without, shared_folder, written
+from prismview.llm.scratch import in_slots, rows_with, rows_without, shared_folder, written
 
-#: Entries that a bucket may hold before it splits, and leading key bits at most.
-CAPACITY, MAX_DEPTH = 4096, 16
+#: Entries that a bucket may hold before it splits, leading key bits at most, and entries of a key that meet in one task.
+CAPACITY, MAX_DEPTH, FOLD = 4096, 16, 1000
 
 ENTRY = "_id long, _row long, _entry long, _sha binary, _key long, _copies long, _text string"
 OWNED = "_bucket int, _entry long, _keep_row long, _keep_id long, _size long"
@@ -135,28 +139,58 @@ def chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The entry table and the index files of ``docs``; ``carry`` names columns kept in the entries as ``_c0, _c1, ...``."""
+def folded(entries: DataFrame, own: DataFrame, fold: int, folder: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``own`` with at most about ``fold`` entries a key and text, and ``_entry, _keep_row`` of the entries folded at each level.
+
+    Entries of a crowded key are dealt into groups; equal texts of a group leave it as one. Levels go on while they make a key less crowded.
+    """
+    links: list[DataFrame] = []
+    before = None
+    while True:
+        level = len(links)
+        counts = own.groupBy("_key").count().filter(F.col("count") > fold)
+        crowded = written(counts, f"crowded{level}", folder)
+        most, keys = crowded.agg(F.max("count"), F.count("*")).first()
+        if not keys or (before is not None and most >= before):  # keys of many different texts fold no further
+            return own, links
+        before = most
+        group = F.pmod(F.xxhash64("_entry", F.lit(level)), F.lit(-(-most // fold))).cast("int")
+        # Entries that merely share a slot with a crowded key fold rightly, too.
+        texts = in_slots(entries.filter("_row = _entry").select("_entry", "_key", "_text"), crowded, "_key").select("_entry", "_text")
+        met = in_slots(own, crowded, "_key").join(texts, "_entry").withColumn("_bucket", group)
+        made = written(met.repartition("_bucket", "_key").sortWithinPartitions("_bucket", "_key").mapInArrow(chain_keys, OWNED), f"fold{level}", folder)
+        links.append(made.filter("_entry <> _keep_row").select("_entry", "_keep_row"))
+        heads = made.filter("_entry = _keep_row").join(own.select("_entry", "_key"), "_entry").select(F.col("_keep_id").alias("_id"), "_entry", "_key", F.col("_size").alias("_copies"))
+        own = written(own.join(made.select("_entry"), "_entry", "left_anti").select("_id", "_entry", "_key", "_copies").unionByName(heads), f"own{level}", folder)
+
+
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = (), capacity: int = CAPACITY, fold: int = FOLD) -> tuple[DataFrame, DataFrame]:
+    """The entry table and the index of ``docs``; ``carry`` names columns kept in the entries as ``_c0, _c1, ...``."""
     folder = shared_folder(docs.sparkSession)
     kinds = dict(docs.dtypes)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = ", ".join([ENTRY, *(f"_c{i} {kinds[c]}" for i, c in enumerate(carry))])
     entries = written(rows.mapInArrow(fold_batches, schema), "entries", folder)
-    own = entries.filter("_row = _entry").select("_id", "_entry", "_key", "_copies")
+    own, links = folded(entries, entries.filter("_row = _entry").select("_id", "_entry", "_key", "_copies"), fold, folder)
     several = written(own.groupBy("_key").count().filter("count > 1").select("_key"), "several", folder)
     texts = rows_with(entries.filter("_row = _entry").select("_entry", "_key", "_text"), several, "_key").select("_entry", "_text")
     top = F.shiftrightunsigned("_key", 64 - MAX_DEPTH)
-    depth, slots = directory({r[0]: r[1] for r in own.groupBy(top.alias("slot")).count().collect()}, capacity)
+    histogram = {r[0]: r[1] for r in own.groupBy(top.alias("slot")).count().collect()}  # 2^MAX_DEPTH rows at most
+    depth, slots = directory(histogram, max(capacity, sum(histogram.values()) >> (MAX_DEPTH - 1)))
     places = docs.sparkSession.createDataFrame(list(enumerate(slots)), "_slot long, _bucket int")  # 2^MAX_DEPTH rows at most
     slot = F.shiftrightunsigned("_key", 64 - depth) if depth else F.lit(0).cast("long")
-    own = own.join(texts, "_entry", "left")
-    owned = own.withColumn("_slot", slot).join(F.broadcast(places), "_slot").repartition("_bucket").sortWithinPartitions("_bucket", "_key").mapInArrow(chain_keys, OWNED)
-    return entries, written(owned, "index", folder, by="_bucket")
+    owned = own.join(texts, "_entry", "left").withColumn("_slot", slot).join(F.broadcast(places), "_slot")
+    found = written(owned.repartition("_bucket").sortWithinPartitions("_bucket", "_key").mapInArrow(chain_keys, OWNED), "index", folder)
+    for link in reversed(links):  # folded entries stay with what their group's head stays with
+        heads = found.withColumnRenamed("_entry", "_head").drop("_bucket")
+        more = link.withColumnRenamed("_keep_row", "_head").join(heads, "_head").select(F.lit(-1).alias("_bucket"), "_entry", "_keep_row", "_keep_id", "_size")
+        found = found.unionByName(more)
+    return entries, found
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, fold: int = FOLD) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` of every row."""
-    entries, found = index(docs, id_col, text_col, capacity=capacity)
+    entries, found = index(docs, id_col, text_col, capacity=capacity, fold=fold)
     return (
         entries.select("_id", "_row", "_entry", "_sha")
         .join(found, "_entry")

@@ -41,12 +41,12 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str = "t", folder: str | None = None, batch_rows: int = 1000, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str = "t", folder: str | None = None, batch_rows: int = 1000) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/{name}"
     with batches_of(spark, batch_rows):
-        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,10 +72,15 @@ def _slotted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataF
     return df.withColumn("_slot", slot), F.broadcast(keys.select(slot.alias("_slot")).distinct())
 
 
+def in_slots(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``keys``, and others that share a slot with one; nothing is shuffled."""
+    slotted, slots = _slotted(df, keys, key)
+    return slotted.join(slots, "_slot", "left_semi").drop("_slot")
+
+
 def rows_with(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is among ``keys``. Most other rows go before the shuffle, by their slot."""
-    slotted, slots = _slotted(df, keys, key)
-    return slotted.join(slots, "_slot", "left_semi").drop("_slot").join(keys.select(key), key, "left_semi")
+    return in_slots(df, keys, key).join(keys.select(key), key, "left_semi")
 
 
 def rows_without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

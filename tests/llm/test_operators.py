@@ -125,8 +125,8 @@ def test_exact_dedup_matches_groups(docs, texts, empty):
     by = {}
     for i, t in texts:
         by.setdefault(low(t), []).append(i)
-    for capacity in (exact_dedup.CAPACITY, 3):
-        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs, capacity=capacity).collect()}
+    for capacity, fold in ((exact_dedup.CAPACITY, exact_dedup.FOLD), (3, 2)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs, capacity=capacity, fold=fold).collect()}
         assert got == {i: (max(by[low(t)]), len(by[low(t)]), i == max(by[low(t)]), hashlib.sha256(low(t).encode()).hexdigest()) for i, t in texts}
     kept = exact_dedup.survivors(docs)
     assert kept.columns == docs.columns
@@ -141,6 +141,23 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     assert exact_dedup.survivors(rows).count() == 2
 
 
+def test_copies_of_a_hot_text_fold_level_by_level(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["hot", "HOT", "Hot"]) if i % 3 else words(rng, 3, 40)) for i in range(600)]
+    rng.shuffle(rows)
+    by = {}
+    for i, t in rows:
+        by.setdefault(low(t), []).append(i)
+    monkeypatch.setattr(exact_dedup, "written", lambda df, *a, **k: scratch.written(df, *a, **{**k, "batch_rows": 4}))  # many entries
+    met = []
+    chained = exact_dedup.folded
+    monkeypatch.setattr(exact_dedup, "folded", lambda *a: met.append(chained(*a)) or met[-1])
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fold=5).collect()}
+    assert got == {i: (max(by[low(t)]), len(by[low(t)]), i == max(by[low(t)])) for i, t in rows}
+    own, links = met[0]
+    assert len(links) >= 2 and own.groupBy("_key").count().agg(F.max("count")).first()[0] <= 5
+
+
 def test_colliding_keys_are_told_apart():
     import pyarrow as pa
 
