@@ -8,12 +8,17 @@ ranks, occurrences are located by sampled suffix positions, and overlapping
 occurrences merge into removal spans. Nothing is shuffled, and no group of
 documents meets in one task.
 
-Benchmark phrases travel in blocks of at most BLOCK_WORDS words; every block is
-searched in every shard.
+Benchmark phrases travel in blocks of at most BLOCK_WORDS words, one at a time: the driver
+reads the benchmark as a stream, broadcasts a block, searches every shard for it, writes
+what was hit, and lets the block go before it reads the next. Items longer than a block
+are read in pieces that overlap by a window less one word. A benchmark of one block is
+searched in a single pass over the documents; for more, documents are numbered in a
+table first, and the hits of a document in all blocks are merged.
 
 Null and empty texts have no words and are clean; an item without words matches
 nothing; a null item id counts as an empty one. Items that share an id count once.
-Repeated documents each get their row. An empty table gives an empty result.
+Repeated documents each get their row, also those with null ids. An empty table gives an
+empty result. Other columns are ignored, or kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismview.llm.fm_index import FMIndex
+from prismview.llm.scratch import rows_without, shared_folder, written
 
-WINDOW, BLOCK_WORDS = 13, 500_000
+WINDOW, BLOCK_WORDS = 13, 200_000
 #: A document is contaminated if one word in so many is hit.
 ONE_IN = 20
 
 #: A-Z to a-z; bytes that are not in a word to a space. Words are [0-9a-z\x80-\xff]+ in UTF-8.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+FOUND = "items array<string>, spans array<struct<start:int,end:int>>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>, contaminated boolean"
 
 
@@ -58,17 +66,30 @@ class Phrases:
         self.shortest = min((g[0] for g in self.groups), default=window)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Words of each item, joined by blanks, in pieces of at most ``most`` words that hold every window."""
+    for batch in batches:
+        items, texts = [], []
+        for item, text in zip(batch["item_id"].to_pylist(), batch["text"], strict=True):
+            words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
+            for at in range(0, max(1, len(words) - window + 1) if words else 0, most - window + 1):
+                items.append(item or "")
+                texts.append(b" ".join(words[at : at + most]))
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(texts, pa.binary())], names=["item", "words"])
+
+
 def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Phrases]:
+    """The benchmark in blocks, read one after the other."""
+    most = max(block_words, 2 * window)
+    pieces = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(lambda b: pieces_of(b, window, most), "item string, words binary")
     held: list[tuple[str, list[bytes]]] = []
     size = 0
-    for item, text in benchmark.toLocalIterator():
-        words = words_of((text or "").encode())
-        if not words:
-            continue
+    for item, joined in pieces.toLocalIterator():
+        words = bytes(joined).split(b" ")
         if held and size + len(words) > block_words:
             yield Phrases(held, window)
             held, size = [], 0
-        held.append((item or "", words))
+        held.append((item, words))
         size += len(words)
     if held:
         yield Phrases(held, window)
@@ -122,47 +143,96 @@ def merged(numbers: np.ndarray) -> list[dict]:
     return [{"start": int(numbers[a]), "end": int(numbers[b]) + 1} for a, b in zip(first, last, strict=True)]
 
 
-def search_shard(texts: pa.Array, blocks: list) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
+def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[list[int], dict[int, np.ndarray], dict[int, set[str]]]:
     """Words of each document, and of those with a hit the hit word numbers and the items."""
     words = [words_of(t.as_buffer().to_pybytes()) if t.is_valid else [] for t in texts]
-    hits: dict[int, list[np.ndarray]] = {}
-    items: dict[int, set[str]] = {}
-    for block in blocks:
-        document, number, own = hits_in(words, block.value)
-        for d, s in own.items():
-            items.setdefault(d, set()).update(s)
-        edges = np.flatnonzero(np.diff(document)) + 1
-        for d, part in zip(document[np.concatenate([[0], edges])] if len(document) else [], np.split(number, edges), strict=False):
-            hits.setdefault(int(d), []).append(part)
-    return list(map(len, words)), {d: np.unique(np.concatenate(parts)) for d, parts in hits.items()}, items
+    document, number, items = hits_in(words, phrases)
+    edges = np.flatnonzero(np.diff(document)) + 1
+    firsts = document[np.concatenate([[0], edges])] if len(document) else []
+    return list(map(len, words)), {int(d): part for d, part in zip(firsts, np.split(number, edges), strict=False)}, items
 
 
 def verdict(n_hit: int, n_words: int, one_in: int) -> bool:
     return n_hit > 0 and one_in * n_hit >= n_words
 
 
-def search_shards(batches: Iterator[pa.RecordBatch], blocks: list, one_in: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+RESULT_TYPE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", SPAN), ("contaminated", pa.bool_())])
+
+
+def result(ids: pa.Array, n_words: list[int], items: list[list[str]], spans: list[list[dict]], one_in: int) -> pa.RecordBatch:
+    n_hit = [sum(s["end"] - s["start"] for s in own) for own in spans]
+    columns = [ids, n_words, n_hit, list(map(len, items)), items, spans, [verdict(h, n, one_in) for h, n in zip(n_hit, n_words, strict=True)]]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, RESULT_TYPE, strict=True)], schema=RESULT_TYPE)
+
+
+def search_shards(batches: Iterator[pa.RecordBatch], shared, one_in: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id, text`` to RESULT rows, for a benchmark of one block."""
     for batch in batches:
-        n_words, at, items = search_shard(batch["text"], blocks)
-        n_hit = [len(at.get(d, ())) for d in range(len(n_words))]
-        found = [sorted(items.get(d, ())) for d in range(len(n_words))]
-        spans = [merged(at[d]) if d in at else [] for d in range(len(n_words))]
-        columns = [batch["doc_id"], n_words, n_hit, list(map(len, found)), found, spans, [verdict(h, n, one_in) for h, n in zip(n_hit, n_words, strict=True)]]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        n_words, at, items = search_shard(batch["text"], shared.value)
+        yield result(batch["doc_id"], n_words, [sorted(items.get(d, ())) for d in range(len(n_words))], [merged(at[d]) if d in at else [] for d in range(len(n_words))], one_in)
 
 
-def shared_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
-    phrases = benchmark.select(F.col("item_id").cast("string"), "text")
-    return [benchmark.sparkSession.sparkContext.broadcast(p) for p in blocks_of(phrases, window, block_words)]
+def number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(row, row + batch.num_rows), pa.int64())], names=[*batch.schema.names, "_row"])
+        row += batch.num_rows
+
+
+def hits_of_block(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """``_row, _text`` to ``_row, items, spans`` of documents with a hit."""
+    for batch in batches:
+        _, at, items = search_shard(batch["_text"], shared.value)
+        hit = sorted(at)
+        columns = [batch["_row"].take(pa.array(hit, pa.int64())), pa.array([sorted(items[d]) for d in hit], pa.list_(pa.string())), pa.array([merged(at[d]) for d in hit], SPAN)]
+        yield pa.RecordBatch.from_arrays(columns, names=["_row", "items", "spans"])
+
+
+def united(spans: list[dict]) -> list[dict]:
+    """Spans of several blocks, merged where they touch."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def merge_hits(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
+    """``_id, _text, items, spans`` (lists of the blocks' lists, null without a hit) to RESULT rows."""
+    for batch in batches:
+        n_words = [len(words_of(t.as_buffer().to_pybytes())) if t.is_valid else 0 for t in batch["_text"]]
+        items = [sorted({x for own in lists or () for x in own}) for lists in batch["items"].to_pylist()]
+        spans = [united([x for own in lists or () for x in own]) for lists in batch["spans"].to_pylist()]
+        yield result(batch["_id"], n_words, items, spans, one_in)
+
+
+def search_blocks(docs: DataFrame, first: Phrases, others: Iterator[Phrases], text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All columns of ``docs`` with ``_row``, and ``_row, items, spans`` of documents with a hit, lists of the blocks' lists."""
+    schema = docs.schema.simpleString()[7:-1]
+    kept = written(docs.mapInArrow(number_rows, f"{schema},_row:bigint"), "documents", folder)
+    rows = kept.select("_row", F.col(text_col).alias("_text"))
+    found = None
+    for i, phrases in enumerate((p for part in ([first], others) for p in part)):
+        shared = docs.sparkSession.sparkContext.broadcast(phrases)  # BLOCK_WORDS words at most
+        own = written(rows.mapInArrow(lambda b, s=shared: hits_of_block(b, s), f"_row long, {FOUND}"), f"block{i}", folder)
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    return kept, found.groupBy("_row").agg(F.collect_list("items").alias("items"), F.collect_list("spans").alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: word and hit counts, the items found (sorted as strings), removal spans in words, the verdict."""
-    blocks = shared_blocks(benchmark, window, block_words)
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("contaminated", pa.bool_())])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: search_shards(batches, blocks, one_in, schema), RESULT)
+    blocks = blocks_of(benchmark, window, block_words)
+    first, second = next(blocks, Phrases([], window)), next(blocks, None)
+    rows, folder = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), shared_folder(docs.sparkSession)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)  # BLOCK_WORDS words at most
+        return written(rows.mapInArrow(lambda batches: search_shards(batches, shared, one_in), RESULT), "found", folder)
+    kept, found = search_blocks(rows.toDF("_id", "_text"), first, (p for part in ([second], blocks) for p in part), "_text", folder)
+    return written(kept.join(found, "_row", "left").select("_id", "_text", "items", "spans").mapInArrow(lambda b: merge_hits(b, one_in), RESULT), "found", folder)
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -170,13 +240,30 @@ def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-def keep_clean(batches: Iterator[pa.RecordBatch], blocks: list, one_in: int, text_col: str) -> Iterator[pa.RecordBatch]:
+def keep_clean(batches: Iterator[pa.RecordBatch], shared, one_in: int, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, at, _ = search_shard(batch[text_col], blocks)
+        n_words, at, _ = search_shard(batch[text_col], shared.value)
         yield batch.filter(pa.array([not verdict(len(at.get(d, ())), n, one_in) for d, n in enumerate(n_words)], pa.bool_()))
 
 
+def contaminated_rows(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.RecordBatch]:
+    """``_row, _text, spans`` to the ``_row`` of contaminated documents."""
+    for batch in batches:
+        n_words = [len(words_of(t.as_buffer().to_pybytes())) if t.is_valid else 0 for t in batch["_text"]]
+        n_hit = [sum(s["end"] - s["start"] for s in united([x for own in lists for x in own])) for lists in batch["spans"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["_row"].filter(pa.array([verdict(h, n, one_in) for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()))], names=["_row"])
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, one_in: int = ONE_IN, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all their columns unchanged."""
-    blocks = shared_blocks(benchmark, window, block_words)
-    return docs.mapInArrow(lambda b: keep_clean(b, blocks, one_in, text_col), docs.schema)
+    blocks = blocks_of(benchmark, window, block_words)
+    first, second = next(blocks, Phrases([], window)), next(blocks, None)
+    if second is None:
+        shared = docs.sparkSession.sparkContext.broadcast(first)  # BLOCK_WORDS words at most
+        return docs.mapInArrow(lambda b: keep_clean(b, shared, one_in, text_col), docs.schema)
+    folder = shared_folder(docs.sparkSession)
+    named = [f"c{i}" for i in range(len(docs.columns))]  # columns of any name beside _row
+    kept, found = search_blocks(docs.toDF(*named), first, (p for part in ([second], blocks) for p in part), named[docs.columns.index(text_col)], folder)
+    texts = kept.select("_row", F.col(named[docs.columns.index(text_col)]).alias("_text")).join(found.select("_row", "spans"), "_row")
+    gone = written(texts.mapInArrow(lambda b: contaminated_rows(b, one_in), "_row long"), "contaminated", folder)
+    return rows_without(kept, gone, "_row").select(*[F.col(n).alias(c) for n, c in zip(named, docs.columns, strict=True)])

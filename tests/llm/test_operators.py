@@ -201,8 +201,13 @@ def test_decontamination_matches_scan(spark, docs, texts, empty):
     for block in (decontamination.BLOCK_WORDS, 20):
         got = {r.doc_id: r for r in decontamination.contamination(both, bench, block_words=block).collect()}
         assert {d: (r.n_words, r.n_hit, r.items, r.contaminated, [k for s in r.spans for k in range(s.start, s.end)]) for d, r in got.items()} == want
-    clean = decontamination.clean(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in texts if not want[i][3]}
+    for block in (decontamination.BLOCK_WORDS, 20):
+        clean = decontamination.clean(docs, bench, block_words=block)
+        assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in texts if not want[i][3]}
+    twice = spark.createDataFrame([(None, more[0][1]), (None, more[0][1]), (1, None), (1, None)], "doc_id long, text string")
+    for block in (decontamination.BLOCK_WORDS, 20):
+        got = decontamination.contamination(twice, bench, block_words=block).collect()
+        assert sorted((r.doc_id or 0, r.n_hit) for r in got) == [(0, want[1000][1])] * 2 + [(1, 0)] * 2
     assert decontamination.contamination(empty, bench).count() == 0
     assert decontamination.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
