@@ -20,6 +20,11 @@ a common hub do: the Jaccard distance is a metric. Links inside a component chan
 nothing and are not looked for. Components are found by large-star and small-star steps over tables in
 the shared folder.
 
+*Skew.* A hub's text goes to each of its parts of about CROWD pairs, not to each pair. A
+bucket of more than BLOCK classes is compared in blocks: every two blocks meet in a cell
+of their own, so a task compares 2 x BLOCK sketches at most. Nodes and components of more
+than CROWD rows are joined in parts.
+
 Documents without words are linked with nothing; null text has no words. Rows with
 equal ids stay separate rows; a null id never names a component that holds another
 id. An empty table gives an empty result. Other columns are ignored, or kept beside
@@ -39,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import held, rows_with, rows_without, shared_folder, written
+from prismview.llm.scratch import held, rows_with, rows_without, shared_folder, split_join, written
 
 SHINGLE, T, ROWS = 5, 128, 4
 BANDS = T // ROWS
@@ -51,6 +56,8 @@ FOURS = [f"_s{i}" for i in range(T // 16)]
 #: Coordinates of the finer sketch, one bit each, and how many may differ: at 0.75 256 of 2048 do, with a deviation of 15.
 FINE, MOST_FINE = 2048, 325
 BITS = [f"_f{i}" for i in range(FINE // 64)]
+#: Rows of a hub, node or component that meet in one task, and classes of a bucket.
+CROWD, BLOCK = 1000, 2000
 
 ENTRY = "_id long, _row long, _entry long, _n long, _fp binary, _bands array<long>, _text string, " + ", ".join(f"{c} long" for c in FOURS)
 
@@ -170,41 +177,44 @@ def shingle_set(text: str) -> set[tuple[bytes, ...]]:
 
 
 def check_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, set] = {}
+    """Rows ``b, a, text`` in which a hub's own row (``a`` null) comes before those that are compared with it."""
+    hub: set = set()
     for batch in batches:
-        similar, apart = [], []
-        for b, text_a, text_b in zip(batch["b"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
-            if b not in held:
-                if len(held) >= 16:
-                    held.clear()
-                held[b] = shingle_set(text_b)
-            own, other = shingle_set(text_a), held[b]
-            common = len(own & other)
-            union = len(own) + len(other) - common
-            similar.append(100 * common >= percent * union > 0)
-            apart.append(1 - common / union if union else 1.0)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(similar, pa.bool_()), pa.array(apart, pa.float64())], names=["a", "b", "similar", "apart"])
-
-
-def components(edges: DataFrame, name: str, folder: str) -> DataFrame:
+        out = []
+        for b, a, text in zip(batch["b"].to_pylist(), batch["a"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            own = shingle_set(text)
+            if a is None:
+                hub = own
+                continue
+            common = len(own & hub)
+            union = len(own) + len(hub) - common
+            out.append((a, b, 100 * common >= percent * union > 0, 1 - common / union if union else 1.0))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()), strict=True)], names=["a", "b", "similar", "apart"])
+
+
+def components(edges: DataFrame, name: str, folder: str, crowd: int = CROWD) -> DataFrame:
     """``node, root`` of every node of ``edges`` (``a, b``), the root being the smallest node that it reaches."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}0", folder)
     seen, step = None, 0
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        stars = now.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        n, h, most = stars.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        if (n, h) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen, step = state, step + 1
+        seen, step = (n, h), step + 1
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(both.filter("v < u").join(least, "u").filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        centres = now.groupBy(F.col("v").alias("u")).count().filter(F.col("count") > crowd)
+        above = split_join(now.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u", "v", centres, most or 0, crowd)
+        large = above.select(F.col("v").alias("u"), F.col("m").alias("v")).union(now.join(least, "u").filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         large = written(large, f"{name}{step}large", folder)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = written(small, f"{name}{step}small", folder)
 
 
-def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], percent: int = PERCENT, crowd: int = CROWD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The entry table, and ``_entry, keep_id, keep_row`` of every entry."""
     folder = shared_folder(docs.sparkSession)
     kinds = dict(docs.dtypes)
@@ -234,9 +244,14 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
         return f"100 * least({a}._n, {b}._n) >= {percent} * greatest({a}._n, {b}._n)"
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), "a")
-        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda x: check_pairs(x, percent), "a long, b long, similar boolean, apart double"), name, folder, batch_rows=200)
+        pairs = written(pairs, f"{name}_pairs", folder)
+        most = pairs.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+        part = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-most // crowd)))).cast("int")
+        own = pairs.withColumn("part", part)
+        members = own.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text")), "a").select("b", "part", "a", "text")
+        hubs = own.select("b", "part").distinct().join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text")), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+        met = members.union(hubs).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a")).select("b", "a", "text")
+        return written(met.mapInArrow(lambda x: check_pairs(x, percent), "a long, b long, similar boolean, apart double"), name, folder, batch_rows=200)
 
     rank = F.struct("popularity", "node")
     ranked = shared.select("key", "node").join(popular, "node")
@@ -246,37 +261,42 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
     offers = offers.groupBy("o.node").agg(F.min(F.struct(F.expr(differ("x", "y")).alias("differ"), F.expr("o.hub").alias("hub"))).alias("best"))
     first = checked(offers.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), "first")
     links = first.filter("similar").select("a", "b")
-    roots = components(links, "first_round", folder)
+    roots = components(links, "first_round", folder, crowd)
 
     # What is left: pairs of one bucket in different components.
     placed = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     placed = written(placed, "placed", folder)
     hub_of = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), "apart")
-    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-    open_ = written(placed.join(split, "key"), "open", folder)
+    split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("least < most").select("key", "blocks")
+    open_ = written(placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open", folder)
     fine = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(fine_sketches, "node long, " + ", ".join(f"{c} long" for c in BITS))
     fine = written(fine.join(heads.select("node", "_n", "_bands"), "node").join(hub_of, "node", "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))).withColumn("hub", F.coalesce("hub", "node")), "fine", folder, batch_rows=200)
-    sides = open_.join(fine, "node")
+    # Every two blocks of a bucket meet in one cell; two of one block only in the cell of that block alone.
+    cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    sides = cells.join(fine, "node")
+    cell = "x.key = y.key AND x.low = y.low AND x.high = y.high AND (x.block <> y.block OR x.low = x.high)"
     close = f"(x.hub <> y.hub OR abs(x.apart - y.apart) <= {1 - percent / 100 + 1e-9})"  # a hub lies at distance 0 from itself
     look_alike = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS) + f" <= {MOST_FINE}"
     once = "x.key = array_min(array_intersect(x._bands, y._bands))"
-    pairs = sides.alias("x").join(sides.alias("y"), F.expr(f"x.key = y.key AND x.root < y.root AND {alike_in_size('x', 'y')} AND {close} AND {look_alike} AND {once}"))
+    pairs = sides.alias("x").join(sides.alias("y"), F.expr(f"{cell} AND x.root < y.root AND {alike_in_size('x', 'y')} AND {close} AND {look_alike} AND {once}"))
     pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = checked(pairs.join(tested, ["a", "b"], "left_anti"), "second")
-    roots = components(links.union(second.filter("similar").select("a", "b")), "all", folder)
+    roots = components(links.union(second.filter("similar").select("a", "b")), "all", folder, crowd)
 
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_entry").alias("row"))).alias("keep")
-    nodes = members.groupBy("node").agg(least).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keep")
+    nodes = written(members.groupBy("node").agg(least).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "keep"), "nodes", folder)
     kept = nodes.groupBy("root").agg(F.min("keep").alias("keep"))
-    named = nodes.select("node", "root").join(kept, "root").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
+    members_of = nodes.groupBy("root").count()
+    most = members_of.agg(F.max("count")).first()[0] or 0
+    named = split_join(nodes.select("node", "root"), kept, "root", "node", members_of.filter(F.col("count") > crowd), most, crowd).select("node", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
     groups = members.select("_entry", "node").join(named, "node").select("_entry", "keep_id", "keep_row")
     return entries, written(groups.union(own.filter("_n = 0").select("_entry", F.col("_id").alias("keep_id"), F.col("_entry").alias("keep_row"))), "groups", folder)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    entries, groups = near_groups(docs, id_col, text_col, [])
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row. ``sizes``: ``crowd`` and ``block``."""
+    entries, groups = near_groups(docs, id_col, text_col, [], **sizes)
     found = entries.select("_id", "_n", "_entry").join(groups, "_entry")
     return found.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("keep_id").alias("component_id"), F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)).alias("kept"))
 

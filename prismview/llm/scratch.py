@@ -88,3 +88,20 @@ def rows_without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     slotted, slots = _slotted(df, keys, key)
     doubtful = slotted.join(slots, "_slot", "left_semi").join(keys.select(key), key, "left_anti")
     return slotted.join(slots, "_slot", "left_anti").unionByName(doubtful).drop("_slot")
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, by: str, crowded: DataFrame, most: int, rows: int) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a row a key) in which no task meets more than about ``rows`` rows of a key.
+
+    ``crowded``: keys with more rows than that, ``most``: rows of the largest. Their rows are dealt into
+    parts by ``by``, and their row of ``one`` goes to each part; so do those that share a slot with them.
+    """
+    if most <= rows:
+        return many.join(one, key)
+    parts = -(-most // rows)
+    _, slots = _slotted(many, crowded, key)
+    slots, slot = slots.withColumn("_hot", F.lit(True)), F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    many = many.withColumn("_slot", slot).join(slots, "_slot", "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).otherwise(0)).drop("_slot", "_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    one = one.withColumn("_slot", slot).join(slots, "_slot", "left").withColumn("_part", F.explode(every)).drop("_slot", "_hot")
+    return many.join(one, [key, "_part"]).drop("_part")

@@ -103,6 +103,34 @@ def test_near_dedup_random_groups(spark):
     assert got == brute_components(rows)
 
 
+def test_near_dedup_in_parts_and_blocks_is_the_same(spark):
+    rng = random.Random(31)
+    rows, common = [], words(rng, 60, 60).split(" ")
+    for g in range(40):  # groups that share a passage, so buckets hold unlike documents
+        base = common + words(rng, rng.randrange(10, 30)).split(" ")
+        for _ in range(rng.choice([1, 2, 12])):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(None, None), (None, rows[0][1]), (3, rows[3][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = [sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1, r.kept) for r in near_dedup.near_duplicates(frame, **sizes).collect()) for sizes in ({}, {"crowd": 3, "block": 2})]
+    assert seen[0] == seen[1]
+    want = brute_components([(i, t) for i, t in rows if i is not None][:-1])
+    assert {(i, n, c) for i, n, c, _ in seen[0] if i >= 0} == {(i, n, c) for i, (n, c) in want.items()}
+    assert [r[:3] for r in seen[0] if r[0] < 0] == [(-1, 0, -1), (-1, want[0][0], want[0][1])]
+
+
+def test_split_join_is_a_join(spark):
+    many = spark.range(1000).selectExpr("if(id % 3 > 0, 7, id % 50) AS k", "id AS x")
+    one = spark.range(40).selectExpr("id AS k", "id * 10 AS y")
+    crowded = many.groupBy("k").count().filter("count > 20")
+    want = sorted(map(tuple, many.join(one, "k").collect()))
+    for rows in (20, 10_000):
+        assert sorted(map(tuple, scratch.split_join(many, one, "k", "x", crowded, 670, rows).select("k", "x", "y").collect())) == want
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     common = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -116,6 +144,8 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), "t", scratch.shared_folder(spark)).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)}
+    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), "s", scratch.shared_folder(spark), crowd=4).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)}
 
 
 # exact duplicates
