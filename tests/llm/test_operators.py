@@ -628,13 +628,77 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
         revisit = h == long and i != 9
         assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None)
     back = warc.read_warc(spark, path)
-    assert {(r.record_id, r.target_uri) for r in back.collect()} == {(f"urn:page:{i}", u) for i, u, _ in pages}
+    assert {(r.record_id, r.target_uri) for r in back.collect()} == {(f"urn:page:{i}", u and u.replace("\r\n", "%0D%0A")) for i, u, _ in pages}
     only = back.filter((F.col("record_type") == "revisit") & F.col("refers_to").isin("urn:page:9"))
     assert only.count() == 2
     assert {r.payload for r in warc.read_warc(spark, path, payload=False).collect()} == {None}
     for f in (tmp_path / "archive").glob("*.warc.gz"):  # any reader of gzip members can read them
         assert gzip.open(io.BytesIO(f.read_bytes())).read().startswith(b"WARC/1.1\r\n")
     assert warc.round_trip(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+    assert not list((tmp_path / "archive" / "_temporary").glob("*"))
+
+
+@pytest.mark.parametrize("heavy", [{}, {"heavy_copies": 3}, {"heavy_copies": 3, "heavy_rows": 1}])
+def test_warc_revisits_of_common_pages(spark, tmp_path, heavy):
+    rng = random.Random(5)
+    texts = ["a" * 1000, "b" * 1500, "é" * 500, "c" * 999, ""]
+    rows = [(i, "u", rng.choice(texts[:1] * 8 + texts)) for i in range(300)] + [(None, "u", "b" * 1500), (None, None, None), (299, "u", "a" * 1000), (400, "u", "a" * 1000), (400, "u", "a" * 1000)]
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), f"file://{tmp_path}/x", **heavy).collect()), key=str)
+    top = {}
+    for i, _, h in rows:
+        if i is not None and h is not None and len(h.encode()) >= 1000:
+            top[h] = max(i, top.get(h, -1))
+    want = []
+    for i, _, h in rows:
+        again = h in top and i != top[h]
+        want.append((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if again else "response", top[h] if again else None))
+    assert got == sorted(want, key=str)
+
+
+def foreign(kind, uri, block, extra="", end="\r\n"):
+    head = f"WARC/1.0{end}warc-type: {kind}{end}WARC-Target-URI:{uri}{end}WARC-Date: 2020-02-02T00:00:00Z{end}WARC-Record-ID: <urn:uuid:{uri}>{end}{extra}Content-Length: {len(block)}{end}{end}"
+    return head.encode() + block + end.encode() * 2
+
+
+def test_warc_reads_archives_of_others(spark, tmp_path):
+    inner = foreign("resource", "inner", b"nested")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\nbody"
+    told = [
+        foreign("warcinfo", "http://a/b%20c", b"software: x\r\n", "Content-Type: application/warc-fields\r\nX-Other: one\r\n two\r\n"),
+        foreign("response", "http://r", http, "Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: md5:00\r\n"),
+        foreign("resource", "http://n", inner + gzip.compress(inner)), foreign("resource", "http://l", b"x" * 300_000, end="\n"), foreign("metadata", "http://e", b""),
+    ]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "plain.warc").write_bytes(b"".join(told))
+    (tmp_path / "sub" / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, told)))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(told)))
+    (tmp_path / "mixed.WARC.gz").write_bytes(gzip.compress(told[0]) + warc.member(told[1]) + gzip.compress(told[2]) + b"".join(map(warc.member, told[3:])))
+    (tmp_path / "_hidden.warc").write_bytes(b"no archive")
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert len(rows) == 4 * len(told)
+    got = {r.target_uri: r for r in rows}
+    assert {u: sum(r.target_uri == u for r in rows) for u in got} == dict.fromkeys(["http://a/b%20c", "http://r", "http://n", "http://l", "http://e"], 4)
+    for r in rows:
+        block = {"http://a/b%20c": b"software: x\r\n", "http://r": b"<p>\r\n\r\nbody", "http://n": inner + gzip.compress(inner), "http://l": b"x" * 300_000, "http://e": b""}[r.target_uri]
+        assert r.payload == block and r.date == "2020-02-02T00:00:00Z" and r.record_id == f"urn:uuid:{r.target_uri}"
+    assert got["http://r"].http_header == "HTTP/1.1 200 OK\r\nContent-Type: text/html" and got["http://r"].payload_digest == "md5:00" and got["http://r"].content_length == len(http)
+    assert got["http://a/b%20c"].headers["X-Other"] == "one two" and got["http://l"].http_header is None
+    one = warc.read_warc(spark, f"file://{tmp_path}/plain.warc", payload=False)
+    assert {(r.record_type, r.payload) for r in one.filter("content_length > 100 AND record_type LIKE 'res%'").collect()} == {("resource", None)}
+    again = f"file://{tmp_path}/again"
+    warc.read_warc(spark, f"file://{tmp_path}/plain.warc").write.format("warc").mode("append").save(again)
+    back = {r.target_uri: r for r in warc.read_warc(spark, again).collect()}
+    assert all(back[u].payload == r.payload and back[u].http_header == r.http_header and {**back[u].headers, "Content-Length": ""} .items() >= {k.replace("warc-type", "WARC-Type"): v for k, v in r.headers.items() if k not in ("Content-Length", "X-Other")}.items() for u, r in got.items())
+
+
+def test_warc_names_archives_that_break_off():
+    record = foreign("resource", "u", b"x" * 5000)
+    for data in (record[:-3000], gzip.compress(record)[:-30], warc.member(record)[:-40], record + b"junk, not a record", gzip.compress(record) + b"\x1f\x8b\x08junk"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records_in(io.BytesIO(data), lambda r: True, True))
+    assert len(list(warc.records_in(io.BytesIO(gzip.compress(record) + b"\0" * 512), lambda r: True, True))) == 1
+    assert list(warc.records_in(io.BytesIO(b""), lambda r: True, True)) == []
 
 
 def test_warc_skips_what_a_predicate_rejects():
@@ -642,7 +706,8 @@ def test_warc_skips_what_a_predicate_rejects():
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     left = list(reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("payload_length",), 5)]))
-    assert len(left) == 1 and reader.wanted({"record_type": "response"}) and not reader.wanted({"record_type": None})
+    assert left == [] and reader.wanted({"record_type": "response", "payload_length": 6}) and not reader.wanted({"record_type": None, "payload_length": 6})
+    assert not reader.wanted({"record_type": "response", "payload_length": 5}) and len(list(reader.pushFilters([EqualTo(("payload",), b"x")]))) == 1
     data = b"".join(warc.member(warc.header_of({"record_id": f"urn:page:{i}", "record_type": "response"}, 3) + b"abc\r\n\r\n") for i in range(3))
     assert [r["payload"] for r in warc.records_in(io.BytesIO(data), lambda r: r["record_id"].endswith("1"), True)] == [b"abc"]
 
