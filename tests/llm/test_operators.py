@@ -953,3 +953,65 @@ def test_quality_gradient_matches_differences():
         step[k] = 1e-5
         numeric = (likelihood(quality.Model(model.weights, model.thresholds + step)) - likelihood(quality.Model(model.weights, model.thresholds - step))) / 2e-5
         assert abs(numeric - g_t[k]) < 1e-6
+
+
+def test_quality_fit_matches_brute_force(spark, monkeypatch):
+    import math
+
+    from prismview.llm import quality
+
+    rng = random.Random(8)
+    monkeypatch.setattr(quality, "CONVERGED", 1e-7)
+    rows = [(i, " ".join(rng.choice("abcdef"[: 3 + i % 3]) * 3 for _ in range(6)), i % 3) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"), steps=400)
+    used = [(quality.features(t), g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 5]
+    slots = sorted({int(x) for (f, _), _ in used for x in f})
+    own = np.zeros((len(used), len(slots)))
+    for r, ((f, n), _) in enumerate(used):
+        for k, x in enumerate(f):
+            own[r, slots.index(int(x))] += 1 / math.sqrt(n) if k < n else 1.0
+    grade = np.array([g for _, g in used])
+
+    def penalised(w, t):
+        tails = 1 / (1 + np.exp(-(own @ w)[:, None] + t[None, :]))
+        tails = np.hstack([np.ones((len(used), 1)), tails, np.zeros((len(used), 1))])
+        at = np.arange(len(used))
+        return np.mean(np.log(tails[at, grade] - tails[at, grade + 1])) - quality.RIDGE / 2 * (w @ w)
+
+    # Plain gradient ascent with differences, from where the fit ended: nothing more is to be gained.
+    w, t = model.weights[slots].copy(), model.thresholds.copy()
+    reached = penalised(w, t)
+    for _ in range(200):
+        base, up = penalised(w, t), np.zeros(len(w) + 2)
+        for k in range(len(up)):
+            step = np.zeros(len(up))
+            step[k] = 1e-5
+            up[k] = (penalised(w + step[:-2], t + step[-2:]) - base) / 1e-5
+        w, t = w + 0.2 * up[:-2], t + 0.2 * up[-2:]
+    assert penalised(w, t) - reached < 2e-3 * abs(reached)
+    assert np.abs(np.delete(model.weights, slots)).max() == 0 and t[0] < t[1]
+
+
+def test_quality_ascent_stops_when_it_has_converged():
+    from prismview.llm import quality
+
+    target = np.arange(1.0, 6.0)
+    calls = []
+
+    def objective(p):
+        calls.append(p)
+        return -1 - float(((p - target) ** 2 * target).sum()), -2 * (p - target) * target
+
+    point, used = quality.ascend(objective, np.zeros(5), 100, 1e-9)
+    assert np.abs(point - target).max() < 1e-3 and used == len(calls) < 40
+    assert quality.ascend(objective, target.copy(), 100)[1] <= 30
+
+
+def test_quality_takes_clashing_columns_and_long_texts(spark):
+    from prismview.llm import quality
+
+    rows = [(i, "fine words here " * (40_000 if i == 7 else 3) if i % 2 else "junk junk junk junk", "x", 1.0, True) for i in range(60)] + [(7, "fine words here", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade string, tail double, kept boolean")
+    got = quality.grade(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")).collect()
+    assert len(got) == 61 and sum(r.doc_id == 7 for r in got) == 2 and all(r.kept == (r.doc_id % 2 == 1) for r in got)
