@@ -18,6 +18,7 @@ from prismview.operators.baselines import best_entries, exact_cache
 from prismview.operators.engine import ReuseEngine
 from prismview.operators.oracle import LabelOracle, flip_column
 from prismview.plans import audit as audits
+from prismview.plans import workloads
 from prismview.plans.predicates import BACKWARD, DISJOINT, FORWARD, Judgment, Predicate, relation_of_counts, relation_of_labels, threshold_relation
 from prismview.plans.rewrite import RewriteConfig, ViewUse, build_plan, choose_views, reported
 from prismview.plans.slack import Observation, SlackModel, admit
@@ -310,7 +311,7 @@ def hash_embed_trigram(spark, sf_dir):
 
 def score_bands(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").cast("double").alias("score"))
-    return proxy.score_bands(c, 4, 1)
+    return proxy.score_bands(c, 4)
 
 
 def proxy_cutoff(spark, sf_dir):
@@ -319,11 +320,29 @@ def proxy_cutoff(spark, sf_dir):
     return c.groupBy("c_mktsegment").agg(F.round(F.percentile(F.col("c_acctbal").cast("double"), 0.05), 6).alias("cutoff"), F.round(F.avg((F.col("c_acctbal") >= 0).cast("double")), 6).alias("kept"))
 
 
+def pilot_cutoff(spark, sf_dir):
+    """The score below which customers may go, by a pilot of all of them."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    pilot = c.select(F.col("c_custkey").alias("row_id"), F.col("c_acctbal").cast("double").alias("score"), ((F.col("c_acctbal") > 3000) & (F.col("c_custkey") % 3 == 0)).alias("answer"))
+    cutoff = proxy.choose_cutoff(pilot)
+    return spark.createDataFrame([] if cutoff is None else [(round(cutoff, 6),)], "cutoff double")
+
+
+def embed_texts(spark, sf_dir):
+    """Unit vectors of the turns of conversations, their slots that are not zero."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    slots = turns.select("conv_id", "turn", F.posexplode(proxy.HashingEmbedder(64).column(F.col("text"))).alias("slot", "value"))
+    return slots.filter("value > 0").select("conv_id", "turn", "slot", F.round("value", 6).alias("value"))
+
+
 def proxy_cascade(spark, sf_dir):
     """Calls of a query behind a trained proxy (no twin: a fitted model decides them)."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     corpus = e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("leaf"))
-    engine = _engine(spark, corpus, proxy=proxy.ProxyCascade(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector")), lambda t: [0.0] * 64))
+    mean = e.filter("label = 1").select(F.posexplode("embedding")).groupBy("pos").agg(F.avg("col").alias("x")).orderBy("pos")  # a question's vector
+    centre = [r.x for r in mean.collect()]
+    rows = e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    engine = _engine(spark, corpus, proxy=proxy.ProxyCascade(proxy.EmbeddingProxy(rows, lambda t: centre)))
     done = engine.query(Predicate("The vector has label 1.", frozenset({"1"}), "label 1"))
     return spark.createDataFrame([(k, v) for k, v in sorted(done.calls.items())], "tag string, calls long")
 
@@ -460,11 +479,15 @@ def parent_codes(spark, sf_dir):
     return corpora.parent_codes(codes, {"s": "SRC", "e": "ECAT"})
 
 
-def hierarchy_descendants(spark, sf_dir):
+def _hierarchy(spark, sf_dir) -> DataFrame:
     nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
     up = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("label"), F.col("r_name").alias("parent"))
     roots = region.select(F.col("r_name").alias("label"), F.lit("WORLD").alias("parent"))
-    return corpora.descendants(up.union(roots).union(spark.createDataFrame([("WORLD", None)], "label string, parent string")))
+    return up.union(roots).union(spark.createDataFrame([("WORLD", None)], "label string, parent string"))
+
+
+def hierarchy_descendants(spark, sf_dir):
+    return corpora.descendants(_hierarchy(spark, sf_dir))
 
 
 def selectivity(spark, sf_dir):
@@ -472,6 +495,44 @@ def selectivity(spark, sf_dir):
     return _extensions(spark, sf_dir).groupBy("name").agg(F.round(F.count("*") / F.lit(n), 9).alias("selectivity"))
 
 
+def _taxonomy(spark, sf_dir) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("leaf"), F.col("r_name").alias("grp"))  # 5 regions
+
+
+def predicate_universe(spark, sf_dir):
+    return workloads.universe(_taxonomy(spark, sf_dir)).select("kind", "name", F.col("wording").cast("int").alias("wording"), "text", F.concat_ws(",", "labels").alias("labels"))
+
+
+def relation_pairs(spark, sf_dir):
+    """As many ordered pairs of the universe for each relation, by hash."""
+    return workloads.labelled_pairs(workloads.universe(_taxonomy(spark, sf_dir)), 40, 3)
+
+
+def session_workload(spark, sf_dir):
+    return workloads.sessions(_taxonomy(spark, sf_dir), 60, 5).select("position", "kind", "name", "wording", "text")
+
+
+def two_tier_judge(spark, sf_dir):
+    """Relations measured on customers, and those of the label sets where a measurement is of no use."""
+    measured = relation_extensional(spark, sf_dir).select("p", "q", "relation", F.lit(0.9).alias("confidence"))
+    return reasoners.two_tier_relations(measured, relation_setalgebra(spark, sf_dir).select("p", "q", "relation", F.lit(0.99).alias("confidence")))
+
+
+def distinct_texts(spark, sf_dir):
+    """Questions that have one normal form: how often, and where first."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("role = 'user' AND text IS NOT NULL")
+    return turns.groupBy(text.normal_form(F.col("text")).alias("norm")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
+
+
+def hierarchy_roots(spark, sf_dir):
+    return corpora.roots_of(_hierarchy(spark, sf_dir))
+
+
+def hierarchy_children(spark, sf_dir):
+    return corpora.children_of(_hierarchy(spark, sf_dir)).select("label", F.concat_ws(",", "children").alias("children"))
+
+
 QUERIES = (
     cold_filter, exact_hit, certified_query, certified_workload, exact_cache_calls, normalize_text, predicate_pid, clean_documents, whole_documents, yes_no_parse, token_cost,
     relation_setalgebra, relation_extensional, relation_mix, threshold_head, superset_prune, positive_union, disjoint_elim, equiv_split, multi_view_plan,
@@ -481,6 +542,7 @@ QUERIES = (
     slack_admit, metrics_prf, workload_summary, certificate_shortfall, confusion_matrix, relation_scores, arbiter_trust, calibration_ece, reliability_bins,
     oracle_agreement_kappa, run_agreement, predecessor_fractions, implication_slack, implication_summary, paired_ratios, compare_tables,
     stratified_subsample, uniform_subsample, document_labels, frequent_labels, parent_codes, hierarchy_descendants, selectivity,
+    predicate_universe, relation_pairs, session_workload, two_tier_judge, distinct_texts, hierarchy_roots, hierarchy_children, pilot_cutoff, embed_texts,
 )
 
 

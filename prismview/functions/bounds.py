@@ -99,3 +99,10 @@ def recall_bound(found: int, extra: int, missed: int) -> float:
 def precision_bound(found: int, extra: int, unverified: int) -> float:
     reported = found + unverified
     return min(1.0, (found + extra) / reported) if reported else 1.0
+
+
+def noncoverage(population: int, positives: int, sample: int, alpha: float) -> float:
+    """Exact chance that ``upper_bound`` lies below the truth: the mass of all samples that show too little."""
+    low, high = max(0, sample - (population - positives)), min(sample, positives)
+    fails = [k for k in range(low, high + 1) if upper_bound(population, sample, k, alpha) < positives]
+    return at_most(max(fails), population, positives, sample) if fails else 0.0  # the bound grows with what a sample shows

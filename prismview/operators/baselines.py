@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.functions.vectors import cosine
+from prismview.functions.vectors import dot
 from prismview.operators.engine import QueryResult, ReuseEngine
-from prismview.plans.predicates import Predicate
+from prismview.plans.predicates import OVERLAP, Judgment, Predicate
+from prismview.sources.answers import AnswerLog
+from prismview.sources.tables import state_folder
 
 
 class NoReasoner:
     """Sees no relation, so nothing but an exact text is ever reused."""
 
     def judge(self, p: Predicate, others: list[Predicate]) -> list:
-        from prismview.plans.predicates import OVERLAP, Judgment
-
         return [Judgment(OVERLAP, 0.0) for _ in others]
 
 
@@ -27,25 +27,37 @@ def exact_cache(corpus: DataFrame, oracle, **options) -> ReuseEngine:
 
 @dataclass
 class ColdEngine:
-    """Asks about every row of every query."""
+    """Asks about every row of every query, once: answers are written, whatever is done with the result."""
 
     corpus: DataFrame
     oracle: object
+    folder: str | None = None
+
+    def __post_init__(self):
+        self.log, self.position = AnswerLog(self.corpus.sparkSession, f"{self.folder or state_folder(self.corpus.sparkSession)}/answers"), 0
 
     def query(self, predicate: Predicate) -> QueryResult:
-        answers = self.oracle.answers(predicate, self.corpus)
-        return QueryResult(predicate, answers.select("row_id", F.col("answer").alias("reported")), "cold", {"cold": self.corpus.count()})
+        answers = self.log.ask(self.oracle, predicate, self.corpus, self.position, "cold")
+        self.position += 1
+        return QueryResult(predicate, answers.select("row_id", F.col("answer").alias("reported")), "cold", {"cold": answers.agg(F.count_if("paid")).first()[0]})
 
 
-def best_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
+def best_entries(queries: DataFrame, entries: DataFrame, block: int = 2000) -> DataFrame:
     """The most similar earlier entry of each query. Both: ``name, position, vector``; ties go to the earlier entry.
 
-    Predicates are a stated list; every query meets the entries before it.
+    Queries are a stated list, entries any table. Both are dealt into blocks of about ``block``, and every block of
+    queries meets every block of entries in a task of its own; only the best entry of a task leaves it.
     """
-    e = entries.select(F.col("name").alias("entry"), F.col("position").alias("entry_position"), F.col("vector").alias("entry_vector"))
-    scored = queries.join(e, F.col("entry_position") < F.col("position")).withColumn("similarity", F.round(cosine(F.col("vector"), F.col("entry_vector")), 6))
-    best = Window.partitionBy("name").orderBy(F.desc("similarity"), "entry_position")
-    return scored.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("name", "entry", "similarity")
+    parts = [max(1, -(-n // block)) for n in (queries.count(), entries.count())]
+    deal = lambda n: F.pmod(F.xxhash64("position"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    length = lambda v: F.sqrt(dot(v, v))
+    q = queries.select("name", "position", "vector", length(F.col("vector")).alias("length"), deal(parts[0]).alias("qb"), each(parts[1]).alias("eb"))
+    e = entries.select(F.col("name").alias("entry"), F.col("position").alias("entry_position"), F.col("vector").alias("entry_vector"), length(F.col("vector")).alias("entry_length"), deal(parts[1]).alias("eb"), each(parts[0]).alias("qb"))
+    met = q.hint("shuffle_hash").join(e, ["qb", "eb"]).filter("entry_position < position")
+    similarity = F.round(F.try_divide(dot(F.col("vector"), F.col("entry_vector")), F.col("length") * F.col("entry_length")), 6)
+    best = met.groupBy("name").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("entry_position")).alias("earlier"), "entry")).alias("best"))
+    return best.select("name", "best.entry", "best.similarity")
 
 
 @dataclass
@@ -58,6 +70,9 @@ class SimilarCache:
     level: float = 0.9
     entries: list[tuple[list[float], QueryResult]] = field(default_factory=list)
 
+    def __post_init__(self):
+        self.cold = ColdEngine(self.corpus, self.oracle)
+
     def query(self, predicate: Predicate) -> QueryResult:
         v = self.embed(predicate.text)
         best, nearest = None, -1.0
@@ -67,6 +82,6 @@ class SimilarCache:
                 best, nearest = result, s
         if best is not None and nearest >= self.level:
             return QueryResult(predicate, best.rows, f"embed-hit@{nearest:.2f}", {})
-        result = ColdEngine(self.corpus, self.oracle).query(predicate)
+        result = self.cold.query(predicate)
         self.entries.append((v, result))
         return result

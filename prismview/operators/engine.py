@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass, field, replace
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from prismview.operators.store import View, ViewStore
 from prismview.plans.audit import Audit, AuditConfig, run_audit
 from prismview.plans.predicates import FORWARD, Predicate
-from prismview.plans.rewrite import CANDIDATE, RewriteConfig, build_plan, choose_views, stratum_sizes
+from prismview.plans.rewrite import ASSUMED, CANDIDATE, RewriteConfig, build_plan, choose_views, stratum_sizes
 from prismview.plans.slack import Observation, SlackModel, admit
 from prismview.sources.answers import AnswerLog
 from prismview.sources.tables import state_folder
@@ -43,6 +42,10 @@ class ReuseEngine:
 
     ``judge(p, views)`` returns a judgment for each view; ``audit=None`` publishes
     rewrites without a certificate; ``proxy`` may drop candidates before they are asked.
+
+    Views, answers and what audits taught live in tables under ``folder``: an engine over a folder
+    that holds some goes on from there. A query that broke off is asked again under its old number: it plans
+    and samples as before and pays only for answers that were not written yet.
     """
 
     corpus: DataFrame
@@ -59,7 +62,13 @@ class ReuseEngine:
         spark = self.corpus.sparkSession
         self.folder = self.folder or state_folder(spark)
         self.spark, self.store, self.log = spark, ViewStore(spark, f"{self.folder}/views"), AnswerLog(spark, f"{self.folder}/answers")
-        self.query_index, self.n_rows, self.view_counts = 0, None, {}
+        self.query_index = 1 + max((v.query_index for v in self.store.views), default=-1)
+        self.n_rows, self.view_counts = None, {}
+        self.needs = tuple(c for c in getattr(self.oracle, "needs", ()) if c in self.corpus.columns)
+        if self.slack is not None:
+            for notes in self.store.notes:
+                for o in notes:
+                    self.slack.observe(Observation(*o[:5]))
 
     def query(self, predicate: Predicate) -> QueryResult:
         began, index = time.time(), self.query_index
@@ -73,36 +82,36 @@ class ReuseEngine:
         uses = choose_views(judged, self.rewrite)
         uses, predicted = self.within_budget(uses)
         reported_rows = self.store.rows([u.view_id for u in uses]).filter("reported").select("view_id", "row_id") if uses else None
-        plan = build_plan(self.corpus, uses, reported_rows, predicted)
+        plan = build_plan(self.corpus, uses, reported_rows, predicted, self.needs)
         asking = [0.0]
         asked: dict[str, int] = {}
+        again = self.log.known(self.oracle.version, predicate.pid) is not None  # rows of one query are asked about once
 
         def ask(rows: DataFrame, tag: str) -> DataFrame:
             at = time.time()
-            answers = self.log.write(self.oracle.answers(predicate, rows), index, tag, predicate.pid)
+            answers = self.log.ask(self.oracle, predicate, rows, index, tag, again)
             asking[0] += time.time() - at
             return answers
 
-        plan_rows, pilot = plan.rows, None
+        pilot = None
         if uses:  # written before any sample is drawn
-            plan_rows.write.parquet(f"{self.folder}/plans/query={index}")
-            plan_rows = self.spark.read.schema(plan_rows.schema).parquet(f"{self.folder}/plans/query={index}")
-            plan = plan.with_rows(plan_rows)
+            plan = self.written(plan, f"query={index}")
         answers = []
         if self.proxy is not None:
-            plan, pilot, n_pilot = self.proxy.cut(plan, predicate, ask, self.seed, index)
+            plan, pilot = self.proxy.cut(plan, predicate, ask, self.seed, index)
             if pilot is not None:
+                plan = self.written(plan, f"cut={index}")  # the model is applied once, before any audit
                 answers.append(pilot)
-                asked["pilot"] = n_pilot
-        candidates = plan.rows.filter(F.col("role") == CANDIDATE).select("row_id")
+        candidates = plan.rows.filter(F.col("role") == CANDIDATE)
         if pilot is not None:
             candidates = candidates.join(pilot.select("row_id"), "row_id", "left_anti")
         answers.append(ask(candidates, "candidates"))
-        counted = [a.agg(F.count("*"), F.count_if("answer")).first() for a in answers]
-        asked["candidates"] = counted[-1][0]
+        counted = [a.agg(F.count_if("paid"), F.count_if("answer")).first() for a in answers]
+        asked |= dict(zip(["candidates"] if pilot is None else ["pilot", "candidates"], [c[0] for c in counted], strict=True))
         found = sum(c[1] for c in counted)
         sizes = stratum_sizes(plan) if uses or self.proxy is not None else {}
         recall = precision = None
+        notes: list = []
         if self.audit is not None and any(sizes):
             confidence = {u.stratum: u.confidence for u in uses}
             audit = run_audit(plan.rows, {s: n for s, n in sizes.items() if s}, confidence, found, ask, self.audit, self.seed, index)
@@ -110,37 +119,35 @@ class ReuseEngine:
             answers += audit.answers
             for tag, n in audit.calls.items():
                 asked[tag] = asked.get(tag, 0) + n
-            self.learn(audit, uses)
+            notes = self.learn(audit, uses)
         known = answers[0]
         for more in answers[1:]:
             known = known.unionByName(more)
         # A row is asked at most once; the pilot may overlap a later sample only through the plan's strata.
         known = known.groupBy("row_id").agg(F.bool_or("answer").alias("answer"))
-        final = plan.rows.join(known, "row_id", "left").select("row_id", F.coalesce("answer", F.col("role") == "assumed").alias("reported"), F.col("answer").isNotNull().alias("verified"))
+        # A view holds what is reported or verified: the answers, and assumed rows that nobody asked about.
+        final = known.select("row_id", F.col("answer").alias("reported"), F.lit(True).alias("verified"))
+        if any(u.rule == "backward" for u in uses):
+            assumed = plan.rows.filter(F.col("role") == ASSUMED).select("row_id").join(known.select("row_id"), "row_id", "left_anti")
+            final = final.union(assumed.select("row_id", F.lit(True), F.lit(False)))
         kind = "rewrite" if uses else "cold"
-        view = self.store.add(predicate, final, self.oracle.version, index, recall, precision, [u.pid for u in uses], time.time() - began)
+        view = self.store.add(predicate, final, self.oracle.version, index, recall, precision, [u.pid for u in uses], time.time() - began, notes)
         return QueryResult(predicate, self.store.mask(self.corpus, view), kind, asked, recall, precision, tuple(u.pid for u in uses), time.time() - began, asking[0])
 
-    def save(self) -> None:
-        """Writes what is not in tables yet, so that ``resume`` goes on from here."""
-        views = [{"text": v.predicate.text, "labels": sorted(v.predicate.labels), "name": v.predicate.name, "oracle_version": v.oracle_version, "query_index": v.query_index, "recall_bound": v.recall_bound, "precision_bound": v.precision_bound, "derived_from": v.derived_from, "seconds": v.seconds, "created": v.created} for v in self.store.views]
-        state = {"query_index": self.query_index, "n_rows": self.n_rows, "parts": self.log.parts, "views": views, "slack": [[list(k), v] for k, v in self.slack.sums.items()] if self.slack else None}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state")
+    def written(self, plan, name: str):
+        path = f"{self.folder}/plans/{name}"
+        plan.rows.write.mode("overwrite").parquet(path)
+        return plan.with_rows(self.spark.read.schema(plan.rows.schema).parquet(path))
 
     @classmethod
     def resume(cls, corpus: DataFrame, oracle, judge, folder: str, **options) -> ReuseEngine:
-        """The engine that ``save`` wrote to ``folder``."""
-        engine = cls(corpus, oracle, judge, folder=folder, **options)
-        state = json.loads(engine.spark.read.text(f"{folder}/state").first()[0])
-        engine.query_index, engine.n_rows, engine.log.parts = state["query_index"], state["n_rows"], state["parts"]
-        for i, v in enumerate(state["views"]):
-            p = Predicate(v["text"], frozenset(v["labels"]), v["name"])
-            engine.store.views.append(View(i, p, v["oracle_version"], v["query_index"], v["recall_bound"], v["precision_bound"], tuple(v["derived_from"]), v["seconds"], v["created"]))
-            engine.store.by_key[v["oracle_version"], p.key] = engine.store.views[-1]
-        if engine.slack is not None:
-            for key, sums in state["slack"] or []:
-                engine.slack.sums[tuple(key)] = sums
-        return engine
+        """The engine whose tables are in ``folder``."""
+        return cls(corpus, oracle, judge, folder=folder, **options)
+
+    def slack_features(self) -> DataFrame:
+        """What was known of each audited stratum when it was planned, and what it cost: ``query_index, kind, source, fraction, slack, weight, confidence, found``."""
+        rows = [(v.query_index, *o) for v, notes in zip(self.store.views, self.store.notes, strict=True) for o in notes]
+        return self.spark.createDataFrame(rows, "query_index int, kind string, source string, fraction double, slack double, weight double, confidence double, found long")
 
     def within_budget(self, uses: list) -> tuple[list, float]:
         """Leaves out forward and disjoint views whose predicted cost in recall exceeds the budget."""
@@ -158,15 +165,17 @@ class ReuseEngine:
         kept = set(admit([(u.stratum, pruned[u.stratum], cost[u.stratum]) for u in limited], self.rewrite.slack_share * (1 - self.audit.target_recall)))
         return [u for u in uses if u.rule == "backward" or u.stratum in kept], sum(cost[s] for s in kept)
 
-    def learn(self, audit: Audit, uses: list) -> None:
+    def learn(self, audit: Audit, uses: list) -> list[tuple]:
         """What each pruned stratum turned out to cost; used by later queries only."""
-        if self.slack is None:
-            return
         source, positives = {u.stratum: u.pid for u in uses}, max(audit.found + audit.extra, 1)
+        notes = []
         for s in audit.strata:
             if s.rule != "backward" and s.sampled:
                 estimate = s.positives if s.read else s.positives * s.size / s.sampled
-                self.slack.observe(Observation(s.rule, source.get(s.name, ""), s.size / max(self.n_rows, 1), estimate / positives, s.size if s.read else s.sampled))
+                notes.append((s.rule, source.get(s.name, ""), s.size / max(self.n_rows, 1), estimate / positives, float(s.size if s.read else s.sampled), float(s.confidence), audit.found))
+                if self.slack is not None:
+                    self.slack.observe(Observation(*notes[-1][:5]))
+        return notes
 
 
 @dataclass

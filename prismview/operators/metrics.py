@@ -129,3 +129,53 @@ def compare_results(left: DataFrame, right: DataFrame, keys: list[str], values:
     cells = F.explode(F.array(*[F.struct(F.lit(v).alias("column"), F.col(f"l_{v}").alias("left"), F.col(f"r_{v}").alias("right")) for v in values]))
     differ = ~(F.abs(F.col("left") - F.col("right")) <= tolerance * F.greatest(F.abs("left"), F.abs("right")))
     return sides.select(*keys, cells.alias("c")).select(*keys, "c.*").filter(F.coalesce(differ, F.col("left").isNotNull() | F.col("right").isNotNull()))
+
+
+def score_query(result, truth: DataFrame) -> tuple[int, int, int]:
+    """True positives, reported and true rows of a result. ``truth``: ``row_id, answer``."""
+    told = result.rows.join(truth, "row_id")
+    return tuple(told.agg(F.count_if(F.col("reported") & F.col("answer")), F.count_if("reported"), F.count_if("answer")).first())
+
+
+SCORED = "position int, name string, method string, reuse string, calls long, tp long, n_reported long, n_true long, precision double, recall double, tp_oracle long, n_oracle long, recall_oracle double, precision_oracle double, recall_bound double, precision_bound double, seconds double, seconds_asking double"
+
+
+def run_workload(engine, predicates: list, labels, method: str = "reuse", tags: dict[str, str] | None = None) -> DataFrame:
+    """Answers a stated list of predicates in order; a row a query, scored against labels and against the oracle's own answers.
+
+    ``labels.truth(p)`` and, if there is one, ``engine.oracle.truth(p)`` give ``row_id, answer``. ``tags`` are added as columns.
+    """
+    ratio = lambda a, b: a / b if b else 1.0
+    rows = []
+    for i, p in enumerate(predicates):
+        r = engine.query(p)
+        tp, n, true = score_query(r, labels.truth(p))
+        tp_o, _, true_o = (tp, n, true) if engine.oracle is labels or not hasattr(engine.oracle, "truth") else score_query(r, engine.oracle.truth(p))
+        rows.append((i, p.name, method, r.reuse, r.n_calls, tp, n, true, ratio(tp, n), ratio(tp, true), tp_o, true_o, ratio(tp_o, true_o), ratio(tp_o, n), r.recall_bound, r.precision_bound, r.seconds, r.seconds_asking))
+    out = engine.corpus.sparkSession.createDataFrame(rows, SCORED)
+    for k, v in (tags or {}).items():
+        out = out.withColumn(k, F.lit(v))
+    return out
+
+
+def headline(scored: DataFrame, n_rows: int) -> DataFrame:
+    """One row a method: calls against asking every row, how answers came about, mean scores, and certificates that reality fell short of."""
+    short = lambda bound, value: F.count_if(F.col(bound) > F.col(value) + 1e-12)
+    out = scored.groupBy("method").agg(
+        F.count("*").alias("queries"), F.sum("calls").alias("calls"), F.count_if(F.col("reuse") == "exact-hit").alias("exact_hits"), F.count_if(F.col("reuse") == "cold").alias("cold"),
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), short("recall_bound", "recall_oracle").alias("recall_violations"), short("precision_bound", "precision_oracle").alias("precision_violations"),
+    )
+    return out.withColumn("reduction", F.try_divide(F.col("queries") * n_rows, F.col("calls")))
+
+
+def cost_split(charges: DataFrame) -> DataFrame:
+    """``tag, calls, share`` of all calls. ``charges``: ``tag, calls``."""
+    sums = charges.groupBy("tag").agg(F.sum("calls").alias("calls"))
+    return sums.withColumn("share", F.col("calls") / F.sum("calls").over(Window.partitionBy()))
+
+
+def coverage(scored: DataFrame) -> DataFrame:
+    """``certificates, covered, share``: how many recall bounds reality kept, over all queries."""
+    given = F.col("recall_bound").isNotNull()
+    kept = given & (F.col("recall_oracle") >= F.col("recall_bound") - 1e-12)
+    return scored.agg(F.count_if(given).alias("certificates"), F.count_if(kept).alias("covered")).withColumn("share", F.try_divide("covered", "certificates"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from prismview.plans.predicates import Predicate
 
 
-#: Multiplier and shift of each mixing step.
-MIX = ((0x9E3779B97F4A7C15, 31), (0xBF58476D1CE4E5B9, 27))
+#: Multiplier and shift of the two mixing steps, and the bits dropped for a 53-bit fraction.
+FIRST_FACTOR, FIRST_SHIFT, SECOND_FACTOR, SECOND_SHIFT, DROPPED_BITS = 0x9E3779B97F4A7C15, 31, 0xBF58476D1CE4E5B9, 27, 11
 
 
 def flip_column(row_id: Column, text: str, seed: int, rate: float) -> Column:
@@ -29,12 +29,10 @@ def flip_column(row_id: Column, text: str, seed: int, rate: float) -> Column:
     @F.pandas_udf("boolean")
     def flips(rows: pd.Series) -> pd.Series:
         with np.errstate(over="ignore"):
-            mixed = rows.to_numpy().astype(np.uint64) + base
-            for factor, shift in MIX:
-                mixed = mixed * np.uint64(factor)
-                mixed = mixed ^ (mixed >> np.uint64(shift))
-        # The upper 53 bits as a fraction of 2^53.
-        return pd.Series(mixed // np.uint64(1 << 11) < np.uint64(math.ceil(rate * 2.0**53)))
+            x = (rows.to_numpy().astype(np.uint64) + base) * np.uint64(FIRST_FACTOR)
+            x = (x ^ (x >> np.uint64(FIRST_SHIFT))) * np.uint64(SECOND_FACTOR)
+            x = x ^ (x >> np.uint64(SECOND_SHIFT))
+        return pd.Series((x >> np.uint64(DROPPED_BITS)) * 2.0**-53 < rate)
 
     return flips(row_id)
 
@@ -47,13 +45,16 @@ class LabelOracle:
     noise: float = 0.0
     seed: int = 0
     version: str = "labels"
+    #: Columns of the corpus that rows may bring along, which spares a join.
+    needs: tuple[str, ...] = ("leaf",)
 
     def holds(self, predicate: Predicate) -> Column:
         truth = F.coalesce(F.col("leaf").isin(sorted(predicate.labels)), F.lit(False)) if predicate.labels else F.lit(False)
         return truth != flip_column(F.col("row_id"), predicate.text, self.seed, self.noise) if self.noise else truth
 
     def answers(self, predicate: Predicate, rows: DataFrame) -> DataFrame:
-        return self.corpus.join(rows.select("row_id"), "row_id", "left_semi").select("row_id", self.holds(predicate).alias("answer"))
+        own = rows if "leaf" in rows.columns else self.corpus.join(rows.select("row_id"), "row_id", "left_semi")
+        return own.select("row_id", self.holds(predicate).alias("answer"))
 
     def truth(self, predicate: Predicate) -> DataFrame:
         return self.corpus.select("row_id", self.holds(predicate).alias("answer"))
@@ -79,10 +80,11 @@ class ReplayOracle:
 
 @dataclass
 class HostOracle:
-    """A host's own filter: ``keep(text, rows)`` returns the rows that it keeps."""
+    """A host's own filter: ``keep(text, rows)`` returns the rows that it keeps. Asked through an answer log, so no row twice."""
 
     keep: Callable[[str, DataFrame], DataFrame]
     version: str = "host"
+    chunk_rows: int | None = 1_000_000
 
     def answers(self, predicate: Predicate, rows: DataFrame) -> DataFrame:
         kept = self.keep(predicate.text, rows).select("row_id", F.lit(True).alias("kept"))
@@ -93,7 +95,8 @@ class HostOracle:
 class ModelOracle:
     """A model behind a client, asked on the executors; ``client()`` makes ``(text, document) -> reply`` there.
 
-    ``corpus``: ``row_id, text``. Replies that fail are tried again ``attempts`` times.
+    ``corpus``: ``row_id, text``. Calls that fail with one of ``failures`` are tried ``attempts`` times, after
+    waits that double from ``wait`` seconds to ``longest_wait``. Answers are committed every ``chunk_rows``.
     Documents are sent whole unless ``most_chars`` is given.
     """
 
@@ -102,6 +105,10 @@ class ModelOracle:
     prompt_version: str = "1"
     most_chars: int | None = None
     attempts: int = 6
+    wait: float = 1.0
+    longest_wait: float = 60.0
+    failures: tuple[type[Exception], ...] = (OSError,)
+    chunk_rows: int | None = 100_000
 
     @property
     def version(self) -> str:
@@ -110,7 +117,7 @@ class ModelOracle:
     def answers(self, predicate: Predicate, rows: DataFrame) -> DataFrame:
         from prismview.functions.text import yes_no
 
-        make, text, cut, attempts = self.client, predicate.text, self.most_chars, self.attempts
+        make, text, cut, attempts, wait, longest, failures = self.client, predicate.text, self.most_chars, self.attempts, self.wait, self.longest_wait, self.failures
 
         def ask(batches):
             call = make()
@@ -121,9 +128,10 @@ class ModelOracle:
                         try:
                             replies.append(call(text, (document or "")[:cut]))
                             break
-                        except OSError:
+                        except failures:
                             if attempt == attempts - 1:
                                 raise
+                            time.sleep(min(wait * 2**attempt, longest))
                 yield pd.DataFrame({"row_id": batch["row_id"], "reply": replies})
 
         wanted = self.corpus.join(rows.select("row_id"), "row_id", "left_semi").select("row_id", "text")

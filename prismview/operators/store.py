@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismview.plans.predicates import Predicate
+from prismview.sources.tables import read_texts, write_text
 
 VIEW_ROW = "row_id long, reported boolean, verified boolean"
 
@@ -28,16 +30,31 @@ class View:
 
 
 class ViewStore:
-    """Rows that are reported or verified, one folder a view, so a query reads only the views that it uses."""
+    """Rows that are reported or verified, one folder a view, so a query reads only the views that it uses.
+
+    What is known about a view is a small file, renamed to its place once the rows are written: a view is
+    there whole or not at all, and a store over the same path begins with all of them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.views, self.by_key = spark, path, [], {}
+        self.spark, self.path, self.views, self.by_key, self.notes = spark, path, [], {}, []
+        for text in read_texts(spark, f"{path}-known", ".json"):
+            told = json.loads(text)
+            p = Predicate(told["text"], frozenset(told["labels"]), told["name"])
+            self._list(View(told["view_id"], p, told["oracle_version"], told["query_index"], told["recall_bound"], told["precision_bound"], tuple(told["derived_from"]), told["seconds"], told["created"]), told["notes"])
 
-    def add(self, predicate: Predicate, rows: DataFrame, oracle_version: str, query_index: int, recall_bound=None, precision_bound=None, derived_from=(), seconds: float = 0.0) -> View:
-        view = View(len(self.views), predicate, oracle_version, query_index, recall_bound, precision_bound, tuple(derived_from), seconds, time.time())
-        rows.select("row_id", "reported", "verified").filter("reported OR verified").write.parquet(f"{self.path}/view_id={view.view_id}")
+    def _list(self, view: View, notes: list) -> None:
         self.views.append(view)
-        self.by_key[oracle_version, predicate.key] = view  # the latest view of a text answers for it
+        self.notes.append(notes)
+        self.by_key[view.oracle_version, view.predicate.key] = view  # the latest view of a text answers for it
+
+    def add(self, predicate: Predicate, rows: DataFrame, oracle_version: str, query_index: int, recall_bound=None, precision_bound=None, derived_from=(), seconds: float = 0.0, notes: list = ()) -> View:
+        """``notes``: what the query taught, kept with the view."""
+        view = View(len(self.views), predicate, oracle_version, query_index, recall_bound, precision_bound, tuple(derived_from), seconds, time.time())
+        rows.select("row_id", "reported", "verified").filter("reported OR verified").write.mode("overwrite").parquet(f"{self.path}/view_id={view.view_id}")
+        told = {"view_id": view.view_id, "text": predicate.text, "labels": sorted(predicate.labels), "name": predicate.name, "oracle_version": oracle_version, "query_index": query_index, "recall_bound": recall_bound, "precision_bound": precision_bound, "derived_from": view.derived_from, "seconds": seconds, "created": view.created, "notes": list(notes)}
+        write_text(self.spark, f"{self.path}-known/{view.view_id:08d}.json", json.dumps(told))
+        self._list(view, list(notes))
         return view
 
     def exact(self, predicate: Predicate, oracle_version: str) -> View | None:
@@ -63,3 +80,9 @@ class ViewStore:
     def lineage(self) -> DataFrame:
         rows = [(v.view_id, v.predicate.pid, s) for v in self.views for s in v.derived_from]
         return self.spark.createDataFrame(rows, "view_id int, pid string, source_pid string")
+
+    def footprint(self) -> DataFrame:
+        """``view_id, files, bytes`` that each view takes in the shared folder."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.path).select("path", "length")
+        held = files.select(F.regexp_extract("path", r"view_id=(\d+)/", 1).cast("int").alias("view_id"), "length")
+        return held.groupBy("view_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -66,6 +66,14 @@ class Audit:
     answers: list[DataFrame] = field(default_factory=list)
     calls: dict[str, int] = field(default_factory=dict)
 
+    def corrections(self, plan: DataFrame) -> DataFrame:
+        """``row_id, stratum, answer`` of audited rows whose answer is not what the plan took for granted. ``plan``: ``row_id, role, stratum``."""
+        told = self.answers[0]
+        for more in self.answers[1:]:
+            told = told.unionByName(more)
+        taken = plan.filter(F.col("role") != CANDIDATE).select("row_id", "stratum", (F.col("role") == ASSUMED).alias("taken"))
+        return taken.join(told.select("row_id", "answer"), "row_id").filter("answer <> taken").select("row_id", "stratum", "answer")
+
 
 def plain_size(config: AuditConfig, size: int) -> int:
     if size <= config.read_fully:
@@ -138,8 +146,8 @@ def run_audit(rows: DataFrame, sizes: dict[str, int], confidence: dict[str, floa
     def by_stratum(wanted: DataFrame, tag: str) -> dict[str, tuple[int, int]]:
         """Rows and positives of each stratum among the rows asked about."""
         answers = paid(wanted, tag)
-        counted = rows.select("row_id", "stratum").join(answers, "row_id").groupBy("stratum").agg(F.count("*"), F.count_if("answer")).collect()
-        result.calls[tag] = result.calls.get(tag, 0) + sum(r[1] for r in counted)
+        counted = rows.select("row_id", "stratum").join(answers, "row_id").groupBy("stratum").agg(F.count("*"), F.count_if("answer"), F.count_if("paid")).collect()
+        result.calls[tag] = result.calls.get(tag, 0) + sum(r[3] for r in counted)
         return {r[0]: (r[1], r[2]) for r in counted}
 
     def rest_of(names: list[str]) -> DataFrame:

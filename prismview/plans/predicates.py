@@ -47,7 +47,7 @@ def relation_of_counts(n_p: Column, n_q: Column, n_both: Column, slack: float =
     """Relation measured on extensions of n_p and n_q rows that share n_both, up to a slack."""
     out_p = F.coalesce(F.try_divide(n_p - n_both, n_p), F.lit(0.0))
     out_q = F.coalesce(F.try_divide(n_q - n_both, n_q), F.lit(0.0))
-    shared = F.try_divide(n_both, F.least(n_p, n_q))
+    shared = F.coalesce(F.try_divide(n_both, F.least(n_p, n_q)), F.lit(1.0))
     return (
         F.when(((n_p == 0) & (n_q == 0)) | ((out_p <= slack) & (out_q <= slack)), EQUIV)
         .when(out_p <= slack, FORWARD)

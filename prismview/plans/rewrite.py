@@ -105,14 +105,14 @@ def role_of(stratum: Column) -> Column:
     return F.when(stratum.isNull(), CANDIDATE).when(stratum.startswith(f"{BACKWARD}:"), ASSUMED).otherwise(PRUNED)
 
 
-def build_plan(corpus: DataFrame, uses: list[ViewUse], view_rows: DataFrame | None, predicted_slack: float = 0.0) -> Plan:
-    """``corpus``: ``row_id``. Uses are in claim order: backward, forward, disjoint."""
-    rows = corpus.select("row_id")
+def build_plan(corpus: DataFrame, uses: list[ViewUse], view_rows: DataFrame | None, predicted_slack: float = 0.0, keep: tuple[str, ...] = ()) -> Plan:
+    """``corpus``: ``row_id``; ``keep`` names columns of it that stay. Uses are in claim order: backward, forward, disjoint."""
+    rows = corpus.select("row_id", *keep)
     if not uses:
-        return Plan(rows.select("row_id", F.lit(CANDIDATE).alias("role"), F.lit(None).cast("string").alias("stratum")), ())
+        return Plan(rows.select("row_id", *keep, F.lit(CANDIDATE).alias("role"), F.lit(None).cast("string").alias("stratum")), ())
     bits = rows.join(view_bits(uses, view_rows), "row_id", "left").withColumn("bits", F.coalesce("bits", F.lit(0)).cast("long"))
-    staged = bits.select("row_id", stratum_of(uses, F.col("bits")).alias("stratum"))
-    return Plan(staged.select("row_id", role_of(F.col("stratum")).alias("role"), "stratum"), tuple(uses), predicted_slack)
+    staged = bits.select("row_id", *keep, stratum_of(uses, F.col("bits")).alias("stratum"))
+    return Plan(staged.select("row_id", *keep, role_of(F.col("stratum")).alias("role"), "stratum"), tuple(uses), predicted_slack)
 
 
 def stratum_sizes(plan: Plan) -> dict[str, int]:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field
 
-#: Rate with which learning starts, and the weight of the next coarser level (fixed values).
-PRIOR_RATE, STRENGTH, LEAST_SLACK = 0.05, 1.0, 0.002
+#: The rate with which learning starts, the weight of the next coarser level, and the least slack that an offer is ranked by.
+PRIOR_RATE, STRENGTH, LEAST_SLACK = 0.05, 0.05, 0.002
 
 
 @dataclass(frozen=True)

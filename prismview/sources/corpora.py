@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismview.functions.sampling import sample_key
@@ -35,11 +35,47 @@ def texts(df: DataFrame, id_col: str, text_col: str, least: int = 50, most: int
     return df.select(F.col(id_col).alias("row_id"), clean_document(F.col(text_col), most).alias("text")).filter(F.length("text") >= least)
 
 
-def news_csv(spark: SparkSession, path: str, most_rows: int | None = None, most: int | None = None) -> DataFrame:
-    """A headerless CSV of class, title and body."""
+def _named(column: Column, names: dict[str, str]) -> Column:
+    """``column`` by a stated map; what the map lacks stays as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[column], column) if names else column
+
+
+def news_csv(spark: SparkSession, path: str, most_rows: int | None = None, most: int | None = None, classes: dict[int, str] | None = None, groups: dict[str, str] | None = None) -> DataFrame:
+    """A headerless CSV of class, title and body: ``class, leaf, grp, text``.
+
+    ``classes`` names the leaf of a class and ``groups`` the group of a leaf; both default to what they are given.
+    """
     rows = spark.read.csv(path, schema="class int, title string, body string", quote='"', escape='"', multiLine=True)
     rows = rows if most_rows is None else rows.limit(most_rows)
-    return rows.select("class", clean_document(F.concat_ws(". ", "title", "body"), most).alias("text"))
+    leaf = _named(F.col("class").cast("string"), {str(k): v for k, v in (classes or {}).items()})
+    return rows.select("class", leaf.alias("leaf"), _named(leaf, groups or {}).alias("grp"), clean_document(F.concat_ws(". ", "title", "body"), most).alias("text"))
+
+
+def newsgroups(posts: DataFrame, id_col: str, label_col: str, text_col: str, names: dict[str, str] | None = None, groups: dict[str, str] | None = None, least: int = 50, most: int | None = None) -> DataFrame:
+    """``row_id, leaf, grp, text`` of posts whose label is a dotted name: the leaf by ``names``, the group by the label's first part and ``groups``."""
+    labels = posts.select(F.col(id_col).alias("row_id"), _named(F.col(label_col), names or {}).alias("leaf"), _named(F.split(F.col(label_col), "[.]")[0], groups or {}).alias("grp"))
+    return labels.join(texts(posts, id_col, text_col, least, most), "row_id")
+
+
+def topic_hierarchy(docs: DataFrame, roots: dict[str, str], least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``row_id, labels`` with the codes of at least ``least`` rows, and ``code, parent`` worked out anew for the codes that stay.
+
+    ``docs``: ``row_id, labels``; ``roots``: letter to root code.
+    """
+    kept = frequent_labels(docs, least)
+    return kept, parent_codes(kept.select(F.explode("labels").alias("code")).distinct(), roots)
+
+
+def roots_of(edges: DataFrame) -> DataFrame:
+    """``label, root``: the topmost ancestor of each label of a hierarchy ``label, parent``."""
+    tops = edges.filter("parent IS NULL").select(F.col("label").alias("ancestor"))
+    return descendants(edges).join(tops, "ancestor").select("label", F.col("ancestor").alias("root"))
+
+
+def children_of(edges: DataFrame) -> DataFrame:
+    """``label, children``: sorted; a label without any has an empty list."""
+    told = edges.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("label")).agg(F.array_sort(F.collect_set("label")).alias("children"))
+    return edges.select("label").distinct().join(told, "label", "left").select("label", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
 
 
 def synthetic(spark: SparkSession, n: int, groups: int = 3, leaves: int = 2, seed: int = 0) -> DataFrame:
@@ -89,8 +125,14 @@ def uniform_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def load_corpus(spark: SparkSession, name: str, sf_dir: str, size: int | None = None, leaves: int = 25, seed: int = 0) -> DataFrame:
     """A corpus by name, cut to a stratified sample of ``size`` rows if that is given."""
-    known = {"customers": customers, "orders": orders}
+    known = {
+        "customers": lambda: customers(spark, sf_dir),
+        "orders": lambda: orders(spark, sf_dir),
+        "synthetic": lambda: synthetic(spark, size or 1000, seed=seed),
+        "news": lambda: news_csv(spark, f"{sf_dir}/news.csv").withColumn("row_id", F.monotonically_increasing_id()),
+        "documents": lambda: spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_id"), F.concat_ws(".", "lang", "source").alias("leaf"), F.col("lang").alias("grp"), "text"),
+    }
     if name not in known:
         raise ValueError(f"unknown corpus {name!r}; known: {', '.join(sorted(known))}")
-    rows = known[name](spark, sf_dir)
+    rows = known[name]()
     return rows if size is None else stratified_sample(rows, size, leaves, seed)

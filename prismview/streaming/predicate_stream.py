@@ -14,8 +14,9 @@ from prismview.plans.predicates import Predicate
 def answer_stream(predicates: DataFrame, engine: ReuseEngine, sink: Callable[[QueryResult], None], checkpoint: str):
     """``predicates``: a stream of ``position, text, labels``. Returns the running query.
 
-    A batch holds questions, not rows of the corpus, so it is small. A batch that runs
-    again after a failure finds its answers in the store and pays nothing.
+    A batch holds questions, not rows of the corpus, so it is small. Views and answers are in the
+    engine's folder: a batch that runs again after a failure, also in a new engine over that
+    folder, finds finished questions in the store and pays only for answers that were not written.
     """
 
     def run(batch: DataFrame, _: int) -> None:

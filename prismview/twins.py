@@ -113,7 +113,7 @@ SELECT n, m, k, alpha, CASE WHEN m >= n THEN k ELSE max(t) FILTER (below > alpha
 def _slack() -> str:
     clean = f"(SELECT kind, source, least(x, 1) AS x, least(greatest(y, 0), 1) AS y, w FROM {_values(SEEN, 'kind, source, x, y, w')} WHERE w > 0 AND x > 0)"
     sums = lambda by: f"(SELECT {by + ', ' if by else ''}sum(w * x * y) AS xy, sum(w * x * x) AS xx FROM {clean} {'GROUP BY ' + by if by else ''})"
-    return f"""SELECT s.kind, s.source, round((s.xy + (k.xy + (g.xy + 0.05) / (g.xx + 1)) / (k.xx + 1)) / (s.xx + 1), 9) AS rate
+    return f"""SELECT s.kind, s.source, round((s.xy + 0.05 * (k.xy + 0.05 * (g.xy + 0.05 * 0.05) / (g.xx + 0.05)) / (k.xx + 0.05)) / (s.xx + 0.05), 9) AS rate
 FROM {sums('kind, source')} s JOIN {sums('kind')} k USING (kind), {sums('')} g"""
 
 
@@ -230,3 +230,44 @@ SELECT code, CASE WHEN code NOT IN ('SRC', 'ECAT') THEN coalesce(near, CASE subs
 d AS (SELECT label AS ancestor, label FROM h UNION SELECT d.ancestor, h.label FROM d JOIN h ON h.parent = d.label) SELECT ancestor, label FROM d""",
     "selectivity": f"SELECT name, round(count(*) / (SELECT count(*) FROM customer), 9) AS selectivity FROM {EXT} GROUP BY 1",
 }
+
+TAXONOMY = "(SELECT n_name AS leaf, r_name AS grp FROM nation JOIN region ON n_regionkey = r_regionkey)"
+GROUPS = f"(SELECT grp, list_sort(list(leaf)) AS leaves, row_number() OVER (ORDER BY grp) - 1 AS g FROM {TAXONOMY} GROUP BY grp HAVING count(*) > 1)"
+NEXT = f"(SELECT leaf, lead(leaf) OVER (ORDER BY leaf) AS other FROM {TAXONOMY})"
+LABEL_SETS = f"(SELECT 'leaf' AS kind, leaf AS name, [leaf] AS labels FROM {TAXONOMY} UNION ALL SELECT 'group', grp, leaves FROM {GROUPS} UNION ALL SELECT 'pair', leaf || '+' || other, list_sort([leaf, other]) FROM {NEXT} WHERE other IS NOT NULL)"
+UNIVERSE = f"""(SELECT kind, name, 0 AS wording, CASE kind WHEN 'pair' THEN 'Origin of the record: ' || split_part(name, '+', 1) || ' or else ' || split_part(name, '+', 2) || '?' ELSE 'Origin of the record: ' || name || '?' END AS text, labels FROM {LABEL_SETS}
+UNION ALL SELECT kind, name, 1, CASE kind WHEN 'pair' THEN 'Keep what ' || split_part(name, '+', 1) || ' and ' || split_part(name, '+', 2) || ' account for together.' ELSE 'Was ' || name || ' where it came from?' END, labels FROM {LABEL_SETS}
+UNION ALL SELECT kind, name, 2, 'Keep what ' || name || ' accounts for.', labels FROM {LABEL_SETS} WHERE kind <> 'pair')"""
+
+
+def _draw(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}/' || {key}), 1, 7))::INT"
+
+
+HIERARCHY = "(SELECT n_name AS label, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'WORLD' FROM region UNION ALL SELECT 'WORLD', NULL)"
+
+SQL |= {
+    "predicate_universe": f"SELECT kind, name, wording, text, array_to_string(labels, ',') AS labels FROM {UNIVERSE}",
+    "relation_pairs": f"""SELECT p, q, relation FROM (SELECT p.text AS p, q.text AS q, {RELATION.format(p='p.labels', q='q.labels')} AS relation FROM {UNIVERSE} p JOIN {UNIVERSE} q ON p.text <> q.text)
+QUALIFY row_number() OVER (PARTITION BY relation ORDER BY {_draw(3, "p || '/' || q")}, p, q) <= 40""",
+    "session_workload": f"""WITH s AS (SELECT i::INT AS position, (i // 6)::INT AS session, (i % 6)::INT AS step FROM range(60) r(i)),
+c AS (SELECT s.*, g.grp, leaves[{_draw(5, "'leaf/' || session")} % len(leaves) + 1] AS leaf, leaves[{_draw(5, "'other/' || session")} % len(leaves) + 1] AS another
+      FROM s JOIN {GROUPS} g ON g.g = {_draw(5, "'group/' || session")} % (SELECT count(*) FROM {GROUPS})),
+k AS (SELECT c.*, n.other, CASE WHEN step IN (0, 4) THEN 'group' WHEN step = 3 AND n.other IS NOT NULL THEN 'pair' ELSE 'leaf' END AS kind, (step IN (2, 4))::INT AS wording FROM c LEFT JOIN {NEXT} n USING (leaf)),
+x AS (SELECT position, kind, wording, CASE WHEN kind = 'group' THEN grp WHEN kind = 'pair' THEN leaf || '+' || other WHEN step = 5 THEN another ELSE leaf END AS name FROM k)
+SELECT position, kind, name, wording, u.text FROM x JOIN {UNIVERSE} u USING (kind, name, wording)""",
+    "two_tier_judge": f"""SELECT p, q, CASE WHEN a.relation = 'overlap' THEN b.relation ELSE a.relation END AS relation, CASE WHEN a.relation = 'overlap' THEN 0.99 ELSE 0.9 END::DOUBLE AS confidence, a.relation = 'overlap' AS escalated
+FROM {EXTENSIONAL} a JOIN (SELECT p.name AS p, q.name AS q, {RELATION.format(p='p.labels', q='q.labels')} AS relation FROM {SETS} p JOIN {SETS} q ON p.name <> q.name) b USING (p, q)""",
+    "distinct_texts": "SELECT trim(regexp_replace(translate(lower(text), '.,', '  '), '\\s+', ' ', 'g')) AS norm, count(*) AS n, min(conv_id) AS first FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1",
+    "hierarchy_roots": f"SELECT label, 'WORLD' AS root FROM {HIERARCHY}",
+    "hierarchy_children": f"SELECT h.label, coalesce(string_agg(c.label, ',' ORDER BY c.label), '') AS children FROM {HIERARCHY} h LEFT JOIN {HIERARCHY} c ON c.parent = h.label GROUP BY 1",
+    "pilot_cutoff": f"""WITH p AS (SELECT c_custkey AS row_id, c_acctbal::DOUBLE AS score, c_acctbal > 3000 AND c_custkey % 3 = 0 AS answer FROM customer),
+h AS (SELECT *, CASE WHEN answer THEN row_number() OVER (PARTITION BY answer ORDER BY md5('0|0|cutoff||' || row_id), row_id) % 2 END AS half FROM p),
+f AS (SELECT count(*) FILTER (answer) AS positives, quantile_cont(score, {(1 - 0.9) * 0.5!r}) FILTER (half = 1) AS cutoff FROM h),
+k AS (SELECT avg((score >= cutoff)::INT) FILTER (half = 0) AS recall, avg((score >= cutoff)::INT) AS share FROM h, f)
+SELECT round(cutoff, 6) AS cutoff FROM f, k WHERE positives >= 8 AND recall >= 0.95 AND share <= 0.8""",
+    "embed_texts": """WITH t AS (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS t FROM conversations),
+g AS (SELECT conv_id, turn, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: (('0x' || substr(md5(substr(t, i, 3)), 1, 8))::BIGINT % 64)::INT)) AS slot FROM t),
+c AS (SELECT conv_id, turn, slot, count(*) AS n FROM g GROUP BY 1, 2, 3)
+SELECT conv_id, turn, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM c""",
+}

@@ -1,15 +1,21 @@
+import hashlib
+import itertools
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from prismview.operators import metrics, reasoners
-from prismview.operators.baselines import ColdEngine, SimilarCache, exact_cache
+from prismview.functions import bounds
+from prismview.operators import metrics, proxy, reasoners
+from prismview.operators.baselines import ColdEngine, SimilarCache, best_entries, exact_cache
 from prismview.operators.engine import FilterService, ReuseEngine, sem_filter
 from prismview.operators.oracle import HostOracle, LabelOracle, ModelOracle, ReplayOracle
 from prismview.plans import audit as audits
 from prismview.plans.predicates import RELATIONS, Judgment, Predicate, relation_of_sets
 from prismview.plans.rewrite import RewriteConfig, ViewUse, build_plan, choose_views
 from prismview.plans.slack import Observation, SlackModel, admit
-from prismview.plans.workloads import build_universe, drill_down, labelled_pairs, workload
+from prismview.plans.workloads import as_predicates, labelled_pairs, sessions, universe
 from prismview.sources import answers, corpora
 from prismview.streaming.predicate_stream import answer_stream
 
@@ -69,9 +75,9 @@ def test_certificates_hold_under_a_wrong_reasoner(spark, seed):
     rows = [(i, f"g{i % 3}_l{i // 3 % 2}") for i in range(900)]
     corpus = spark.createDataFrame(rows, "row_id long, leaf string").cache()
     engine = engine_of(corpus, reasoner={"error": 0.35, "seed": seed}, seed=seed)
-    universe = build_universe({f"g{g}": (f"g{g}_l0", f"g{g}_l1") for g in range(3)})
+    taxonomy = spark.createDataFrame([(f"g{g}_l{i}", f"g{g}") for g in range(3) for i in range(2)], "leaf string, grp string")
     short = 0
-    for p in workload(universe, 6, 0.8, seed):
+    for p in as_predicates(sessions(taxonomy, 6, seed)):
         result = engine.query(p)
         truth = {i for i, leaf in rows if leaf in p.labels}
         got = true_rows(result)
@@ -173,12 +179,17 @@ def test_audit_sizes():
     assert audits.plain_size(audits.AuditConfig(mode="fraction"), 1000) == 100
 
 
-def test_workloads():
-    universe = build_universe({"a": ("a1", "a2"), "b": ("b1",)})
-    assert workload(universe, 20, seed=3) == workload(universe, 20, seed=3)
-    assert len(drill_down(universe, 15)) == 15
-    pairs = labelled_pairs(universe, 50)
-    assert all(relation_of_sets(p.labels, q.labels) == r and r in RELATIONS for p, q, r in pairs)
+def test_workloads(spark):
+    taxonomy = spark.createDataFrame([("a1", "a"), ("a2", "a"), ("b1", "b")], "leaf string, grp string")
+    made = universe(taxonomy).collect()
+    assert {(r.kind, r["name"]) for r in made} == {("leaf", "a1"), ("leaf", "a2"), ("leaf", "b1"), ("group", "a"), ("pair", "a1+a2"), ("pair", "a2+b1")}
+    assert len({r.text for r in made}) == len(made)
+    one, two = (as_predicates(sessions(taxonomy, 20, 3)) for _ in range(2))
+    assert one == two and len(one) == 20 and one[0].labels == {"a1", "a2"} and one[1].labels < one[0].labels
+    labels = {r.text: frozenset(r.labels) for r in made}
+    pairs = labelled_pairs(universe(taxonomy), 5).collect()
+    assert all(relation_of_sets(labels[r.p], labels[r.q]) == r.relation and r.relation in RELATIONS for r in pairs)
+    assert len({(r.p, r.q) for r in pairs}) == len(pairs) and max(sum(r.relation == k for r in pairs) for k in RELATIONS) == 5
 
 
 def test_metrics_conventions(spark):
@@ -190,17 +201,267 @@ def test_metrics_conventions(spark):
     assert sorted(r.k for r in metrics.compare_results(left, right, ["k"], ["v"]).collect()) == [2, 3]
 
 
-def test_engine_resumes_where_it_was_saved(corpus):
+class Failing(LabelOracle):
+    """Fails in its n-th job; counts the rows that it was asked about in finished ones."""
+
+    chunk_rows = 40
+
+    def __init__(self, corpus, fail_at):
+        super().__init__(corpus)
+        self.left = fail_at
+
+    def answers(self, predicate, rows):
+        self.left -= 1
+        if not self.left:
+            raise OSError("the model is gone")
+        return super().answers(predicate, rows)
+
+
+def test_engine_goes_on_in_its_folder(corpus):
     engine = engine_of(corpus, slack=SlackModel())
     engine.query(G0)
     engine.query(LEAF)
-    engine.save()
     again = ReuseEngine.resume(corpus, LabelOracle(corpus), reasoners.LabelReasoner(), engine.folder, slack=SlackModel())
     hit = again.query(LEAF)
     assert hit.reuse == "exact-hit" and true_rows(hit) == {i for i in range(300) if i % 6 == 0} and hit.recall_bound == engine.store.views[1].recall_bound
     assert again.query_index == 3 and again.slack.summary() == engine.slack.summary()
     before = again.log.read().count()
     assert again.query(Predicate("The row is about g1.", frozenset({"g1_l0", "g1_l1"}))).n_calls == again.log.read().count() - before
+    assert {r.kind for r in again.slack_features().collect()} <= {"forward", "disjoint"} and again.slack_features().count() >= 1
+    assert again.store.footprint().filter("bytes > 0").count() == 3
+
+
+@pytest.mark.parametrize("fail_at", [1, 4, 9, 12])
+def test_a_query_that_broke_off_pays_for_the_rest_only(corpus, fail_at):
+    whole = engine_of(corpus)
+    cold, leaf = whole.query(G0), whole.query(LEAF)
+    engine = ReuseEngine(corpus, Failing(corpus, fail_at), reasoners.LabelReasoner())
+    broke = False
+    for p in (G0, LEAF):
+        try:
+            engine.query(p)
+        except OSError:
+            broke = True
+            paid = engine.log.read().count()
+            engine = ReuseEngine.resume(corpus, LabelOracle(corpus), reasoners.LabelReasoner(), engine.folder)
+            rest = engine.query(p)
+            assert rest.n_calls == (cold if p is G0 else leaf).n_calls - (paid - (0 if p is G0 else cold.n_calls)) and (fail_at == 1 or paid)
+    assert broke
+    log = engine.log.read()
+    assert log.count() == cold.n_calls + leaf.n_calls == log.select("pid", "row_id").distinct().count()
+    assert true_rows(engine.query(LEAF)) == true_rows(leaf)
+
+
+def test_results_of_baselines_ask_nothing_again(corpus):
+    asked = []
+
+    def keep(text, rows):
+        asked.append(rows.count())
+        return rows.join(corpus.filter("grp = 'g1'").select("row_id"), "row_id", "left_semi")
+
+    cold = ColdEngine(corpus, HostOracle(keep))
+    result = cold.query(LEAF)
+    assert result.rows.count() == 300 and result.rows.filter("reported").count() == 100
+    similar = SimilarCache(corpus, HostOracle(keep), lambda t: [1.0])
+    similar.query(LEAF)
+    hit = similar.query(G0)
+    assert hit.n_calls == 0 and hit.rows.filter("reported").count() == 100 and hit.rows.count() == 300
+    assert asked == [300, 300]
+
+
+def test_corrections_are_what_the_plan_got_wrong(spark, corpus):
+    plan = corpus.select("row_id", F.when(F.col("leaf") == "g0_l0", "assumed").when(F.col("grp") == "g1", "pruned").otherwise("candidate").alias("role"), F.when(F.col("leaf") == "g0_l0", "backward:0").when(F.col("grp") == "g1", "forward:1").alias("stratum"))
+    wrong = frozenset({"g0_l1", "g1_l0"})  # assumed rows are false, some pruned ones true
+    oracle = LabelOracle(corpus)
+
+    def ask(rows, tag):
+        return oracle.answers(Predicate("x", wrong), rows.select("row_id")).withColumn("paid", F.lit(True))
+
+    audit = audits.run_audit(plan, {"backward:0": 50, "forward:1": 100}, {}, 10, ask, audits.AuditConfig(mode="fixed", most_sample=10**6), 0, 0)
+    got = {(r.row_id, r.stratum, r.answer) for r in audit.corrections(plan).collect()}
+    rows = {r.row_id: r.leaf for r in corpus.collect()}
+    assert got == {(i, "backward:0", False) for i, f in rows.items() if f == "g0_l0"} | {(i, "forward:1", True) for i, f in rows.items() if f == "g1_l0"}
+
+
+def test_bounds_fail_no_more_often_than_they_may():
+    for population, positives, sample in ((60, 7, 20), (40, 0, 10), (200, 30, 50), (50, 50, 5)):
+        exact = sum(math.comb(positives, k) * math.comb(population - positives, sample - k) for k in range(min(sample, positives) + 1) if sample - k <= population - positives and bounds.upper_bound(population, sample, k, 0.05) < positives) / math.comb(population, sample)
+        assert bounds.noncoverage(population, positives, sample, 0.05) == pytest.approx(exact, abs=1e-9) and exact <= 0.05
+
+
+def test_values_and_bands_by_refined_histograms(spark):
+    rng = random.Random(1)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [float(rng.randrange(4)) for _ in range(2000)], [1e9] + [rng.random() * 1e-6 for _ in range(1500)], [5.0] * 40):
+        rows = spark.createDataFrame(list(enumerate(values)), "row_id long, score double").repartition(3)
+        ranks = [0, 1, len(values) // 3, len(values) - 1]
+        assert proxy.values_at(rows, "score", ranks, bins=16, most=20) == {r: sorted(values)[r] for r in ranks}
+    spread = spark.createDataFrame([(i, float(i)) for i in range(100)], "row_id long, score double")
+    assert sorted(r["count"] for r in proxy.score_bands(spread, 4).groupBy("band").count().collect()) == [25, 25, 25, 25]
+    assert proxy.score_bands(spread.limit(0), 4).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(2.0 if i % 6 == 0 else 0.0, 1.0), rng.gauss(0, 1), 1.0]) for i in range(1200)]
+    return spark.createDataFrame(rows, "row_id long, vector array<double>").cache()
+
+
+def test_cutoff_by_brute_force(spark):
+    chosen = []
+    for seed, apart in ((6, 3.0), (7, 6.0), (8, 5.0), (9, 0.0)):
+        rng = random.Random(seed)
+        rows = [(i, rng.gauss(apart if i % 5 == 0 else 0.0, 1.0), i % 5 == 0) for i in range(300)]
+        digest = lambda i: hashlib.md5(f"0|0|cutoff||{i}".encode()).hexdigest()
+        order = sorted((digest(i), i, s) for i, s, a in rows if a)
+        fitted, other = sorted(s for n, (_, _, s) in enumerate(order, 1) if n % 2), [s for n, (_, _, s) in enumerate(order, 1) if not n % 2]
+        place = 0.05 * (len(fitted) - 1)
+        cutoff = fitted[int(place)] + (fitted[int(place) + 1] - fitted[int(place)]) * (place - int(place))
+        good = sum(s >= cutoff for s in other) >= 0.95 * len(other) and sum(s >= cutoff for _, s, _ in rows) <= 0.8 * len(rows)
+        got = proxy.choose_cutoff(spark.createDataFrame(rows, "row_id long, score double, answer boolean"))
+        assert got == (pytest.approx(cutoff) if good else None)
+        chosen.append(got)
+    assert None in chosen and any(c is not None for c in chosen)
+    assert proxy.choose_cutoff(spark.createDataFrame(rows[:20], "row_id long, score double, answer boolean")) is None  # four positives
+    flat = [(i, 1.0, a) for i, _, a in rows]
+    assert proxy.choose_cutoff(spark.createDataFrame(flat, "row_id long, score double, answer boolean")) is None  # nothing to gain
+
+
+def test_proxy_learns_remembers_and_forgets(spark, vectors):
+    pilot = vectors.filter("row_id < 240").select("row_id", (F.col("row_id") % 6 == 0).alias("answer"))
+    own = proxy.EmbeddingProxy(vectors, lambda t: [1.0, 0.0, 0.0])
+    scored = {r.row_id: r.score for r in own.scores(LEAF, pilot).collect()}
+    inside = [scored[i] > scored[j] for i, j in itertools.product(range(240, 300, 6), range(241, 300, 6))]
+    assert sum(inside) > 0.8 * len(inside)
+    own.scores(LEAF, pilot.limit(0))
+    assert own.stats == {"fits": 1, "zero_shot": 0}  # remembered
+    own.reset_training()
+    plain = {r.row_id: r.score for r in own.scores(LEAF, pilot.filter("answer")).collect()}
+    assert own.stats == {"fits": 2, "zero_shot": 1} and plain == {r.row_id: r.vector[0] for r in vectors.collect()}
+
+
+def test_cascade_alone_and_in_the_engine(spark, vectors):
+    corpus = vectors.select("row_id", F.when(F.col("row_id") % 6 == 0, "yes").otherwise("no").alias("leaf")).cache()
+    predicate, truth = Predicate("yes?", frozenset({"yes"})), set(range(0, 1200, 6))
+    cascade = proxy.ProxyCascade(proxy.EmbeddingProxy(vectors, lambda t: [1.0, 0.0, 0.0]))
+    alone = proxy.ProxyCascadeEngine(corpus, LabelOracle(corpus), cascade)
+    result = alone.query(predicate)
+    found = true_rows(result)
+    assert result.reuse == "proxy-cascade" and found <= truth and len(found) >= result.recall_bound * len(truth) and result.recall_bound >= 0.9
+    assert result.calls["pilot"] == 200 and result.n_calls == alone.log.read().count() <= 1200
+    assert alone.query(predicate).reuse == "proxy-cascade"
+    inside = ReuseEngine(corpus, LabelOracle(corpus), reasoners.LabelReasoner(), proxy=cascade)
+    inside.query(predicate)
+    assert inside.query(predicate).reuse == "exact-hit"
+
+
+def test_hashing_embedder_is_one_on_driver_and_column(spark, tmp_path):
+    embed = proxy.HashingEmbedder(32)
+    texts = ["The row is about ASIA.", "", None, "  two   words ", "é ß"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    got = proxy.embed_documents(docs, embed, f"file://{tmp_path}/vectors")
+    assert {r.row_id: r.vector for r in got.collect()} == {i: embed(t or "") for i, t in enumerate(texts)}
+    assert all(abs(sum(x * x for x in embed(t or "")) - 1) < 1e-9 for t in texts)
+
+
+def test_nearest_entries_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(90)]
+    entries = spark.createDataFrame(rows, "name int, position int, vector array<double>")
+    queries = entries.filter("name % 7 = 3")
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    want = {}
+    for i, _, v in rows:
+        if i % 7 == 3 and norm(v):
+            near = [(round(sum(a * b for a, b in zip(v, u, strict=True)) / (norm(v) * norm(u)), 6), -j) for j, _, u in rows[:i] if norm(u)]
+            want[i] = -max(near)[1]
+    for block in (10, 10_000):
+        got = {r["name"]: r.entry for r in best_entries(queries, entries, block).collect() if r.similarity is not None}
+        assert got == want
+
+
+def test_calibrated_and_extensional_judges(spark, corpus):
+    rng = random.Random(4)
+    names = {"alpha": "ab", "beta": "b", "gamma": "c", "delta": "abc", "eps": "ab"}
+    held = {n: set(x) for n, x in names.items()}
+
+    def score(pairs):
+        return [(0.9 + 0.05 * rng.random(), 0.02) if not held[p] & held[q] else (0.05, 0.9) if held[p] <= held[q] else (0.1, 0.3) for p, q in pairs]
+
+    told = [(p, q, relation_of_sets(frozenset(held[p]), frozenset(held[q]))) for p in names for q in names if p != q]
+    judge = reasoners.CalibratedReasoner(reasoners.PairScorer(score))
+    assert [j.relation for j in judge.judge(Predicate("alpha"), [Predicate("eps")])] == ["equiv"]  # by threshold until it is fitted
+    assert judge.fit(spark, told, c=100.0) >= 0.9
+    got = {q: judge.judge(Predicate("alpha"), [Predicate(q)])[0] for q in ("beta", "gamma", "delta", "eps")}
+    assert {q: j.relation for q, j in got.items()} == {"beta": "backward", "gamma": "disjoint", "delta": "forward", "eps": "equiv"} and all(0 < j.confidence <= 1 for j in got.values())
+    assert len(reasoners.pair_features(judge.scorer, [("alpha", "beta")])[0]) == 6
+
+    texts = {"g0": "grp = 'g0'", "g0l0": "leaf = 'g0_l0'", "g1": "grp = 'g1'", "all": "true"}
+    seen = None
+    for t, cond in texts.items():
+        own = corpus.filter(cond).select(F.lit(t).alias("text"), "row_id")
+        seen = own if seen is None else seen.union(own)
+    by_rows = reasoners.ExtensionalReasoner(seen)
+    assert [j.relation for j in by_rows.judge(Predicate("g0l0"), [Predicate(t) for t in ("g0", "g1", "all", "g0l0", "nothing")])] == ["forward", "disjoint", "forward", "equiv", "backward"]
+    engine = ReuseEngine(corpus, LabelOracle(corpus), reasoners.ExtensionalReasoner(seen))
+    engine.query(Predicate("g0", G0.labels))
+    assert engine.query(Predicate("g0l0", LEAF.labels)).reuse == "rewrite"
+
+
+def test_arbiter_takes_its_trust_from_judged_pairs(spark):
+    replies = iter(["hm", "yes", "no", "hm", "hm", "no", "yes"])
+    arbiter = reasoners.Arbiter(lambda kind, a, b: next(replies))
+    assert arbiter.pair("p", "q") == Judgment("forward", 0.75) and arbiter.calls == 3
+    assert arbiter.pair("p", "r").relation == "disjoint"
+    judged = spark.createDataFrame([("forward", "forward"), ("forward", "overlap"), ("disjoint", "overlap")], "predicted string, relation string")
+    assert arbiter.calibrate(judged) == {"forward": 0.5, "disjoint": 0.3} and not arbiter.memory
+
+
+def test_workload_is_scored_against_labels_and_oracle(spark, corpus):
+    noisy = LabelOracle(corpus, noise=0.1, seed=2, version="noisy")
+    engine = ReuseEngine(corpus, noisy, reasoners.LabelReasoner())
+    scored = metrics.run_workload(engine, [G0, LEAF, G0], LabelOracle(corpus), tags={"run": "r1"})
+    rows = scored.orderBy("position").collect()
+    assert [r.reuse for r in rows] == ["cold", "rewrite", "exact-hit"] and {r.run for r in rows} == {"r1"}
+    labels, said = ({r.row_id for r in o.truth(LEAF).filter("answer").collect()} for o in (LabelOracle(corpus), noisy))
+    got = true_rows(engine.query(LEAF))
+    assert (rows[1].tp, rows[1].n_reported, rows[1].n_true) == (len(got & labels), len(got), len(labels))
+    assert rows[1].recall_oracle == pytest.approx(len(got & said) / len(said))
+    top = metrics.headline(scored, 300).first()
+    assert top.queries == 3 and top.calls == sum(r.calls for r in rows) and top.reduction == pytest.approx(900 / top.calls) and top.exact_hits == 1
+    assert metrics.coverage(scored).first().share == 1.0
+    split = {r.tag: r.calls for r in metrics.cost_split(engine.log.charges()).collect()}
+    assert sum(split.values()) == top.calls
+
+
+def test_matrix_is_saved_whole_or_refused(spark, tmp_path):
+    cache = spark.createDataFrame([("m", "1", c, r, (r + len(c)) % 2 == 0, 1, 1, "", w) for w in (0, 1) for c in ("a", "bb") for r in range(3)], answers.CACHED)
+    rows, claims = spark.range(3).withColumnRenamed("id", "row_id"), spark.createDataFrame([("a",), ("bb",)], "claim string")
+    matrix = answers.cached_matrix(cache, claims, rows, "m", "1")
+    assert matrix.count() == 6
+    with pytest.raises(KeyError, match="1 of 'bb'"):
+        answers.cached_matrix(cache, claims, spark.range(4).withColumnRenamed("id", "row_id").filter("row_id <> 3").union(spark.range(0)), "m", "1") and answers.cached_matrix(cache.filter("NOT (claim = 'bb' AND row_id = 2)"), claims, rows, "m", "1")
+    answers.save_matrix(matrix, f"file://{tmp_path}/m", model="m", corpus="three", tokens=12)
+    loaded, told = answers.load_matrix(spark, f"file://{tmp_path}/m")
+    assert told == {"model": "m", "corpus": "three", "tokens": 12} and ReplayOracle(loaded).answers(Predicate("a"), rows).count() == 3
+
+
+def test_model_oracle_waits_and_tries_again(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, text string")
+
+    def client():
+        seen = {}
+
+        def ask(claim, document):
+            seen[document] = seen.get(document, 0) + 1
+            if seen[document] < 3:
+                raise TimeoutError("busy")
+            return "yes"
+
+        return ask
+
+    model = ModelOracle(docs, client, wait=0.001, attempts=4, failures=(TimeoutError,))
+    assert model.answers(LEAF, docs).filter("answer").count() == 2
 
 
 def test_cache_is_filled_once_and_costed(spark, tmp_path):
@@ -215,6 +476,22 @@ def test_cache_is_filled_once_and_costed(spark, tmp_path):
     assert (cost.cells, cost.calls, cost.prompt_tokens) == (40, 40, 400)
 
 
+def test_loaders_name_leaves_and_groups(spark, tmp_path):
+    posts = spark.createDataFrame([(1, "comp.graphics", "x" * 60), (2, "rec.autos", "y" * 70), (3, "rec.autos", "short")], "id long, label string, body string")
+    got = {r.row_id: (r.leaf, r.grp) for r in corpora.newsgroups(posts, "id", "label", "body", {"rec.autos": "cars"}, {"rec": "leisure"}).collect()}
+    assert got == {1: ("comp.graphics", "comp"), 2: ("cars", "leisure")}
+    (tmp_path / "n.csv").write_text('1,"T","B"\n2,T,B\n')
+    news = corpora.news_csv(spark, f"file://{tmp_path}/n.csv", classes={1: "world"}, groups={"world": "news"}).collect()
+    assert [(r.leaf, r.grp) for r in news] == [("world", "news"), ("2", "2")]
+    docs = spark.createDataFrame([(1, ["C1", "C15", "CCAT"]), (2, ["C15", "C151"])], "row_id long, labels array<string>")
+    kept, parents = corpora.topic_hierarchy(docs, {"C": "CCAT"}, 2)
+    assert {r.row_id: r.labels for r in kept.collect()} == {1: ["C15"], 2: ["C15"]} and {r.code: r.parent for r in parents.collect()} == {"C15": "CCAT"}
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "label string, parent string")
+    assert {r.label: r.root for r in corpora.roots_of(edges).collect()} == {"a": "a", "b": "a", "c": "a"}
+    assert {r.label: r.children for r in corpora.children_of(edges).collect()} == {"a": ["b"], "b": ["c"], "c": []}
+    assert corpora.load_corpus(spark, "synthetic", "", 50).count() <= 50
+
+
 def test_corpora(spark, tmp_path):
     with pytest.raises(ValueError):
         corpora.load_corpus(spark, "nowhere", "/none")
@@ -228,5 +505,10 @@ def test_predicates_as_a_stream(spark, corpus, tmp_path):
     spark.createDataFrame([(0, G0.text, sorted(G0.labels)), (1, LEAF.text, sorted(LEAF.labels))], "position int, text string, labels array<string>").coalesce(1).write.json(source)
     stream = spark.readStream.schema("position int, text string, labels array<string>").json(source)
     seen = []
-    answer_stream(stream, engine_of(corpus), seen.append, str(tmp_path / "check")).awaitTermination()
+    engine = engine_of(corpus)
+    answer_stream(stream, engine, seen.append, str(tmp_path / "check")).awaitTermination()
     assert [r.reuse for r in seen] == ["cold", "rewrite"]
+    # The batch runs again in a new engine over the folder, as after a lost driver: nothing is paid.
+    again = engine_of(corpus, folder=engine.folder)
+    answer_stream(stream, again, seen.append, str(tmp_path / "other")).awaitTermination()
+    assert [(r.reuse, r.n_calls) for r in seen[2:]] == [("exact-hit", 0)] * 2 and true_rows(seen[3]) == true_rows(seen[1])
