@@ -14,21 +14,43 @@ from pyspark.sql import functions as F
 SLOTS = 1 << 20
 
 
+#: Folders made since the start, so that those of a finished step can be dropped.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/prismview-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, folder = _place(spark, path)
     fs.mkdirs(folder)
     fs.deleteOnExit(folder)
+    _made.append(path)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession):
+    """Folders that are made inside are removed at its end; what is kept must have been written elsewhere by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            fs, folder = _place(spark, _made.pop())
+            fs.delete(folder, True)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """What runs inside hands Python at most so many rows at once; whole texts make rows large."""
