@@ -58,6 +58,8 @@ FINE, MOST_FINE = 2048, 325
 BITS = [f"_f{i}" for i in range(FINE // 64)]
 #: Rows of a node or component that meet in one task, pairs of a hub (each costs two sets of shingles), and classes of a bucket.
 CROWD, PAIRS, BLOCK = 1000, 200, 2000
+#: Pairs that one task checks, about.
+TASK_PAIRS = 2000
 
 ENTRY = "_id long, _row long, _entry long, _n long, _fp binary, _bands array<long>, _text string, " + ", ".join(f"{c} long" for c in FOURS)
 
@@ -245,12 +247,13 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, f"{name}_pairs", folder)
-        most = pairs.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+        most, total = (x or 0 for x in pairs.groupBy("b").count().agg(F.max("count"), F.sum("count")).first())
         part = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-most // min(PAIRS, crowd))))).cast("int")
         own = pairs.withColumn("part", part)
         members = own.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text")), "a").select("b", "part", "a", "text")
         hubs = own.select("b", "part").distinct().join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text")), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
-        met = members.union(hubs).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a")).select("b", "a", "text")
+        tasks = min(total // TASK_PAIRS + 1, 20_000)  # a pair costs far more time than its bytes tell
+        met = members.union(hubs).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a")).select("b", "a", "text")
         return written(met.mapInArrow(lambda x: check_pairs(x, percent), "a long, b long, similar boolean, apart double"), name, folder, batch_rows=200)
 
     rank = F.struct("popularity", "node")

@@ -311,6 +311,12 @@ def test_fractions_cover_every_length_and_are_rounded_within_them():
         assert (took + left == counts).all() and left.sum() < 0.2 * counts.sum()
 
 
+def test_packing_keeps_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c", "x", 3), (1, "a b c", "x", 3), (None, "d", "x", 1), (None, None, None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string, length int"), TOKENIZER).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (0, 2), (1, 4), (1, 4)] and len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
 def test_fullest_choice_of_pieces():
     rng = random.Random(5)
     for _ in range(200):
@@ -561,6 +567,16 @@ def test_toxicity_learns_and_keeps_out(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_takes_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["calm", "plain", "still"]) + rng.choice("abcd") for _ in range(30)) + " vileword" * (i % 4 == 1), 1, 0.5, "x") for i in range(400)]
+    rows += [(900, "calma plainb " * 100_000, None, None, None), (901, "calma plainb " * 50_000 + "vileword vileword vileword " + "calma " * 50_000, None, None, None), (901, "calma", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score double, name string")
+    got = [(r.doc_id, r.predicted, len(r.passages)) for r in toxicity.toxicity(docs, spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(400)], "doc_id long, toxic int")).collect()]
+    assert len(got) == 403 and (900, 0, 0) in got and sum(d == 901 for d, _, _ in got) == 2
+    assert all(p == (d % 4 == 1) for d, p, _ in got if d < 400)
+
+
 def test_toxic_passages_and_words_that_come_again():
     scores = toxicity.Scores({"vile$": 3.0, "foul$": 2.5, "nasty$": 2.8}, -0.5)
     clean, bad = "calm " * 40, "vile foul nasty "
@@ -614,6 +630,47 @@ def test_chat_folds_events(spark):
     assert chat_format.format_digests(events.limit(0)).count() == 0
 
 
+def replayed(events):
+    """Final messages of one conversation by replaying its log in the order of seq."""
+    turns = {}
+    for _, turn, kind, role, text in sorted(events, key=lambda e: e[0]):
+        own = turns.setdefault(turn, [])
+        if kind == "delta" and own:
+            own[-1] = (role or own[-1][0], own[-1][1] + (text or ""))
+        elif kind in ("edit", "regenerate"):
+            for later in [t for t in turns if t > turn]:
+                del turns[later]
+            own[-1:] = [(role or (own[-1][0] if own else ""), text or "")]
+        else:
+            own.append((role or "", text or ""))
+    return [m for t in sorted(turns) for m in turns[t]]
+
+
+def test_chat_folds_random_logs(spark):
+    rng = random.Random(40)
+    logs, rows = {}, []
+    for c in range(120):
+        seqs = rng.sample(range(1000), rng.randrange(1, 25))
+        logs[c] = [(s, rng.randrange(5), rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.choice(["user", "assistant", "system", None]), rng.choice(["a", "<s> b\\", "", None, "</s>[INST]", "long " * 50])) for s in seqs]
+        rows += [(c, *e, "clash", 1) for e in logs[c]]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string, segment string, n_turns int").repartition(7)
+    got = {r.conv_id: r for r in chat_format.format_digests(events).collect()}
+    assert len(got) == 120
+    for c, log in logs.items():
+        told = replayed(log)
+        learnt = "".join(t for r, t in told if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in told).encode()).hexdigest(), c
+        assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(told), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+
+
+def test_chat_takes_very_long_texts_and_repeated_rows(spark):
+    long = "[INST] \\ " * 200_000
+    rows = [(1, 0, 0, "message", "user", long), (1, 1, 1, "message", "assistant", long), (1, 1, 1, "message", "assistant", long)]
+    got = chat_format.format_digests(spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string")).first()
+    assert got.n_turns == 3 and got.loss_chars == 2 * len(long) and got.loss_sha256 == hashlib.sha256((long * 2).encode()).hexdigest()
+
+
 # archives
 
 
