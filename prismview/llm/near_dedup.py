@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismview.llm.scratch import held, rows_with, rows_without, shared_folder, split_join, written
+from prismview.llm.scratch import held, parted, rows_with, rows_without, shared_folder, split_join, written
 
 SHINGLE, T, ROWS = 5, 128, 4
 BANDS = T // ROWS
@@ -247,9 +247,9 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = written(pairs, f"{name}_pairs", folder)
-        most, total = (x or 0 for x in pairs.groupBy("b").count().agg(F.max("count"), F.sum("count")).first())
-        part = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-most // min(PAIRS, crowd))))).cast("int")
-        own = pairs.withColumn("part", part)
+        per_hub, rows = pairs.groupBy("b").count(), min(PAIRS, crowd)
+        most, total = (x or 0 for x in per_hub.agg(F.max("count"), F.sum("count")).first())
+        own = parted(pairs, "b", "a", per_hub.filter(F.col("count") > rows).select("b"), -(-most // rows)).withColumnRenamed("_part", "part")
         members = own.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("text")), "a").select("b", "part", "a", "text")
         hubs = own.select("b", "part").distinct().join(texts.select(F.col("node").alias("b"), F.col("_text").alias("text")), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
         tasks = min(total // TASK_PAIRS + 1, 20_000)  # a pair costs far more time than its bytes tell

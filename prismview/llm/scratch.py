@@ -112,6 +112,15 @@ def rows_without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return slotted.join(slots, "_slot", "left_anti").unionByName(doubtful).drop("_slot")
 
 
+def parted(df: DataFrame, key: str, by: str, crowded: DataFrame, parts: int) -> DataFrame:
+    """``df`` with ``_part``: rows of ``crowded`` keys are dealt into ``parts`` parts by ``by``, also those that share a slot with one; others are part 0."""
+    if parts <= 1:
+        return df.withColumn("_part", F.lit(0))
+    _, slots = _slotted(df, crowded, key)
+    hot = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS))).join(slots.withColumn("_hot", F.lit(True)), "_slot", "left")
+    return hot.withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).otherwise(0)).drop("_slot", "_hot")
+
+
 def split_join(many: DataFrame, one: DataFrame, key: str, by: str, crowded: DataFrame, most: int, rows: int) -> DataFrame:
     """Inner join of ``many`` with ``one`` (a row a key) in which no task meets more than about ``rows`` rows of a key.
 
@@ -122,8 +131,6 @@ def split_join(many: DataFrame, one: DataFrame, key: str, by: str, crowded: Data
         return many.join(one, key)
     parts = -(-most // rows)
     _, slots = _slotted(many, crowded, key)
-    slots, slot = slots.withColumn("_hot", F.lit(True)), F.pmod(F.xxhash64(key), F.lit(SLOTS))
-    many = many.withColumn("_slot", slot).join(slots, "_slot", "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).otherwise(0)).drop("_slot", "_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    one = one.withColumn("_slot", slot).join(slots, "_slot", "left").withColumn("_part", F.explode(every)).drop("_slot", "_hot")
-    return many.join(one, [key, "_part"]).drop("_part")
+    one = one.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS))).join(slots.withColumn("_hot", F.lit(True)), "_slot", "left").withColumn("_part", F.explode(every)).drop("_slot", "_hot")
+    return parted(many, key, by, crowded, parts).join(one, [key, "_part"]).drop("_part")
