@@ -407,6 +407,29 @@ def arbiter_trust(spark, sf_dir):
     return reasoners.arbiter_trust(_judged(spark, sf_dir)).select("predicted", F.round("confidence", 9).alias("confidence"))
 
 
+def pair_accuracy(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    names = F.array(*[F.lit(r) for r in ("equiv", "forward", "backward", "disjoint", "overlap")])
+    pick = lambda k: F.element_at(names, (F.col("o_orderkey") * k % 5 + 1).cast("int"))
+    told = o.select(pick(3).alias("relation"), F.when(F.col("o_custkey") % 4 == 0, pick(7)).otherwise(pick(3)).alias("predicted"), (F.col("o_custkey") % 3 == 0).alias("escalated"))
+    return metrics.pair_accuracy(told).select("escalated", "pairs", F.round("accuracy", 9).alias("accuracy"))
+
+
+def unit_cost(spark, sf_dir):
+    """Orders as runs of a model."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    runs = o.select(F.col("o_orderpriority").alias("model"), (F.col("o_orderkey") % 7).alias("calls"), (F.col("o_orderkey") % 11 / 10).alias("seconds"), (F.col("o_custkey") % 300).alias("prompt_tokens"), (F.col("o_custkey") % 5).alias("output_tokens"))
+    return metrics.unit_cost(runs).select("model", "calls", F.round("tokens_a_call", 6).alias("tokens_a_call"), F.round("calls_a_second", 6).alias("calls_a_second"), F.round("dollars_a_call", 12).alias("dollars_a_call"))
+
+
+def host_comparison(spark, sf_dir):
+    """Calls of a host's filter over customers by region, alone and behind cached answers of every third order."""
+    corpus = corpora.customers(spark, sf_dir)
+    alone = corpus.groupBy(F.col("grp").alias("query")).agg(F.count("*").alias("calls"))
+    reused = corpus.groupBy(F.col("grp").alias("query")).agg(F.count_if(F.col("row_id") % 3 != 0).alias("calls"))
+    return metrics.host_comparison(alone, reused).select("query", "alone", "reused", F.round("saved", 9).alias("saved"))
+
+
 def calibration_ece(spark, sf_dir):
     judged = _judged(spark, sf_dir).withColumn("correct", F.col("relation") == F.col("predicted"))
     return metrics.calibration_error(judged).select(F.round("ece", 9).alias("ece"))
@@ -495,22 +518,22 @@ def selectivity(spark, sf_dir):
     return _extensions(spark, sf_dir).groupBy("name").agg(F.round(F.count("*") / F.lit(n), 9).alias("selectivity"))
 
 
-def _taxonomy(spark, sf_dir) -> DataFrame:
+def taxonomy(spark, sf_dir) -> DataFrame:
     nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
     return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("leaf"), F.col("r_name").alias("grp"))  # 5 regions
 
 
 def predicate_universe(spark, sf_dir):
-    return workloads.universe(_taxonomy(spark, sf_dir)).select("kind", "name", F.col("wording").cast("int").alias("wording"), "text", F.concat_ws(",", "labels").alias("labels"))
+    return workloads.universe(taxonomy(spark, sf_dir)).select("kind", "name", F.col("wording").cast("int").alias("wording"), "text", F.concat_ws(",", "labels").alias("labels"))
 
 
 def relation_pairs(spark, sf_dir):
     """As many ordered pairs of the universe for each relation, by hash."""
-    return workloads.labelled_pairs(workloads.universe(_taxonomy(spark, sf_dir)), 40, 3)
+    return workloads.labelled_pairs(workloads.universe(taxonomy(spark, sf_dir)), 40, 3)
 
 
 def session_workload(spark, sf_dir):
-    return workloads.sessions(_taxonomy(spark, sf_dir), 60, 5).select("position", "kind", "name", "wording", "text")
+    return workloads.sessions(taxonomy(spark, sf_dir), 60, 5).select("position", "kind", "name", "wording", "text")
 
 
 def two_tier_judge(spark, sf_dir):
@@ -542,7 +565,7 @@ QUERIES = (
     slack_admit, metrics_prf, workload_summary, certificate_shortfall, confusion_matrix, relation_scores, arbiter_trust, calibration_ece, reliability_bins,
     oracle_agreement_kappa, run_agreement, predecessor_fractions, implication_slack, implication_summary, paired_ratios, compare_tables,
     stratified_subsample, uniform_subsample, document_labels, frequent_labels, parent_codes, hierarchy_descendants, selectivity,
-    predicate_universe, relation_pairs, session_workload, two_tier_judge, distinct_texts, hierarchy_roots, hierarchy_children, pilot_cutoff, embed_texts,
+    predicate_universe, relation_pairs, session_workload, two_tier_judge, distinct_texts, hierarchy_roots, hierarchy_children, pilot_cutoff, embed_texts, pair_accuracy, unit_cost, host_comparison,
 )
 
 

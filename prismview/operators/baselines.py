@@ -37,9 +37,9 @@ class ColdEngine:
         self.log, self.position = AnswerLog(self.corpus.sparkSession, f"{self.folder or state_folder(self.corpus.sparkSession)}/answers"), 0
 
     def query(self, predicate: Predicate) -> QueryResult:
-        answers = self.log.ask(self.oracle, predicate, self.corpus, self.position, "cold")
+        answers, paid, _ = self.log.ask(self.oracle, predicate, self.corpus, self.position, "cold")
         self.position += 1
-        return QueryResult(predicate, answers.select("row_id", F.col("answer").alias("reported")), "cold", {"cold": answers.agg(F.count_if("paid")).first()[0]})
+        return QueryResult(predicate, answers.select("row_id", F.col("answer").alias("reported")), "cold", {"cold": paid})
 
 
 def best_entries(queries: DataFrame, entries: DataFrame, block: int = 2000) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prismview.operators.store import View, ViewStore
 from prismview.plans.audit import Audit, AuditConfig, run_audit
 from prismview.plans.predicates import FORWARD, Predicate
-from prismview.plans.rewrite import ASSUMED, CANDIDATE, RewriteConfig, build_plan, choose_views, stratum_sizes
-from prismview.plans.slack import Observation, SlackModel, admit
+from prismview.plans.rewrite import ASSUMED, CANDIDATE, RewriteConfig, build_plan, choose_views
+from prismview.plans import slack as slacks
+from prismview.plans.slack import SlackModel, admit
 from prismview.sources.answers import AnswerLog
 from prismview.sources.tables import state_folder
 
@@ -68,7 +69,7 @@ class ReuseEngine:
         if self.slack is not None:
             for notes in self.store.notes:
                 for o in notes:
-                    self.slack.observe(Observation(*o[:5]))
+                    self.slack.observe(slacks.Observation(*o[:5]))
 
     def query(self, predicate: Predicate) -> QueryResult:
         began, index = time.time(), self.query_index
@@ -85,31 +86,32 @@ class ReuseEngine:
         plan = build_plan(self.corpus, uses, reported_rows, predicted, self.needs)
         asking = [0.0]
         asked: dict[str, int] = {}
+        counts: dict[str, tuple[int, int]] = {}  # of the latest ask with a tag
+        sizes: dict[str, int] = {}
         again = self.log.known(self.oracle.version, predicate.pid) is not None  # rows of one query are asked about once
 
         def ask(rows: DataFrame, tag: str) -> DataFrame:
             at = time.time()
-            answers = self.log.ask(self.oracle, predicate, rows, index, tag, again)
+            answers, paid, yes = self.log.ask(self.oracle, predicate, rows, index, tag, again)
+            counts[tag] = paid, yes
             asking[0] += time.time() - at
             return answers
 
         pilot = None
         if uses:  # written before any sample is drawn
-            plan = self.written(plan, f"query={index}")
+            plan, sizes = self.written(plan, f"query={index}")
         answers = []
         if self.proxy is not None:
             plan, pilot = self.proxy.cut(plan, predicate, ask, self.seed, index)
             if pilot is not None:
-                plan = self.written(plan, f"cut={index}")  # the model is applied once, before any audit
+                plan, sizes = self.written(plan, f"cut={index}")  # the model is applied once, before any audit
                 answers.append(pilot)
         candidates = plan.rows.filter(F.col("role") == CANDIDATE)
         if pilot is not None:
             candidates = candidates.join(pilot.select("row_id"), "row_id", "left_anti")
         answers.append(ask(candidates, "candidates"))
-        counted = [a.agg(F.count_if("paid"), F.count_if("answer")).first() for a in answers]
-        asked |= dict(zip(["candidates"] if pilot is None else ["pilot", "candidates"], [c[0] for c in counted], strict=True))
-        found = sum(c[1] for c in counted)
-        sizes = stratum_sizes(plan) if uses or self.proxy is not None else {}
+        asked |= {tag: paid for tag, (paid, _) in counts.items()}
+        found = sum(yes for _, yes in counts.values())
         recall = precision = None
         notes: list = []
         if self.audit is not None and any(sizes):
@@ -134,10 +136,13 @@ class ReuseEngine:
         view = self.store.add(predicate, final, self.oracle.version, index, recall, precision, [u.pid for u in uses], time.time() - began, notes)
         return QueryResult(predicate, self.store.mask(self.corpus, view), kind, asked, recall, precision, tuple(u.pid for u in uses), time.time() - began, asking[0])
 
-    def written(self, plan, name: str):
-        path = f"{self.folder}/plans/{name}"
-        plan.rows.write.mode("overwrite").parquet(path)
-        return plan.with_rows(self.spark.read.schema(plan.rows.schema).parquet(path))
+    def written(self, plan, name: str) -> tuple:
+        """The plan as a table, and the sizes of its strata that are not empty, in claim order, counted as they are written."""
+        path, counted = f"{self.folder}/plans/{name}", Observation()
+        names = [u.stratum for u in plan.uses] + [f"proxy:band{b}" for b in range(getattr(self.proxy, "bands", 0))]
+        plan.rows.observe(counted, F.count_if(F.col("stratum").isNull()).alias("s"), *[F.count_if(F.col("stratum") == n).alias(f"s{i}") for i, n in enumerate(names)]).write.mode("overwrite").parquet(path)
+        sizes = {"": counted.get["s"]} | {n: counted.get[f"s{i}"] for i, n in enumerate(names)}
+        return plan.with_rows(self.spark.read.schema(plan.rows.schema).parquet(path)), {n: k for n, k in sizes.items() if k}
 
     @classmethod
     def resume(cls, corpus: DataFrame, oracle, judge, folder: str, **options) -> ReuseEngine:
@@ -174,7 +179,7 @@ class ReuseEngine:
                 estimate = s.positives if s.read else s.positives * s.size / s.sampled
                 notes.append((s.rule, source.get(s.name, ""), s.size / max(self.n_rows, 1), estimate / positives, float(s.size if s.read else s.sampled), float(s.confidence), audit.found))
                 if self.slack is not None:
-                    self.slack.observe(Observation(*notes[-1][:5]))
+                    self.slack.observe(slacks.Observation(*notes[-1][:5]))
         return notes
 
 

@@ -116,6 +116,35 @@ def shortfall(certified: DataFrame) -> DataFrame:
     return certified.withColumn("recall_short", lack("recall_bound", "n_true")).withColumn("precision_short", lack("precision_bound", "n_reported"))
 
 
+def shortfall_draws(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Certificates that fall short in one draw of the samples, in another, and in both. Each: ``position`` and the columns of ``shortfall``.
+
+    ``exact`` counts certificates of 1, which leave nothing unseen and so cannot fall short by chance.
+    """
+    fails = lambda df, name: shortfall(df).select("position", ((F.col("recall_short") > 0) | (F.col("precision_short") > 0)).alias(name), ((F.col("recall_bound") == 1) & (F.coalesce("precision_bound", F.lit(1.0)) == 1)).alias(f"{name}_exact"))
+    both = fails(one, "here").join(fails(other, "there"), "position")
+    return both.agg(F.count("*").alias("queries"), F.count_if("here").alias("here"), F.count_if("there").alias("there"), F.count_if(F.col("here") & F.col("there")).alias("both"), F.count_if("here_exact").alias("exact"))
+
+
+def unit_cost(runs: DataFrame, prompt_price: float = 0.15, output_price: float = 0.60) -> DataFrame:
+    """Per model: tokens a call, calls a second, dollars a call. ``runs``: ``model, calls, seconds, prompt_tokens, output_tokens``."""
+    sums = runs.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("calls", "seconds", "prompt_tokens", "output_tokens")])
+    dollars = F.col("prompt_tokens") * (prompt_price / 1e6) + F.col("output_tokens") * (output_price / 1e6)
+    per = lambda c: F.try_divide(c, F.col("calls"))
+    return sums.select("model", "calls", per(F.col("prompt_tokens") + F.col("output_tokens")).alias("tokens_a_call"), F.try_divide("calls", "seconds").alias("calls_a_second"), per(dollars).alias("dollars_a_call"))
+
+
+def pair_accuracy(judged: DataFrame) -> DataFrame:
+    """``escalated, pairs, accuracy`` of judged pairs: those that went to the second judge, and the others."""
+    return judged.groupBy("escalated").agg(F.count("*").alias("pairs"), F.avg((F.col("relation") == F.col("predicted")).cast("double")).alias("accuracy"))
+
+
+def host_comparison(alone: DataFrame, reused: DataFrame) -> DataFrame:
+    """``query, alone, reused, saved``: calls by the host's own counter without and with reuse. Both: ``query, calls``."""
+    both = alone.select("query", F.col("calls").alias("alone")).join(reused.select("query", F.col("calls").alias("reused")), "query")
+    return both.withColumn("saved", 1 - F.try_divide("reused", "alone"))
+
+
 def run_agreement(one: DataFrame, other: DataFrame) -> DataFrame:
     """Share of rows answered alike in two runs, and of positives that flipped. Both: ``query, row_id, answer``."""
     both = one.alias("x").join(other.alias("y"), ["query", "row_id"])

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismview.functions.text import call_cost, yes_no
@@ -39,23 +39,27 @@ class AnswerLog:
         rows = self.spark.read.schema(ANSWER.rsplit(", ", 1)[0]).parquet(self._folder(pid))
         return rows.filter(F.col("version") == version).select("row_id", "answer", "part")
 
-    def ask(self, oracle, predicate, rows: DataFrame, query_index: int, tag: str, again: bool = True) -> DataFrame:
-        """``row_id, answer, paid`` of ``rows`` (``row_id`` and what the oracle needs): from the log, else from the oracle.
+    def ask(self, oracle, predicate, rows: DataFrame, query_index: int, tag: str, again: bool = True) -> tuple[DataFrame, int, int]:
+        """``row_id, answer, paid`` of ``rows`` (``row_id`` and what the oracle needs): from the log, else from the oracle; rows paid for, and answers that are yes.
 
-        ``again=False``: none of ``rows`` has been asked about before, so the log need not be searched.
+        ``again=False``: none of ``rows`` has been asked about before, so the log need not be searched, and the job
+        that writes the answers counts them.
         """
         before = self.known(oracle.version, predicate.pid) if again else None
         open_ = rows if before is None else rows.join(before.select("row_id"), "row_id", "left_anti")
         chunk, part = getattr(oracle, "chunk_rows", None), uuid.uuid4().hex
         chunks = max(1, -(-open_.count() // chunk)) if chunk else 1
+        counted = []
         for i in range(chunks):
+            counted.append(Observation())
             some = open_ if chunks == 1 else open_.filter(F.pmod(F.xxhash64("row_id"), F.lit(chunks)) == i)
-            told = oracle.answers(predicate, some)
+            told = oracle.answers(predicate, some).observe(counted[-1], F.count(F.lit(1)).alias("paid"), F.count_if("answer").alias("yes"))
             told.select(F.lit(oracle.version).alias("version"), F.lit(query_index).alias("query_index"), F.lit(tag).alias("tag"), F.lit(part).alias("part"), "row_id", "answer").write.mode("append").parquet(self._folder(predicate.pid))
         held = self.known(oracle.version, predicate.pid).withColumn("paid", F.col("part") == part)
         if before is None:
-            return held.filter("paid").select("row_id", "answer", "paid")
-        return held.join(rows.select("row_id"), "row_id", "left_semi").select("row_id", "answer", "paid")
+            return held.filter("paid").select("row_id", "answer", "paid"), sum(c.get["paid"] for c in counted), sum(c.get["yes"] for c in counted)
+        found = held.join(rows.select("row_id"), "row_id", "left_semi").select("row_id", "answer", "paid")
+        return found, *found.agg(F.count_if("paid"), F.count_if("answer")).first()
 
     def read(self) -> DataFrame:
         if not exists(self.spark, self.path):
@@ -119,13 +123,18 @@ def load_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 RUN = "model string, pver string, calls long, seconds double, prompt_tokens long, output_tokens long"
 
 
-def fill_cache(spark: SparkSession, path: str, claims: DataFrame, rows: DataFrame, client: Callable[[], Callable[[str, str], tuple[str, int, int]]], model: str, pver: str, chunk_cells: int = 100_000) -> int:
+def fill_cache(spark: SparkSession, path: str, claims: DataFrame, rows: DataFrame, client: Callable[[], Callable[[str, str], tuple[str, int, int]]], model: str, pver: str, chunk_cells: int = 100_000, first_row: int | None = None, last_row: int | None = None) -> int:
     """Asks for the cells of ``claims`` x ``rows`` that the cache under ``path`` lacks, and appends them; returns their number.
 
     ``rows``: ``row_id, text``; ``client()`` makes ``(claim, text) -> (reply, prompt tokens, output tokens)`` on the
     executors. Cells are asked in chunks of about ``chunk_cells``, a row's claims together; each chunk and its line in the
-    run log are committed before the next is asked, so a job that broke off is resumed by calling again.
+    run log are committed before the next is asked, so a job that broke off is resumed by calling again. ``first_row`` and
+    ``last_row`` (included) leave the other rows to other jobs.
     """
+    if first_row is not None:
+        rows = rows.filter(F.col("row_id") >= first_row)
+    if last_row is not None:
+        rows = rows.filter(F.col("row_id") <= last_row)
     cache = spark.read.schema(CACHED).parquet(f"{path}/answers") if exists(spark, f"{path}/answers") else spark.createDataFrame([], CACHED)
     wanted = missing_cells(claims, rows, cache, model, pver)
     many, total = wanted.count(), 0

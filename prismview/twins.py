@@ -270,4 +270,9 @@ SELECT round(cutoff, 6) AS cutoff FROM f, k WHERE positives >= 8 AND recall >= 0
 g AS (SELECT conv_id, turn, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: (('0x' || substr(md5(substr(t, i, 3)), 1, 8))::BIGINT % 64)::INT)) AS slot FROM t),
 c AS (SELECT conv_id, turn, slot, count(*) AS n FROM g GROUP BY 1, 2, 3)
 SELECT conv_id, turn, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM c""",
+    "pair_accuracy": """WITH j AS (SELECT ['equiv','forward','backward','disjoint','overlap'][o_orderkey * 3 % 5 + 1] AS r, ['equiv','forward','backward','disjoint','overlap'][o_orderkey * CASE WHEN o_custkey % 4 = 0 THEN 7 ELSE 3 END % 5 + 1] AS p, o_custkey % 3 = 0 AS escalated FROM orders)
+SELECT escalated, count(*) AS pairs, round(avg((r = p)::INT), 9) AS accuracy FROM j GROUP BY 1""",
+    "unit_cost": """SELECT o_orderpriority AS model, sum(o_orderkey % 7)::BIGINT AS calls, round(sum(o_custkey % 300 + o_custkey % 5) / sum(o_orderkey % 7), 6) AS tokens_a_call, round(sum(o_orderkey % 7) / sum((o_orderkey % 11)::DOUBLE / 10), 6) AS calls_a_second,
+round((sum(o_custkey % 300) * (0.15 / 1e6) + sum(o_custkey % 5) * (0.60 / 1e6)) / sum(o_orderkey % 7), 12) AS dollars_a_call FROM orders GROUP BY 1""",
+    "host_comparison": f"SELECT grp AS query, count(*) AS alone, count(*) FILTER (row_id % 3 <> 0) AS reused, round(1 - count(*) FILTER (row_id % 3 <> 0) / count(*), 9) AS saved FROM {CUST} GROUP BY 1",
 }

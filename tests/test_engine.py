@@ -434,6 +434,13 @@ def test_workload_is_scored_against_labels_and_oracle(spark, corpus):
     assert sum(split.values()) == top.calls
 
 
+def test_shortfalls_of_two_draws(spark):
+    schema = "position int, tp long, n_true long, n_reported long, recall_bound double, precision_bound double"
+    one = spark.createDataFrame([(0, 9, 10, 9, 0.95, 1.0), (1, 10, 10, 10, 1.0, 1.0), (2, 8, 10, 10, 0.7, 0.9)], schema)
+    other = spark.createDataFrame([(0, 9, 10, 9, 0.99, None), (1, 10, 10, 10, 0.9, 1.0), (2, 8, 10, 10, 0.8, 0.8)], schema)
+    assert tuple(metrics.shortfall_draws(one, other).first()) == (3, 2, 1, 1, 1)
+
+
 def test_matrix_is_saved_whole_or_refused(spark, tmp_path):
     cache = spark.createDataFrame([("m", "1", c, r, (r + len(c)) % 2 == 0, 1, 1, "", w) for w in (0, 1) for c in ("a", "bb") for r in range(3)], answers.CACHED)
     rows, claims = spark.range(3).withColumnRenamed("id", "row_id"), spark.createDataFrame([("a",), ("bb",)], "claim string")
@@ -470,7 +477,21 @@ def test_cache_is_filled_once_and_costed(spark, tmp_path):
     client = lambda: lambda c, t: ("yes" if int(t.split()[1]) % 2 == 0 else "no", 10, 2)
     path = f"file://{tmp_path}/cache"
     assert answers.fill_cache(spark, path, claims.limit(1), rows, client, "m", "1") == 20
-    assert answers.fill_cache(spark, path, claims, rows, client, "m", "1") == 20
+    assert answers.fill_cache(spark, path, claims, rows, client, "m", "1", first_row=5, last_row=9) == 5
+
+    def breaks():
+        def call(claim, document):
+            if document == "text 15":
+                raise OSError("gone")
+            return "no", 10, 2
+
+        return call
+
+    with pytest.raises(Exception, match="gone"):
+        answers.fill_cache(spark, path, claims, rows, breaks, "m", "1", chunk_cells=2)
+    left = 40 - spark.read.schema(answers.CACHED).parquet(f"{path}/answers").count()
+    assert 0 < left < 15  # what was committed before stays
+    assert answers.fill_cache(spark, path, claims, rows, client, "m", "1", chunk_cells=3) == left
     assert answers.fill_cache(spark, path, claims, rows, client, "m", "1") == 0
     cost = answers.run_cost(spark, path).first()
     assert (cost.cells, cost.calls, cost.prompt_tokens) == (40, 40, 400)
