@@ -719,11 +719,12 @@ def foreign(kind, uri, block, extra="", end="\r\n"):
 
 def test_warc_reads_archives_of_others(spark, tmp_path):
     inner = foreign("resource", "inner", b"nested")
+    nested = inner + gzip.compress(inner)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\nbody"
     told = [
         foreign("warcinfo", "http://a/b%20c", b"software: x\r\n", "Content-Type: application/warc-fields\r\nX-Other: one\r\n two\r\n"),
         foreign("response", "http://r", http, "Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: md5:00\r\n"),
-        foreign("resource", "http://n", inner + gzip.compress(inner)), foreign("resource", "http://l", b"x" * 300_000, end="\n"), foreign("metadata", "http://e", b""),
+        foreign("resource", "http://n", nested), foreign("resource", "http://l", b"x" * 300_000, end="\n"), foreign("metadata", "http://e", b""),
     ]
     (tmp_path / "sub").mkdir()
     (tmp_path / "plain.warc").write_bytes(b"".join(told))
@@ -737,7 +738,7 @@ def test_warc_reads_archives_of_others(spark, tmp_path):
     got = {r.target_uri: r for r in rows}
     assert {u: sum(r.target_uri == u for r in rows) for u in got} == dict.fromkeys(["http://a/b%20c", "http://r", "http://n", "http://l", "http://e"], 4)
     for r in rows:
-        block = {"http://a/b%20c": b"software: x\r\n", "http://r": b"<p>\r\n\r\nbody", "http://n": inner + gzip.compress(inner), "http://l": b"x" * 300_000, "http://e": b""}[r.target_uri]
+        block = {"http://a/b%20c": b"software: x\r\n", "http://r": b"<p>\r\n\r\nbody", "http://n": nested, "http://l": b"x" * 300_000, "http://e": b""}[r.target_uri]
         assert r.payload == block and r.date == "2020-02-02T00:00:00Z" and r.record_id == f"urn:uuid:{r.target_uri}"
     assert got["http://r"].http_header == "HTTP/1.1 200 OK\r\nContent-Type: text/html" and got["http://r"].payload_digest == "md5:00" and got["http://r"].content_length == len(http)
     assert got["http://a/b%20c"].headers["X-Other"] == "one two" and got["http://l"].http_header is None
