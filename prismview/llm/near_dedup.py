@@ -14,7 +14,7 @@ first round every class proposes itself to one hub: the most popular class (by t
 sizes of its buckets) of one of its own buckets, the one that looks most similar. The
 pair is checked on the full sets of words, so a group of n near copies costs n checks,
 not n * n. The second round checks the other pairs of each bucket whose classes lie
-in different components by then, unless a sketch of FINE coordinates
+in different components by then, each pair once, unless a sketch of FINE coordinates
 shows (at 4.6 standard deviations) that they cannot be similar, or their distances to
 a common hub do: the Jaccard distance is a metric. Links inside a component change
 nothing and are not looked for. Components are found by large-star and small-star steps over tables in
@@ -273,15 +273,16 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, carry: list[str], p
     split = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("least < most").select("key", "blocks")
     open_ = written(placed.join(split, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "open", folder)
     fine = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(fine_sketches, "node long, " + ", ".join(f"{c} long" for c in BITS))
-    fine = written(fine.join(heads.select("node", "_n"), "node").join(hub_of, "node", "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))).withColumn("hub", F.coalesce("hub", "node")), "fine", folder, batch_rows=200)
+    fine = written(fine.join(heads.select("node", "_n"), "node").join(open_.groupBy("node").agg(F.collect_set("key").alias("_keys")), "node").join(hub_of, "node", "left").withColumn("apart", F.coalesce("apart", F.lit(0.0))).withColumn("hub", F.coalesce("hub", "node")), "fine", folder, batch_rows=200)
     # Every two blocks of a bucket meet in one cell; two of one block only in the cell of that block alone.
     cells = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     sides = cells.join(fine, "node")
     cell = "x.key = y.key AND x.low = y.low AND x.high = y.high AND (x.block <> y.block OR x.low = x.high)"
     close = f"(x.hub <> y.hub OR abs(x.apart - y.apart) <= {1 - percent / 100 + 1e-9})"  # a hub lies at distance 0 from itself
     look_alike = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in BITS) + f" <= {MOST_FINE}"
-    pairs = sides.alias("x").join(sides.alias("y"), F.expr(f"{cell} AND x.root < y.root AND {alike_in_size('x', 'y')} AND {close} AND {look_alike}"))
-    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()  # of several buckets
+    once = "x.key = array_min(array_intersect(x._keys, y._keys))"
+    pairs = sides.alias("x").join(sides.alias("y"), F.expr(f"{cell} AND x.root < y.root AND {alike_in_size('x', 'y')} AND {close} AND {look_alike} AND {once}"))
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
     tested = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = checked(pairs.join(tested, ["a", "b"], "left_anti"), "second")
     roots = components(links.union(second.filter("similar").select("a", "b")), "all", folder, crowd)
